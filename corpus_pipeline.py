@@ -20,9 +20,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of alike documents the one with the least id stays."""
-    kept = stored(jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct())
-    one_each = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    return one_each.select(*docs.columns)
+    others = stored(jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
