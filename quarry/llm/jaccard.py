@@ -37,6 +37,7 @@ BITMAP_BITS = 1024
 HOT_SHARE = 0.001  # of all texts: a shingle in more of them sorts last
 PAIRS_PER_GROUP = 1500
 BROADCAST_ROWS = 500_000
+FAMILY = 500
 
 _WORD = np.ones(256, np.uint8)
 _WORD[[32, 9, 10, 11, 12, 13]] = 0
@@ -231,26 +232,21 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, pe
     near = stored(pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").where(possible).select("a", "b").distinct())
     n = near.count()
     groups = max(partitions(spark), -(-n // PAIRS_PER_GROUP))
-    near = near.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(groups)).cast("int"))
+    # candidates that hang together meet in one group, so that a text goes there once; a large family is
+    # dealt out by its pairs
+    family = connected(near)
+    large = family.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > FAMILY).select("component", F.lit(True).alias("large"))
+    family = stored(family.join(large.hint("shuffle_hash"), "component", "left").select(F.col("node").alias("a"), "component", "large"))
+    dealt = F.when(F.col("large"), F.xxhash64("a")).otherwise(F.xxhash64("component"))
+    near = stored(near.join(family.hint("shuffle_hash"), "a").select("a", "b", F.pmod(dealt, F.lit(groups)).cast("int").alias("g")))
     wanted = stored(near.select("g", F.col("a").alias("rep")).unionByName(near.select("g", F.col("b").alias("rep"))).groupBy("rep").agg(F.collect_set("g").alias("gs")))
     # few texts as a rule have candidates: their list is broadcast if it is small, else shuffled
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS and n <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            arrays = [s.astype("<u8").tobytes() for s in shingle_sets(b.column(1), width)]
-            at, gs = [], []
-            for i, own in enumerate(b.column(2).to_pylist()):
-                at += [i] * len(own)
-                gs += own
-            for lo in range(0, len(at), 1000):
-                some = at[lo : lo + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array(gs[lo : lo + 1000], pa.int32()), b.column(0).take(pa.array(some, pa.int64())), pa.array([arrays[i] for i in some], pa.binary())], names=["g", "rep", "s"])
-
-    def check(pair_table: pa.Table, set_table: pa.Table) -> pa.Table:
+    def check(pair_table: pa.Table, text_table: pa.Table) -> pa.Table:
         own: dict[int, list[np.ndarray]] = {}
-        for rep, s in zip(set_table["rep"].to_pylist(), set_table["s"]):
-            own.setdefault(rep, []).append(np.frombuffer(s.as_buffer(), "<u8"))
+        for rep, s in zip(text_table["rep"].to_pylist(), shingle_sets(text_table["text"], width)):
+            own.setdefault(rep, []).append(s)
         kept = []
         for a, b in zip(pair_table["a"].to_pylist(), pair_table["b"].to_pylist()):
             for x in own.get(a, []):
@@ -260,8 +256,8 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, pe
                         kept.append((a, b))
         return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
 
-    arrays = texts.select("rep", "text").join(wanted, "rep").select("rep", "text", "gs").mapInArrow(sets, "g int, rep bigint, s binary")
-    return stored(near.groupBy("g").cogroup(arrays.groupBy("g")).applyInArrow(check, "a bigint, b bigint").distinct())
+    placed = texts.select("rep", "text").join(wanted, "rep").select(F.explode("gs").alias("g"), "rep", "text")
+    return stored(near.groupBy("g").cogroup(placed.groupBy("g")).applyInArrow(check, "a bigint, b bigint").distinct())
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
