@@ -33,7 +33,7 @@ from quarry.llm.components import connected
 
 SHINGLE = 5
 PERCENT = 75
-BITMAP_BITS = 1024
+LEAST_BITS = 256
 HOT_SHARE = 0.001  # of all texts: a shingle in more of them sorts last
 PAIRS_PER_GROUP = 1500
 BROADCAST_ROWS = 500_000
@@ -73,9 +73,11 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Which of BITMAP_BITS values the hashes take, as 64-bit words."""
-    bits = np.zeros(BITMAP_BITS, np.uint8)
-    bits[(s >> np.uint64(40)) % np.uint64(BITMAP_BITS)] = 1
+    """Which values the hashes take, as 64-bit words: a power of two of bits, at least two for a shingle, so
+    the signature is as sharp for long texts. Half as many bits is one half OR the other."""
+    width = max(LEAST_BITS, 1 << (2 * max(len(s), 1) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(s >> np.uint64(32)) % np.uint64(width)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -226,7 +228,11 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, pe
     spark = pairs.sparkSession
     left = sigs.select(F.col("rep").alias("a"), F.col("size").alias("n_a"), F.col("bits").alias("bits_a"))
     right = sigs.select(F.col("rep").alias("b"), F.col("size").alias("n_b"), F.col("bits").alias("bits_b"))
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    def folded(x: str, y: str):  # to the width of y: sizes within the band differ by one doubling at most
+        n = F.size(y)
+        return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseOR(q))).otherwise(F.col(x))
+
+    differ = F.aggregate(F.zip_with(folded("bits_a", "bits_b"), folded("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     # with |A - B| + |B - A| = D, a link needs (n - D) / (n + D) >= t for n = |A| + |B|
     possible = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
     near = stored(pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").where(possible).select("a", "b").distinct())
