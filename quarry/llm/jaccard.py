@@ -7,10 +7,11 @@
    Prefix entries (key, id, size) are dealt to tiles by key, packed a block per batch and tile.
    In a tile only sets of one key whose sizes are within t of each other meet (size bands). The bits by which
    the hashed bitmaps of two candidates differ bound their overlap from above before any set is touched.
-4. Candidates meet in two rounds. The first takes neighbours by size under each key, which ties a family
-   of near copies together without its pairs; the second takes the remaining pairs of different components.
-   Candidates are checked by intersecting their sorted shingle arrays. So no link between components is
-   missed, while links inside one need not be listed.
+4. Candidates meet in three rounds. The first pairs each set with the smallest of its key and size band,
+   which ties a family of near copies together without its pairs; the second with a centre by chance, where
+   components differ; the last takes all remaining pairs of different components. Candidates are checked by
+   intersecting their sorted shingle arrays. So no link between components is missed, while links inside one
+   need not be listed.
 
 A shingle is 5 words in a row as a 64-bit hash; a text of fewer words is one shingle; a text without words, or
 null, has the empty set and links with nothing. Words are runs of bytes other than white space (0x20, 0x09 to
@@ -34,10 +35,9 @@ from quarry.llm.components import connected
 SHINGLE = 5
 PERCENT = 75
 LEAST_BITS = 256
-HOT_SHARE = 0.001  # of all texts: a shingle in more of them sorts last
+HOT_SHARE = 0.0001  # of all texts: a shingle in more of them sorts last
 PAIRS_PER_GROUP = 1500
 BROADCAST_ROWS = 500_000
-FAMILY = 500
 
 _WORD = np.ones(256, np.uint8)
 _WORD[[32, 9, 10, 11, 12, 13]] = 0
@@ -72,6 +72,11 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def size_band(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Sets of one band are all within the size ratio of each other."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
+
+
 def bitmap(s: np.ndarray) -> np.ndarray:
     """Which values the hashes take, as 64-bit words: a power of two of bits, at least two for a shingle, so
     the signature is as sharp for long texts. Half as many bits is one half OR the other."""
@@ -178,8 +183,8 @@ def prefix_blocks(texts: DataFrame, hot: np.ndarray, tiles: int, width: int, per
 
 
 def tile_rows(blocks: DataFrame, tiles: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b): neighbours by size under a key, within the size band; (key, id, n): entries of keys that
-    have further pairs."""
+    """(a, b): pairs of the sets of a key. Of up to three sets all within the size ratio, of more those with
+    the smallest of each size band. (key, id, n): entries of keys that have further pairs."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         keys, ids, sizes = [], [], []
@@ -199,15 +204,19 @@ def tile_rows(blocks: DataFrame, tiles: int, percent: int) -> tuple[DataFrame, D
         keys, ids, sizes = keys[shared], ids[shared], sizes[shared]
         order = np.lexsort([ids, sizes, keys])
         keys, ids, sizes = keys[order], ids[order], sizes[order]
-        pairs = []
+        starts = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+        group = np.diff(np.append(starts, len(keys)))
+        wide = np.repeat(group > 3, group)
+        band = size_band(sizes, percent)
+        opens = np.append(np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (band[1:] != band[:-1]))
+        centre = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+        pairs = [np.stack([ids[centre[wide]], ids[wide]])]
         for d in (1, 2):
-            ok = (keys[d:] == keys[:-d]) & (100 * sizes[:-d] >= percent * sizes[d:]) & (ids[d:] != ids[:-d])
+            ok = ~wide[d:] & ~wide[:-d] & (keys[d:] == keys[:-d]) & (100 * sizes[:-d] >= percent * sizes[d:])
             pairs.append(np.stack([ids[:-d][ok], ids[d:][ok]]))
         pairs = np.concatenate(pairs, axis=1)
-        pairs = np.unique(np.sort(pairs, axis=0), axis=1) if pairs.size else pairs
-        starts = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
-        group = np.diff(np.append(starts, len(keys)))
-        wide = np.repeat(group > 3, group) | salted
+        pairs = np.unique(np.sort(pairs[:, pairs[0] != pairs[1]], axis=0), axis=1)
+        wide |= salted
         n, m = pairs.shape[1], int(wide.sum())
         return pa.table(
             {
@@ -238,13 +247,8 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, pe
     near = stored(pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").where(possible).select("a", "b").distinct())
     n = near.count()
     groups = max(partitions(spark), -(-n // PAIRS_PER_GROUP))
-    # candidates that hang together meet in one group, so that a text goes there once; a large family is
-    # dealt out by its pairs
-    family = connected(near)
-    large = family.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > FAMILY).select("component", F.lit(True).alias("large"))
-    family = stored(family.join(large.hint("shuffle_hash"), "component", "left").select(F.col("node").alias("a"), "component", "large"))
-    dealt = F.when(F.col("large"), F.xxhash64("a")).otherwise(F.xxhash64("component"))
-    near = stored(near.join(family.hint("shuffle_hash"), "a").select("a", "b", F.pmod(dealt, F.lit(groups)).cast("int").alias("g")))
+    # b is the larger id; a star's centre is spread over the groups of its many partners
+    near = near.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int"))
     wanted = stored(near.select("g", F.col("a").alias("rep")).unionByName(near.select("g", F.col("b").alias("rep"))).groupBy("rep").agg(F.collect_set("g").alias("gs")))
     # few texts as a rule have candidates: their list is broadcast if it is small, else shuffled
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS and n <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
@@ -266,6 +270,23 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, pe
     return stored(near.groupBy("g").cogroup(placed.groupBy("g")).applyInArrow(check, "a bigint, b bigint").distinct())
 
 
+def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries (key, id, n, c: component) of keys that have sets of several components."""
+    placed = stored(entries.join(found.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return stored(placed.join(mixed.hint("shuffle_hash"), "key", "left_semi"))
+
+
+def _unseen(candidates: DataFrame, before: DataFrame) -> DataFrame:
+    ordered = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.join(before.hint("shuffle_hash"), ["a", "b"], "left_anti")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    return connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)) if links.take(1) else found
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id."""
     rows, texts = representatives(df, id_col, text_col)
@@ -273,18 +294,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = hot_shingles(counts, texts.count())
     tiles = 2 * partitions(df.sparkSession)
     pairs, entries = tile_rows(prefix_blocks(texts, hot, tiles, width, percent), tiles, percent)
-    links = verified(pairs, sigs, texts, width, percent)
-    found = connected(links)
-    # second round: what is left under a key, between components
-    placed = stored(entries.join(found.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = stored(placed.join(mixed.hint("shuffle_hash"), "key", "left_semi"))
+    found = connected(verified(pairs, sigs, texts, width, percent))
+    # second round: under each key and size band a centre by chance, against sets of other components
+    left = _mixed(entries, found)
+    by = ["key", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).alias("band")]
+    centres = left.groupBy(*by).agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("a"), F.col("c").alias("c_a"))).alias("x")).select("key", "band", "x.a", "x.c_a")
+    more = left.select(*by, F.col("id").alias("b"), F.col("c").alias("c_b")).join(centres.hint("merge"), ["key", "band"]).where("c_a <> c_b")
+    found = _joined(found, verified(_unseen(more, pairs), sigs, texts, width, percent))
+    # last round: all that is left under a key between components
+    left = _mixed(left.select("key", "id", "n"), found)
     x, y = left.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")), left.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
     band = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    more = x.join(y.hint("merge"), "key").where(band).select("a", "b").distinct()
-    more = more.join(pairs.hint("shuffle_hash"), ["a", "b"], "left_anti")
-    more = verified(more, sigs, texts, width, percent)
-    found = connected(links.unionByName(more))
+    rest = x.join(y.hint("merge"), "key").where(band)
+    found = _joined(found, verified(_unseen(rest, pairs), sigs, texts, width, percent))
     class_of = sigs.groupBy("digest").agg(F.min("rep").alias("rep"), F.max("size").alias("size")).join(found.select(F.col("node").alias("rep"), "component").hint("shuffle_hash"), "rep", "left")
     class_of = stored(class_of.select("digest", "size", F.coalesce("component", "rep").alias("component")))
     joined = rows.join(class_of.hint("merge"), "digest", "left")
