@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import ascii_lower, hash_spans, spans, text_slices, word_counts
 
 GROUP_DOCS = 20_000
-CACHE_PARTS = 1_000_000
-ENCODE_BYTES = 4 << 20
+CACHE_PARTS = 500_000
 
 # Classes of bytes: 1 letters and all non-ASCII, 2 digits, 3 symbols; 0 is white space that never joins.
 _CLASS = np.full(256, 3, np.uint8)
@@ -130,6 +129,17 @@ class PartEncoder:
         return out, np.append(doc_first, len(out))
 
 
+_encoders: dict[str, PartEncoder] = {}
+
+
+def encoder_of(tokenizer_path: str) -> PartEncoder:
+    """The worker process's encoder, which its tasks share: one tokenizer and one cache in memory."""
+    if tokenizer_path not in _encoders:
+        _encoders.clear()
+        _encoders[tokenizer_path] = PartEncoder(tokenizer_path)
+    return _encoders[tokenizer_path]
+
+
 def _glued(buf: np.ndarray, classes: np.ndarray) -> np.ndarray | None:
     """Where a run between white space holds an apostrophe or a non-ASCII byte beside a symbol or digit,
     its parts stay together: one class for the whole run."""
@@ -203,9 +213,9 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     """(doc_id, piece, start, length, ids_crc32) of each piece of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PartEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for b in batches:
-            for lo, hi, buf, offsets in text_slices(b.column(1), ENCODE_BYTES):
+            for lo, hi, buf, offsets in text_slices(b.column(1)):
                 ids, first = encoder.encode(buf, offsets, end_id)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 sizes = np.diff(first)
