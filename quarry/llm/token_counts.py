@@ -47,6 +47,17 @@ class PieceCounter:
             return list(map(self.known.__getitem__, pieces))
 
 
+_counters: dict[tuple[str, str], PieceCounter] = {}
+
+
+def counter_of(ranks_path: str, pattern: str) -> PieceCounter:
+    """The worker process's counter, which its tasks share."""
+    if (ranks_path, pattern) not in _counters:
+        _counters.clear()
+        _counters[ranks_path, pattern] = PieceCounter(ranks_path, pattern)
+    return _counters[ranks_path, pattern]
+
+
 class CountedText:
     """Segment tree over a text's pre-tokens: tokens and characters below each node."""
 
@@ -189,7 +200,7 @@ def count_tokens(df: DataFrame, ranks_path: str, pattern: str, edits_of=sample_e
     names = [id_col, "n_tokens", "n_pretokens", "edited_tokens", "reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(ranks_path, pattern)
+        counter = counter_of(ranks_path, pattern)
         for b in batches:
             rows = []
             for text in b.column(1):
