@@ -78,12 +78,12 @@ def size_band(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Which values the hashes take, as 64-bit words: a power of two of bits, at least two for a shingle, so
-    the signature is as sharp for long texts. Half as many bits is one half OR the other."""
+    """Whether an odd number of hashes takes each value, as 64-bit words: a power of two of bits, at least two for
+    a shingle, so the signature is as sharp for long texts. Shared shingles cancel out, so two bitmaps differ
+    in no more bits than the sets in shingles. Half as many bits is one half XOR the other."""
     width = max(LEAST_BITS, 1 << (2 * max(len(s), 1) - 1).bit_length())
-    bits = np.zeros(width, np.uint8)
-    bits[(s >> np.uint64(32)) % np.uint64(width)] = 1
-    return np.packbits(bits).view(np.int64)
+    odd = np.bincount(((s >> np.uint64(32)) % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def representatives(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +239,7 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, pe
     right = sigs.select(F.col("rep").alias("b"), F.col("size").alias("n_b"), F.col("bits").alias("bits_b"))
     def folded(x: str, y: str):  # to the width of y: sizes within the band differ by one doubling at most
         n = F.size(y)
-        return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseOR(q))).otherwise(F.col(x))
+        return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
 
     differ = F.aggregate(F.zip_with(folded("bits_a", "bits_b"), folded("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     # with |A - B| + |B - A| = D, a link needs (n - D) / (n + D) >= t for n = |A| + |B|
