@@ -4,7 +4,9 @@
 2. Shingles that many texts share are found by counts in every batch, added up over the corpus. They sort
    last in the one order that all sets use, so that prefixes are made of rare shingles.
 3. Sets with a Jaccard index of at least t share a shingle among the first |x| - ceil(t|x|) + 1 of each.
-   Prefix entries (key, id, size) are dealt to tiles by key, packed a block per batch and tile.
+   Prefix entries (key, id, size) are dealt to tiles by key, packed a block per batch and tile. Those of hot
+   keys also have their place in the set's order, which bounds the overlap of sets that first meet there, and
+   which of the hot shingles just before the key the set has, so that a pair meets under few of its keys.
    In a tile only sets of one key whose sizes are within t of each other meet (size bands). The bits by which
    the hashed bitmaps of two candidates differ bound their overlap from above before any set is touched.
 4. Candidates meet in three rounds. The first pairs each set with the smallest of its key and size band,
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import ascii_lower, hash_spans, mix, partitions, spans, stored, text_slices, word_counts
@@ -36,6 +38,7 @@ SHINGLE = 5
 PERCENT = 75
 LEAST_BITS = 256
 HOT_SHARE = 0.0001  # of all texts: a shingle in more of them sorts last
+BEFORE = 64  # hot shingles before a key that an entry tells of
 PAIRS_PER_GROUP = 1500
 BROADCAST_ROWS = 500_000
 
@@ -127,10 +130,23 @@ def hot_shingles(counts: DataFrame, n_texts: int) -> np.ndarray:
     return rows["s"].to_numpy(np.int64).view(np.uint64)
 
 
+def hot_before(doc: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """For entries of hot shingles, by document and rank: bit d is set if the document also has rank - 1 - d."""
+    out = np.zeros(len(ranks), np.uint64)
+    for d in range(1, min(BEFORE, len(ranks) - 1) + 1):  # a document's ranks ascend, so at most d places back
+        gap = ranks[d:] - ranks[:-d]
+        near = np.flatnonzero((doc[d:] == doc[:-d]) & (gap <= BEFORE))
+        if not len(near):
+            break
+        out[near + d] |= np.uint64(1) << (gap[near] - 1).astype(np.uint64)
+    return out
+
+
 def prefix_blocks(texts: DataFrame, hot: np.ndarray, tiles: int, width: int, percent: int) -> DataFrame:
     """Prefix entries of the sets, packed in a row per batch and tile: keys, and for each the place of its
-    set among ids and sizes. All entries of a hot key stay in a tile of their batch (tile >= ``tiles``); only
-    the first of them goes on to the key's own tile, where it meets the firsts of other batches."""
+    set among ids and sizes; for hot keys also the key's place in the set's order and ``hot_before``. All
+    entries of a hot key stay in a tile of their batch (tile >= ``tiles``); only the first of them goes on to
+    the key's own tile, where it meets the firsts of other batches."""
     by_value = np.argsort(hot)
     shared = texts.sparkSession.sparkContext.broadcast((hot[by_value], by_value))  # see hot_shingles for its bound
 
@@ -139,7 +155,7 @@ def prefix_blocks(texts: DataFrame, hot: np.ndarray, tiles: int, width: int, per
         salt = TaskContext.get().partitionId()
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            keys, is_hot, sizes, own_ids = [], [], [], []
+            keys, is_hot, sizes, own_ids, ranks = [], [], [], [], []
             for i, s in enumerate(shingle_sets(b.column(1), width)):
                 if not len(s):
                     continue
@@ -148,7 +164,9 @@ def prefix_blocks(texts: DataFrame, hot: np.ndarray, tiles: int, width: int, per
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     common = values[at] == s
                     first = s[~common][:n]
-                    late = s[common][np.argsort(rank[at[common]])][: n - len(first)]
+                    by_rank = np.argsort(rank[at[common]])
+                    late = s[common][by_rank][: n - len(first)]
+                    ranks.append(rank[at[common]][by_rank][: len(late)])
                 else:
                     first, late = s[:n], s[:0]
                 keys.append(np.concatenate([first, late]))
@@ -159,51 +177,61 @@ def prefix_blocks(texts: DataFrame, hot: np.ndarray, tiles: int, width: int, per
                 continue
             doc = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             flat, common = np.concatenate(keys), np.concatenate(is_hot)
+            place = np.concatenate([np.arange(len(k)) for k in keys])
+            before, again = np.zeros(len(flat), np.uint64), np.zeros(len(flat), bool)
             own_ids, sizes = np.array(own_ids, np.int64), np.array(sizes, np.int32)
             tile = ((flat >> np.uint64(32)) % np.uint64(tiles)).astype(np.int64)
             if common.any():
+                before[common] = hot_before(doc[common], np.concatenate(ranks))
                 at = np.flatnonzero(common)
                 at = at[np.lexsort([own_ids[doc[at]], sizes[doc[at]], flat[at]])]
                 firsts = at[np.append(True, flat[at][1:] != flat[at][:-1])]
-                again_flat, again_doc, again_tile = flat[firsts], doc[firsts], tile[firsts]
+                own_tile = tile[firsts]
                 tile[common] = tiles + salt % tiles
-                flat, doc, tile = np.append(flat, again_flat), np.append(doc, again_doc), np.append(tile, again_tile)
+                tile, again = np.append(tile, own_tile), np.append(again, np.ones(len(firsts), bool))
+                flat, doc, place, before = (np.append(x, x[firsts]) for x in (flat, doc, place, before))
                 salt += 1
             order = np.argsort(tile, kind="stable")
-            flat, doc, tile = flat[order], doc[order], tile[order]
+            flat, doc, tile, place, before, again = (x[order] for x in (flat, doc, tile, place, before, again))
             edges = np.flatnonzero(np.append(True, tile[1:] != tile[:-1])).tolist()
             rows = []
             for a, z in zip(edges, [*edges[1:], len(flat)]):
                 own, back = np.unique(doc[a:z], return_inverse=True)
-                rows.append((int(tile[a]), flat[a:z].astype("<u8").tobytes(), back.astype("<i4").tobytes(), own_ids[own].astype("<i8").tobytes(), sizes[own].astype("<i4").tobytes()))
+                back = np.where(again[a:z], ~back, back)  # such an entry only forms pairs here
+                told = (place[a:z].astype("<i4").tobytes(), before[a:z].astype("<u8").tobytes()) if tile[a] >= tiles else (None, None)
+                rows.append((int(tile[a]), flat[a:z].astype("<u8").tobytes(), back.astype("<i4").tobytes(), own_ids[own].astype("<i8").tobytes(), sizes[own].astype("<i4").tobytes(), *told))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["tile", "keys", "owners", "ids", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["tile", "keys", "owners", "ids", "sizes", "place", "before"])
 
-    return texts.select("rep", "text").mapInArrow(run, "tile int, keys binary, owners binary, ids binary, sizes binary")
+    return texts.select("rep", "text").mapInArrow(run, "tile int, keys binary, owners binary, ids binary, sizes binary, place binary, before binary")
 
 
 def tile_rows(blocks: DataFrame, tiles: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(a, b): pairs of the sets of a key. Of up to three sets all within the size ratio, of more those with
-    the smallest of each size band. (key, id, n): entries of keys that have further pairs."""
+    the smallest of each size band. (key, id, n, place, before): entries of keys that have further pairs."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys, ids, sizes = [], [], []
+        keys, ids, sizes, place, before, again = [], [], [], [], [], []
         for batch in table.to_batches():
-            for k, o, i, n in zip(batch["keys"], batch["owners"], batch["ids"], batch["sizes"]):
+            for k, o, i, n, p, h in zip(batch["keys"], batch["owners"], batch["ids"], batch["sizes"], batch["place"], batch["before"]):
                 own = np.frombuffer(o.as_buffer(), "<i4")
+                again.append(own < 0)
+                own = np.where(own < 0, ~own, own)
                 keys.append(np.frombuffer(k.as_buffer(), "<u8"))
                 ids.append(np.frombuffer(i.as_buffer(), "<i8")[own])
                 sizes.append(np.frombuffer(n.as_buffer(), "<i4")[own].astype(np.int64))
-        keys, ids, sizes = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+                place.append(np.frombuffer(p.as_buffer(), "<i4") if p.is_valid else np.zeros(len(own), "<i4"))
+                before.append(np.frombuffer(h.as_buffer(), "<u8") if h.is_valid else np.zeros(len(own), "<u8"))
+        keys, ids, sizes, place, before, again = (np.concatenate(x) for x in (keys, ids, sizes, place, before, again))
         many = len(keys) > 0
         order = np.argsort(keys, kind="stable")
-        keys, ids, sizes = keys[order], ids[order], sizes[order]
+        keys, ids, sizes, place, before, again = (x[order] for x in (keys, ids, sizes, place, before, again))
         same = np.append(keys[1:] == keys[:-1], False) if many else np.zeros(0, bool)
         salted = key[0].as_py() >= tiles
         shared = same | np.append(False, same[:-1]) if many and not salted else np.ones(len(keys), bool)
-        keys, ids, sizes = keys[shared], ids[shared], sizes[shared]
-        order = np.lexsort([ids, sizes, keys])
-        keys, ids, sizes = keys[order], ids[order], sizes[order]
+        order = np.flatnonzero(shared)
+        order = order[np.lexsort([ids[order], sizes[order], keys[order]])]
+        keys, ids, sizes, place, before, again = (x[order] for x in (keys, ids, sizes, place, before, again))
         starts = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
         group = np.diff(np.append(starts, len(keys)))
         wide = np.repeat(group > 3, group)
@@ -216,7 +244,7 @@ def tile_rows(blocks: DataFrame, tiles: int, percent: int) -> tuple[DataFrame, D
             pairs.append(np.stack([ids[:-d][ok], ids[d:][ok]]))
         pairs = np.concatenate(pairs, axis=1)
         pairs = np.unique(np.sort(pairs[:, pairs[0] != pairs[1]], axis=0), axis=1)
-        wide |= salted
+        wide = wide & ~again | salted
         n, m = pairs.shape[1], int(wide.sum())
         return pa.table(
             {
@@ -224,12 +252,14 @@ def tile_rows(blocks: DataFrame, tiles: int, percent: int) -> tuple[DataFrame, D
                 "a": pa.array(np.concatenate([pairs[0], ids[wide]])),
                 "b": pa.concat_arrays([pa.array(pairs[1]), pa.nulls(m, pa.int64())]),
                 "n": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(sizes[wide])]),
+                "place": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(place[wide], pa.int32())]),
+                "before": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(before[wide].view(np.int64))]),
             }
         )
 
-    dealt = blocks.repartition(tiles, "tile").groupBy("tile").applyInArrow(run, "key bigint, a bigint, b bigint, n bigint")
+    dealt = blocks.repartition(tiles, "tile").groupBy("tile").applyInArrow(run, "key bigint, a bigint, b bigint, n bigint, place int, before bigint")
     table = stored(dealt)
-    return table.where("b IS NOT NULL").select("a", "b").distinct(), table.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "n").distinct()
+    return table.where("b IS NOT NULL").select("a", "b").distinct(), table.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "n", "place", "before").distinct()
 
 
 def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -270,9 +300,24 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, pe
     return stored(near.groupBy("g").cogroup(placed.groupBy("g")).applyInArrow(check, "a bigint, b bigint").distinct())
 
 
+ENTRY = ("key", "id", "n", "place", "before")
+
+
+def _side(entries: DataFrame, side: str, *by: Column | str) -> DataFrame:
+    return entries.select(*by, F.col("id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("n", "place", "before", "c")])
+
+
+def _possible(percent: int) -> Column:
+    """Whether entries a and b of one key can be where linked sets first meet in the order of their shingles:
+    all shared shingles then are at the key or later, in both."""
+    least = percent * (F.col("n_a") + F.col("n_b"))
+    left_a, left_b = F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")
+    return (F.least(left_a, left_b) * (100 + percent) >= least) & (F.col("c_a") != F.col("c_b"))
+
+
 def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries (key, id, n, c: component) of keys that have sets of several components."""
-    placed = stored(entries.join(found.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")))
+    """Entries (key, id, n, place, before, c: component) of keys that have sets of several components."""
+    placed = stored(entries.join(found.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").select(*ENTRY, F.coalesce("component", "id").alias("c")))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     return stored(placed.join(mixed.hint("shuffle_hash"), "key", "left_semi"))
 
@@ -298,14 +343,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # second round: under each key and size band a centre by chance, against sets of other components
     left = _mixed(entries, found)
     by = ["key", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).alias("band")]
-    centres = left.groupBy(*by).agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("a"), F.col("c").alias("c_a"))).alias("x")).select("key", "band", "x.a", "x.c_a")
-    more = left.select(*by, F.col("id").alias("b"), F.col("c").alias("c_b")).join(centres.hint("merge"), ["key", "band"]).where("c_a <> c_b")
+    centres = _side(left, "a", *by).groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("a", "key").alias("h"), "a", "n_a", "place_a", "c_a")).alias("x")).select("key", "band", "x.*").drop("h")
+    more = _side(left, "b", *by).join(centres.hint("merge"), ["key", "band"]).where(_possible(percent))
     found = _joined(found, verified(_unseen(more, pairs), sigs, texts, width, percent))
-    # last round: all that is left under a key between components
-    left = _mixed(left.select("key", "id", "n"), found)
-    x, y = left.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")), left.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    band = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    rest = x.join(y.hint("merge"), "key").where(band)
+    # last round: all that is left under a key between components, where two sets first meet as far as entries tell
+    left = _mixed(left.select(*ENTRY), found)
+    first = F.col("before_a").bitwiseAND(F.col("before_b")) == 0
+    rest = _side(left, "a", "key").join(_side(left, "b", "key").hint("merge"), "key").where((F.col("a") < F.col("b")) & first & _possible(percent))
     found = _joined(found, verified(_unseen(rest, pairs), sigs, texts, width, percent))
     class_of = sigs.groupBy("digest").agg(F.min("rep").alias("rep"), F.max("size").alias("size")).join(found.select(F.col("node").alias("rep"), "component").hint("shuffle_hash"), "rep", "left")
     class_of = stored(class_of.select("digest", "size", F.coalesce("component", "rep").alias("component")))

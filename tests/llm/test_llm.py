@@ -282,6 +282,37 @@ def test_jaccard(spark, monkeypatch):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_jaccard_around_the_threshold(spark, monkeypatch):
+    """One large family, most of whose pairs are just below or just above the threshold."""
+    monkeypatch.setattr(jaccard, "HOT_SHARE", 0.02)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(160)]
+    texts = []
+    for i in range(260):
+        own = list(base)
+        for k in range(rng.choice([1, 2, 3, 4, 5, 7])):
+            own[rng.randrange(160)] = f"v{i}_{k}"
+        texts.append((i, " ".join(own[rng.randint(0, 12) :])))
+    want = components(texts)
+    got = jaccard.jaccard_components(docs(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and 1 < len({c for _, c in want.values()}) < 260
+
+
+def test_bitmaps_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for n, m in ((3, 4), (100, 120), (700, 900), (2000, 2600)):
+        x, y = (np.unique(np.concatenate([rng.integers(0, 1 << 63, k // 4), np.arange(k) << 32]).astype(np.uint64)) for k in (n, m))
+        p, q = sorted((np.unpackbits(jaccard.bitmap(s).view(np.uint8)) for s in (x, y)), key=len)
+        while len(q) > len(p):
+            q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+        assert (p != q).sum() <= len(np.setxor1d(x, y))
+
+
+def test_hot_shingles_before_an_entry():
+    doc, ranks = np.array([0, 0, 0, 1, 1, 1]), np.array([3, 4, 70, 5, 6, 69])
+    assert jaccard.hot_before(doc, ranks).tolist() == [0, 1, 0, 0, 1, (1 << 62) | (1 << 63)]
+
+
 def test_jaccard_on_the_table(spark, sf_dir):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = jaccard.op7_ngram_jaccard(spark, sf_dir).collect()
