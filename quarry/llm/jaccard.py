@@ -11,7 +11,8 @@
    the hashed bitmaps of two candidates differ bound their overlap from above before any set is touched.
 4. Candidates meet in three rounds. The first pairs each set with the smallest of its key and size band,
    which ties a family of near copies together without its pairs; the second with a centre by chance, where
-   components differ; the last takes all remaining pairs of different components. Candidates are checked by
+   components differ; the last takes all remaining pairs of different components, whose entries carry folded
+   bitmaps, so that sets that cannot link never become a pair. Candidates are checked by
    intersecting their sorted shingle arrays. So no link between components is missed, while links inside one
    need not be listed.
 
@@ -37,6 +38,7 @@ from quarry.llm.components import connected
 SHINGLE = 5
 PERCENT = 75
 LEAST_BITS = 256
+ENTRY_BITS = 1024  # of the bitmaps that entries of the last round carry
 HOT_SHARE = 0.0001  # of all texts: a shingle in more of them sorts last
 BEFORE = 64  # hot shingles before a key that an entry tells of
 PAIRS_PER_GROUP = 1500
@@ -89,6 +91,12 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded_bitmap(bits: np.ndarray) -> np.ndarray:
+    """At most ENTRY_BITS bits of a bitmap, so that entries of the last round can carry them."""
+    words = ENTRY_BITS // 64
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0) if len(bits) > words else bits
+
+
 def representatives(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(every row's doc_id and digest of its text; the distinct texts with the least id of each)."""
     digest = F.md5(F.col(text_col).cast("binary"))
@@ -100,27 +108,29 @@ def representatives(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
 
 
 def signatures(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, digest, size, bits) of each text's set, and (s, n): shingles that a batch has often."""
+    """(rep, digest, size, bits, low: folded bits) of each text's set, and (s, n): shingles that a batch has often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = list(shingle_sets(b.column(1), width))
             if not held:
                 continue
-            bits = pa.array([bitmap(s) for s in held], pa.list_(pa.int64()))
+            full = [bitmap(s) for s in held]
+            bits = pa.array(full, pa.list_(pa.int64()))
+            low = pa.array([folded_bitmap(x) for x in full], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in held], pa.int64())
             none = pa.nulls(len(held), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), sizes, bits, none, none], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), sizes, bits, low, none, none], names=names)
             flat = np.sort(np.concatenate(held))
             first = np.flatnonzero(np.append(np.ones(min(1, len(flat)), bool), flat[1:] != flat[:-1]))
             n = np.diff(np.append(first, len(flat)))
             keep = n >= max(2, HOT_SHARE * len(held) / 2)
             k = int(keep.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(flat[first][keep].view(np.int64)), pa.array(n[keep])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64())), pa.array(flat[first][keep].view(np.int64)), pa.array(n[keep])], names=names)
 
-    names = ["rep", "digest", "size", "bits", "s", "n"]
-    table = stored(texts.select("rep", "text", "digest").mapInArrow(run, "rep bigint, digest string, size bigint, bits array<bigint>, s bigint, n bigint"))
-    return table.where("rep IS NOT NULL").select("rep", "digest", "size", "bits"), table.where("s IS NOT NULL").select("s", "n")
+    names = ["rep", "digest", "size", "bits", "low", "s", "n"]
+    table = stored(texts.select("rep", "text", "digest").mapInArrow(run, "rep bigint, digest string, size bigint, bits array<bigint>, low array<bigint>, s bigint, n bigint"))
+    return table.where("rep IS NOT NULL").select("rep", "digest", "size", "bits", "low"), table.where("s IS NOT NULL").select("s", "n")
 
 
 def hot_shingles(counts: DataFrame, n_texts: int) -> np.ndarray:
@@ -262,19 +272,24 @@ def tile_rows(blocks: DataFrame, tiles: int, percent: int) -> tuple[DataFrame, D
     return table.where("b IS NOT NULL").select("a", "b").distinct(), table.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "n", "place", "before").distinct()
 
 
-def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link: first by the bound of their bitmaps, then by their sorted shingle arrays."""
-    spark = pairs.sparkSession
-    left = sigs.select(F.col("rep").alias("a"), F.col("size").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = sigs.select(F.col("rep").alias("b"), F.col("size").alias("n_b"), F.col("bits").alias("bits_b"))
-    def folded(x: str, y: str):  # to the width of y: sizes within the band differ by one doubling at most
+def _bits_allow(percent: int) -> Column:
+    """Whether bitmaps bits_a and bits_b allow a link of sets of n_a and n_b shingles."""
+
+    def folded(x: str, y: str) -> Column:  # to the width of y: sizes within the band differ by one doubling at most
         n = F.size(y)
         return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
 
     differ = F.aggregate(F.zip_with(folded("bits_a", "bits_b"), folded("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
     # with |A - B| + |B - A| = D, a link needs (n - D) / (n + D) >= t for n = |A| + |B|
-    possible = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    near = stored(pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").where(possible).select("a", "b").distinct())
+    return differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+
+
+def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that link: first by the bound of their bitmaps, then by their sorted shingle arrays."""
+    spark = pairs.sparkSession
+    left = sigs.select(F.col("rep").alias("a"), F.col("size").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = sigs.select(F.col("rep").alias("b"), F.col("size").alias("n_b"), F.col("bits").alias("bits_b"))
+    near = stored(pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").where(_bits_allow(percent)).select("a", "b").distinct())
     n = near.count()
     groups = max(partitions(spark), -(-n // PAIRS_PER_GROUP))
     # b is the larger id; a star's centre is spread over the groups of its many partners
@@ -304,7 +319,8 @@ ENTRY = ("key", "id", "n", "place", "before")
 
 
 def _side(entries: DataFrame, side: str, *by: Column | str) -> DataFrame:
-    return entries.select(*by, F.col("id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in ("n", "place", "before", "c")])
+    own = [x for x in ("n", "place", "before", "c", "bits") if x in entries.columns]
+    return entries.select(*by, F.col("id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in own])
 
 
 def _possible(percent: int) -> Column:
@@ -347,9 +363,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     more = _side(left, "b", *by).join(centres.hint("merge"), ["key", "band"]).where(_possible(percent))
     found = _joined(found, verified(_unseen(more, pairs), sigs, texts, width, percent))
     # last round: all that is left under a key between components, where two sets first meet as far as entries tell
-    left = _mixed(left.select(*ENTRY), found)
+    left = _mixed(left.select(*ENTRY), found).join(sigs.select(F.col("rep").alias("id"), F.col("low").alias("bits")).hint("shuffle_hash"), "id")
     first = F.col("before_a").bitwiseAND(F.col("before_b")) == 0
-    rest = _side(left, "a", "key").join(_side(left, "b", "key").hint("merge"), "key").where((F.col("a") < F.col("b")) & first & _possible(percent))
+    rest = _side(left, "a", "key").join(_side(left, "b", "key").hint("merge"), "key").where((F.col("a") < F.col("b")) & first & _possible(percent) & _bits_allow(percent))
     found = _joined(found, verified(_unseen(rest, pairs), sigs, texts, width, percent))
     class_of = sigs.groupBy("digest").agg(F.min("rep").alias("rep"), F.max("size").alias("size")).join(found.select(F.col("node").alias("rep"), "component").hint("shuffle_hash"), "rep", "left")
     class_of = stored(class_of.select("digest", "size", F.coalesce("component", "rep").alias("component")))
