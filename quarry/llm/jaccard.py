@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import ascii_lower, hash_spans, mix, partitions, spans, stored, text_slices, word_counts
@@ -40,6 +40,7 @@ PERCENT = 75
 LEAST_BITS = 256
 ENTRY_BITS = 1024  # of the bitmaps that entries of the last round carry
 HOT_SHARE = 0.0001  # of all texts: a shingle in more of them sorts last
+COLD = -1  # place of entries of keys that aren't hot
 BEFORE = 64  # hot shingles before a key that an entry tells of
 PAIRS_PER_GROUP = 1500
 BROADCAST_ROWS = 500_000
@@ -230,7 +231,7 @@ def tile_rows(blocks: DataFrame, tiles: int, percent: int) -> tuple[DataFrame, D
                 keys.append(np.frombuffer(k.as_buffer(), "<u8"))
                 ids.append(np.frombuffer(i.as_buffer(), "<i8")[own])
                 sizes.append(np.frombuffer(n.as_buffer(), "<i4")[own].astype(np.int64))
-                place.append(np.frombuffer(p.as_buffer(), "<i4") if p.is_valid else np.zeros(len(own), "<i4"))
+                place.append(np.frombuffer(p.as_buffer(), "<i4") if p.is_valid else np.full(len(own), COLD, "<i4"))
                 before.append(np.frombuffer(h.as_buffer(), "<u8") if h.is_valid else np.zeros(len(own), "<u8"))
         keys, ids, sizes, place, before, again = (np.concatenate(x) for x in (keys, ids, sizes, place, before, again))
         many = len(keys) > 0
@@ -319,7 +320,7 @@ ENTRY = ("key", "id", "n", "place", "before")
 
 
 def _side(entries: DataFrame, side: str, *by: Column | str) -> DataFrame:
-    own = [x for x in ("n", "place", "before", "c", "bits") if x in entries.columns]
+    own = [x for x in ("n", "place", "before", "c", "bits", "prev") if x in entries.columns]
     return entries.select(*by, F.col("id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in own])
 
 
@@ -364,7 +365,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = _joined(found, verified(_unseen(more, pairs), sigs, texts, width, percent))
     # last round: all that is left under a key between components, where two sets first meet as far as entries tell
     left = _mixed(left.select(*ENTRY), found).join(sigs.select(F.col("rep").alias("id"), F.col("low").alias("bits")).hint("shuffle_hash"), "id")
-    first = F.col("before_a").bitwiseAND(F.col("before_b")) == 0
+    # all other keys of two sets are alike as candidates, so any order of them serves to skip what an earlier key has
+    earlier = Window.partitionBy("id", "n", "bits", F.col("place") == COLD).orderBy("key")
+    lags = F.array_compact(F.array(*[F.lag("key", k).over(earlier) for k in (1, 2, 3)]))
+    left = left.withColumn("prev", F.when(F.col("place") == COLD, lags).otherwise(F.array().cast("array<bigint>")))
+    first = (F.col("before_a").bitwiseAND(F.col("before_b")) == 0) & ~F.arrays_overlap("prev_a", "prev_b")
     rest = _side(left, "a", "key").join(_side(left, "b", "key").hint("merge"), "key").where((F.col("a") < F.col("b")) & first & _possible(percent) & _bits_allow(percent))
     found = _joined(found, verified(_unseen(rest, pairs), sigs, texts, width, percent))
     class_of = sigs.groupBy("digest").agg(F.min("rep").alias("rep"), F.max("size").alias("size")).join(found.select(F.col("node").alias("rep"), "component").hint("shuffle_hash"), "rep", "left")
