@@ -4,7 +4,9 @@ Texts are lexed for name-literal pairs (``name = "literal"``, ``"name": 'literal
 ``name := literal``, ``name => literal``); a name that stands for an earlier constant of the same text
 passes that constant on; each literal that reaches a sensitive target name gets the product of the name's
 sensitivity and the literal's strength as its score. Three fixed patterns (assign, access, hex) are the base
-and always stay; the lexer adds ``name`` spans where no base span covers the literal.
+and always stay; the lexer adds ``name`` spans where no single base span holds the whole literal, so spans may
+overlap; masking takes overlapping ones as one. A name may have any length and any number of blanks after it;
+a quoted literal may hold blanks.
 
 Spans are code points, end exclusive. Null or empty text: no spans. Repeated rows are scanned each on their
 own; extra columns are ignored; work and memory follow the length of one text.
@@ -36,11 +38,10 @@ SENSITIVITY = {
 }
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|0+|<.*|\$\{.*|\{\{.*|your.*|example.*|change.?me.*|none|null|true|false|todo.*)$", re.I | re.A)
 _SEPARATOR = re.compile(r":=|=>|==|!=|<=|>=|[:=]")
-_NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_.$-]*)["']?[ \t]*$""", re.A)
+_NAME_BACKWARDS = re.compile(r"""\n?[ \t]*["']?([A-Za-z0-9_.$-]*[A-Za-z_$])""", re.A)
 _VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_+/.=~$-]+))""", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
 _REFERENCE = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*$", re.A)
-NAME_WINDOW = 128  # a name before a separator is at most this long
 
 Span = tuple[int, int, str]
 
@@ -64,7 +65,7 @@ def sensitivity(name: str) -> float:
 def strength(literal: str) -> float:
     """0 to 1: bits of entropy of the literal's characters, against those of a strong key."""
     n = len(literal)
-    if n < LEAST_ASSIGNED or " " in literal or PLACEHOLDER.match(literal):
+    if n < LEAST_ASSIGNED or PLACEHOLDER.match(literal):
         return 0.0
     bits = sum(-c * math.log2(c / n) for c in Counter(literal).values())
     mixed = 1.0 if re.search(r"\d", literal) else 0.6
@@ -75,14 +76,16 @@ def lexed_pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
     """(name, literal, start, end, quoted) of each assignment, in order."""
     if "=" not in text and ":" not in text:
         return
+    after = 0
     for sep in _SEPARATOR.finditer(text):
+        before, after = text[after : sep.start()], sep.end()  # no name holds a separator, so all pieces are one text's length
         if sep[0] in ("==", "!=", "<=", ">="):
             continue
-        name = _NAME.search(text[max(0, sep.start() - NAME_WINDOW) : sep.start()])
+        name = _NAME_BACKWARDS.match(before[::-1])
         if name is None or (value := _VALUE.match(text, sep.end())) is None:
             continue
         k = value.lastindex
-        yield name[1], value[k], value.start(k), value.end(k), k != 3
+        yield name[1][::-1], value[k], value.start(k), value.end(k), k != 3
 
 
 def scored_literals(text: str) -> dict[tuple[int, int], float]:
@@ -100,11 +103,11 @@ def scored_literals(text: str) -> dict[tuple[int, int], float]:
 
 
 def scan(text: str | None, threshold: float = 0.5) -> list[Span]:
-    """All spans by start, then kind: the base, and literals of at least ``threshold`` outside it."""
+    """All spans by start, then kind: the base, and literals of at least ``threshold`` that none of it holds whole."""
     if not text:
         return []
     base = base_spans(text)
-    added = [(s, e, "name") for (s, e), score in scored_literals(text).items() if score >= threshold and not any(s < b and a < e for a, b, _ in base)]
+    added = [(s, e, "name") for (s, e), score in scored_literals(text).items() if score >= threshold and not any(a <= s and e <= b for a, b, _ in base)]
     return sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

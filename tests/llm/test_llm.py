@@ -389,6 +389,28 @@ def test_secret_spans(text, want):
     assert secret_scans.digest(secret_scans.scan(text)) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want", "masked"),
+    [
+        ('db_password = "Summer2024!x#9Qz$77"', "assign:3:25,name:15:34", 'db_[SECRET]"'),
+        ('auth_pwd = "' + "0f" * 12 + '!Zq#"', "hex:12:36,name:12:40", 'auth_pwd = "[SECRET]"'),
+        ('auth_pwd = "x!AKIA' + "B7" * 8 + '?y"', "name:12:36,access:14:34", 'auth_pwd = "[SECRET]"'),
+        ("db_password = 'abc123def456'", "assign:3:27", "db_[SECRET]'"),
+        ("pwd" + " " * 300 + '= "Tr0ub4dor&3x9Z"', "name:306:320", "pwd" + " " * 300 + '= "[SECRET]"'),
+        ("pwd_" + "x" * 300 + ' = "Tr0ub4dor&3x9Z"', "name:308:322", "pwd_" + "x" * 300 + ' = "[SECRET]"'),
+        ('passphrase: "correct horse battery staple"', "name:13:41", 'passphrase: "[SECRET]"'),
+    ],
+)
+def test_secrets_are_masked_whole(text, want, masked):
+    assert secret_scans.digest(secret_scans.scan(text)) == want
+    assert secret_scans.masked(text) == masked
+
+
+def test_names_are_found_in_linear_time():
+    text = "pwd " + "x" * 400000 + ", " + "a" * 400000 + " = 5" + " = " * 100000
+    assert [(len(n), v) for n, v, *_ in secret_scans.lexed_pairs(text)] == [(400000, "5")]
+
+
 def test_secret_scan_rows(spark):
     rows = [(1, None), (2, ""), (3, "token=abcdef api-key=x api_key='zzzzzz9'"), (4, "word " * 50000 + "secret: 0123456789abcdef01234567")]
     got = {r.doc_id: r for r in secret_scans.scan_secrets(docs(spark, rows)).collect()}
