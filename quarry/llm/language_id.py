@@ -10,7 +10,7 @@ marks a phrase, so thousands of runs of text advance together, one byte a step,
 into runs of RUN bytes; each cut costs at most one phrase in every language alike. Whole texts are parsed.
 
 Null text or one without a letter: ``und`` and score 0. No labelled rows: ``und`` for all. Repeated rows are
-predicted alike; extra columns are ignored.
+predicted alike and learned once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -137,12 +137,14 @@ class LanguageModel:
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 96, chars_per_doc: int = 400) -> LanguageModel:
-    """Learn from a bounded sample: of each language the ``docs_per_language`` texts that come first by
-    hash, ``chars_per_doc`` characters from the middle of each. The driver holds only that."""
+    """Learn from a bounded sample: of each language the ``docs_per_language`` distinct texts that come
+    first by hash, ``chars_per_doc`` characters from the middle of each. Copies of a text are made one before
+    they are shuffled. The driver holds only the sample."""
     rows = (
         df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
         .select(lang_col, F.xxhash64(text_col).alias("h"), F.length(text_col).alias("n"), F.expr(f"substring({text_col}, cast(greatest(1, length({text_col}) div 2 - {chars_per_doc // 2}) AS int), {chars_per_doc})").alias("t"))
-        .withColumn("r", F.row_number().over(Window.partitionBy(lang_col).orderBy("h", "n")))
+        .distinct()
+        .withColumn("r", F.row_number().over(Window.partitionBy(lang_col).orderBy("h", "n", "t")))
         .where(F.col("r") <= docs_per_language)
         .select(lang_col, "r", "t")
         .collect()

@@ -68,6 +68,14 @@ def test_language_id_edges(spark):
     assert language_id.predict(docs(spark, []), model, ["doc_id"]).count() == 0
 
 
+def test_copies_of_a_text_are_learned_once(spark):
+    texts = spark.createDataFrame([(f"der die das {i} und nicht {'xyzw'[i % 4]}", "de") for i in range(120)], "text string, lang string")
+    first = texts.orderBy(F.xxhash64("text")).first()
+    copies = texts.union(spark.createDataFrame([first] * 200, texts.schema))
+    one, many = language_id.fit(texts), language_id.fit(copies)
+    assert many.log_n == one.log_n and many.step.tolist() == one.step.tolist()
+
+
 def test_phrases_are_greedy_longest_matches():
     sample = "abracadabra alakazam"
     model = language_id.LanguageModel({"x": sample})
