@@ -3,9 +3,13 @@
 Every window of WINDOW bytes has an entropy; how rare its entropy is in the whole corpus ranks it. Among
 each POPULARITY neighbouring windows the rarest one (leftmost of equals) gains a point, and windows of at
 least LEAST_POINTS are the text's features. They enter Bloom filters of FILTER_BITS bits, a new one after
-FILTER_FEATURES features; the chain of filters is the fingerprint. Two fingerprints are alike by the mean,
-over the filters of the shorter chain, of the best overlap of bits beyond what chance gives, normalised to
-0..1. Texts under SHORT bytes have all their windows of SHORT_WINDOW bytes as features.
+FILTER_FEATURES features; the chain of filters is the fingerprint. Two chains are alike by the mean, over the
+filters of the shorter one, of the best overlap of bits beyond what chance gives, normalised to 0..1.
+
+Rare windows are few in short texts, so texts under SHORT bytes have a second chain, of all their windows of
+SHORT_WINDOW bytes. Two fingerprints are compared by the second chains if both have one, else by the first
+ones. Texts from about WINDOW + POPULARITY + LEAST_POINTS bytes on have a first chain, so two texts lack a common kind
+only if one is under that and the other has SHORT bytes or more.
 
 Null text counts as empty; an empty text has an empty fingerprint, like (1) only to another empty one. Equal
 texts have equal fingerprints. Repeated rows are digested alike; extra columns are ignored.
@@ -25,12 +29,14 @@ from pyspark.sql import functions as F
 from quarry.llm.common import hash_spans, partitions, text_slices
 
 WINDOW, POPULARITY, LEAST_POINTS = 32, 64, 16
-SHORT, SHORT_WINDOW = 256, 8
+SHORT, SHORT_WINDOW = 512, 8
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 LEVELS = 1001
 WEAK = 100  # windows of lower entropy (of 1000) are runs of few bytes, and never features
 _UNIT = 1 << 20
 
+Fingerprint = tuple[np.ndarray, np.ndarray]
+
 _f = np.array([0, *(c * np.log2(c) for c in range(1, WINDOW + 1))])
 _STEP = np.append(0, np.diff(np.round(_f * _UNIT).astype(np.int64)))
 _FULL = int(np.round(_f * _UNIT)[WINDOW])
@@ -91,8 +97,8 @@ def rarity_ranks(histogram: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def features(buf: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the features of a slice of texts, in order, and how many each text has."""
+def rare_features(buf: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the rare windows of a slice of texts, in order, and how many each text has."""
     sizes = np.diff(offsets)
     levels = entropy_levels(buf)
     span = WINDOW + POPULARITY - 1
@@ -106,47 +112,54 @@ def features(buf: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[n
         best = best[_windows(offsets, span, len(best))]
         points = np.bincount(best[best >> 32 < LEVELS] & 0xFFFFFFFF, minlength=1)
         chosen = np.flatnonzero(points >= LEAST_POINTS)
-    owner = np.searchsorted(offsets, chosen, "right") - 1
-    keep = sizes[owner] >= SHORT
-    chosen, owner = chosen[keep], owner[keep]
-    short = np.flatnonzero((sizes > 0) & (sizes < SHORT))
-    n_short = np.maximum(1, sizes[short] - SHORT_WINDOW + 1)
-    short_owner = np.repeat(short, n_short)
-    short_start = offsets[:-1][short_owner] + np.arange(len(short_owner)) - np.repeat(np.cumsum(n_short) - n_short, n_short)
-    starts = np.concatenate([chosen, short_start])
-    ends = np.concatenate([chosen + WINDOW, np.minimum(short_start + SHORT_WINDOW, offsets[1:][short_owner])])
-    owners = np.concatenate([owner, short_owner])
+    owners = np.searchsorted(offsets, chosen, "right") - 1
     counts = np.bincount(owners, minlength=len(sizes))
-    lost = np.flatnonzero((counts == 0) & (sizes > 0))  # a text of weak windows alone: the whole is its feature
-    starts, ends, owners = np.concatenate([starts, offsets[:-1][lost]]), np.concatenate([ends, offsets[1:][lost]]), np.concatenate([owners, lost])
+    lost = np.flatnonzero((counts == 0) & (sizes >= SHORT))  # a text of weak windows alone: the whole is its feature
+    starts, ends, owners = np.concatenate([chosen, offsets[:-1][lost]]), np.concatenate([chosen + WINDOW, offsets[1:][lost]]), np.concatenate([owners, lost])
     order = np.lexsort([starts, owners])
     counts[lost] = 1
     return hash_spans(buf, starts[order], ends[order]), counts
 
 
-def chains(texts: pa.Array, ranks: np.ndarray) -> list[np.ndarray]:
-    """The Bloom filters of each text, packed: an array (filters, FILTER_BITS / 8)."""
-    out: list[np.ndarray] = []
+def short_features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all short windows of the short texts of a slice, in order, and how many each text has."""
+    sizes = np.diff(offsets)
+    counts = np.where((sizes > 0) & (sizes < SHORT), np.maximum(1, sizes - SHORT_WINDOW + 1), 0)
+    owners = np.repeat(np.arange(len(sizes)), counts)
+    starts = offsets[:-1][owners] + np.arange(len(owners)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return hash_spans(buf, starts, np.minimum(starts + SHORT_WINDOW, offsets[1:][owners])), counts
+
+
+def _filters(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    filters = -(-counts // FILTER_FEATURES)
+    first = np.cumsum(filters) - filters
+    nth = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(first, counts) + nth // FILTER_FEATURES
+    bits = np.zeros((int(filters.sum()), FILTER_BITS), bool)
+    for i in range(HASHES):
+        bits[at, ((h >> np.uint64(11 * i)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
+    packed = np.packbits(bits, axis=1)
+    return [packed[a : a + k] for a, k in zip(first.tolist(), filters.tolist())]
+
+
+def chains(texts: pa.Array, ranks: np.ndarray) -> list[Fingerprint]:
+    """The Bloom filters of each text, packed: arrays (filters, FILTER_BITS / 8) of rare and of short windows."""
+    out: list[Fingerprint] = []
     for lo, hi, buf, offsets in text_slices(texts):
-        h, counts = features(buf, offsets, ranks)
-        filters = -(-counts // FILTER_FEATURES)
-        first = np.cumsum(filters) - filters
-        nth = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(first, counts) + nth // FILTER_FEATURES
-        bits = np.zeros((int(filters.sum()), FILTER_BITS), bool)
-        for i in range(HASHES):
-            bits[at, ((h >> np.uint64(11 * i)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
-        packed = np.packbits(bits, axis=1)
-        out += [packed[a : a + k] for a, k in zip(first.tolist(), filters.tolist())]
+        out += zip(_filters(*rare_features(buf, offsets, ranks)), _filters(*short_features(buf, offsets)))
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(one: Fingerprint, other: Fingerprint) -> float:
     """0 to 1; see the module."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    if a.shape == b.shape and np.array_equal(a, b):
+    if not any(map(len, one)) or not any(map(len, other)):
+        return float(not any(map(len, one + other)))
+    if all(x.shape == y.shape and np.array_equal(x, y) for x, y in zip(one, other)):
         return 1.0
+    kind = 1 if len(one[1]) and len(other[1]) else 0
+    a, b = one[kind], other[kind]
+    if not len(a) or not len(b):
+        return 0.0
     if len(a) > len(b):
         a, b = b, a
     x, y = np.unpackbits(a, axis=1).astype(np.float32), np.unpackbits(b, axis=1).astype(np.float32)
@@ -157,8 +170,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((score * weight).sum() / weight.sum())
 
 
-def encoded(chain: np.ndarray) -> str:
-    return base64.b64encode(chain.tobytes()).decode()
+def encoded(fingerprint: Fingerprint) -> str:
+    """The first chain and, of short texts, a dot and the second."""
+    rare, short = (base64.b64encode(chain.tobytes()).decode() for chain in fingerprint)
+    return f"{rare}.{short}" if short else rare
 
 
 def fingerprint(df: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
