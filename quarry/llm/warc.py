@@ -1,8 +1,9 @@
 """WARC: archives without repeated payloads.
 
-Only headers are shuffled by payload digest: the least id of each digest is its original response and the
-rest become revisit records that refer to it. Payloads move once, from the scan to the writer. A digest that
-many records share meets the join in SALTS parts, and its least id is pre-aggregated before the shuffle.
+Headers alone tell each record's part: the least row (by id, then url) of each digest is its original response
+and the rest become revisit records that refer to it. Equal headers are counted before they are shuffled, and a
+digest that many of them share meets the join in SALTS parts. Of payloads only one for each digest and task is
+shuffled, to its response; revisits have none.
 
 Archives are plain WARC/1.1 written by Spark's text sink, whose line separator is the record separator, so
 any store that Spark writes to will do; each row of the sink is one archive of some ARCHIVE_BYTES of records.
@@ -10,8 +11,9 @@ Reading parses records by their Content-Length, checks each response's payload a
 gives the payload of a revisit by its headers.
 
 Null payload counts as empty. Payloads shorter than ``least_bytes`` are always responses. Repeated ids: of
-rows with the same id and payload one is the response and the rest revisit it. Extra columns are ignored; an
-empty table gives an empty archive.
+rows with the same id and payload one is the response and the rest revisit it. A null id is after all others and
+a header that is left out; what revisits such a response refers to it by record id and digest. Extra columns
+are ignored; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir
+from quarry.llm.common import shared_dir, stored
 
 SEPARATOR = "\r\n\r\n"
 ARCHIVE_BYTES = 8 << 20
@@ -35,33 +37,45 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADERS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload_ok boolean"
 
 
-def record_urn(page_id: int) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}"
+def record_urn(page_id: int | None, sha1: str, kind: str = "response") -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha1}:{kind}')}"
 
 
 def resolve_revisits(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, sha1, record_type, refers_to): ``df`` with each record's part in the archive."""
-    payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("n"))
+    """(page_id, url, html, sha1, n, record_type, refers_to): each record's part in the archive; n is the
+    payload's bytes, and html is null in revisits."""
+    text = F.coalesce(F.col(payload_col), F.lit(""))
+    rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), text.alias("html"), F.sha1(text.cast("binary")).alias("sha1"), F.octet_length(text).cast("long").alias("n"))
     own = rows.where(F.col("n") >= least_bytes)
-    originals = own.groupBy("sha1").agg(F.min("page_id").alias("original"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    salted = originals.select("sha1", "original", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    keyed = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = keyed.join(salted.hint("shuffle_hash"), ["sha1", "salt"], "left")
-    revisit = (F.col("n") >= least_bytes) & F.col("original").isNotNull() & (F.col("original") != F.col("page_id"))
-    return joined.select("page_id", "url", "html", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
+    heads = stored(own.groupBy("sha1", "page_id", "url", "n").agg(F.count("*").alias("copies")))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")).alias("least")
+    originals = heads.groupBy("sha1").agg(least, F.max("n").alias("n"), F.sum("copies").alias("records"))
+    payloads = own.groupBy("sha1").agg(F.first("html").alias("html"))
+    responses = originals.join(payloads.hint("merge"), "sha1").select("least.page_id", "least.url", "html", "sha1", "n", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    salted = originals.where("records > 1").select("sha1", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    keyed = heads.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    is_least = F.col("page_id").eqNullSafe(F.col("least.page_id")) & F.col("url").eqNullSafe(F.col("least.url"))
+    rest = keyed.join(salted.hint("shuffle_hash"), ["sha1", "salt"]).withColumn("times", F.col("copies") - is_least.cast("long")).where("times > 0")
+    revisits = rest.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "n", F.lit("revisit").alias("record_type"), F.col("least.page_id").alias("refers_to"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("col")
+    out = responses.unionByName(revisits)
+    if least_bytes > 0:
+        out = out.unionByName(rows.where(F.col("n") < least_bytes).select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")))
+    return out
 
 
 def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write ``resolved`` as archives under ``path``, each record with fresh headers."""
 
-    def record(page_id: int, url: str | None, html: str | None, sha1: str, kind: str, refers_to: int | None) -> str:
+    def record(page_id: int | None, url: str | None, html: str | None, sha1: str, size: int, kind: str, refers_to: int | None) -> str:
         body = html or ""
-        size = len(body.encode())
         digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_urn(page_id)}>", f"WARC-Date: {date}", f"WARC-Target-URI: {(url or '').replace(chr(13), '').replace(chr(10), '')}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8", f"X-Page-ID: {page_id}", f"X-Payload-Length: {size}"]
+        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_urn(page_id, sha1, kind)}>", f"WARC-Date: {date}", f"WARC-Target-URI: {(url or '').replace(chr(13), '').replace(chr(10), '')}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8", f"X-Payload-Length: {size}"]
+        if page_id is not None:
+            head.append(f"X-Page-ID: {page_id}")
         if kind == "revisit":
-            head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_urn(refers_to)}>", f"X-Refers-To-Page: {refers_to}"]
+            head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_urn(refers_to, sha1)}>"]
+            if refers_to is not None:
+                head.append(f"X-Refers-To-Page: {refers_to}")
             body, size = "", 0
         return "\r\n".join([*head, f"Content-Length: {size}"]) + SEPARATOR + body
 
@@ -77,7 +91,7 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(held)])], names=["value"])
 
-    archives = resolved.select("page_id", "url", "html", "sha1", "record_type", "refers_to").mapInArrow(run, "value string")
+    archives = resolved.select("page_id", "url", "html", "sha1", "n", "record_type", "refers_to").mapInArrow(run, "value string")
     archives.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
@@ -116,8 +130,8 @@ def parsed(raw: memoryview) -> Iterator[tuple]:
             ok = len(payload) == size and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest
             if not ok:
                 raise ValueError(f"record {head['WARC-Record-ID']}: the payload doesn't match its digest")
-        refers = head.get("X-Refers-To-Page")
-        yield int(head["X-Page-ID"]), size, digest, kind, int(refers) if refers else None, ok
+        page_id, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page")
+        yield int(page_id) if page_id else None, size, digest, kind, int(refers) if refers else None, ok
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

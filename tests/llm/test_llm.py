@@ -361,6 +361,23 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, path + "0").count() == 0
 
 
+def test_warc_repeated_and_null_ids(spark, tmp_path):
+    rows = [(1, "aa", "u")] * 3 + [(1, "aa", None), (2, "aa", "u"), (1, "bb", "u"), (None, "aa", "u"), (None, "bb", "u")] + [(None, "cc", "u")] * 2 + [(None, "cc", "v"), (3, None, None), (3, "", None), (None, "d", None)]
+    path = str(tmp_path / "w")
+    warc.write_archives(warc.resolve_revisits(spark.createDataFrame(rows, "page_id long, html string, url string")), path)
+    got = warc.read_archives(spark, path).collect()
+    name = {base64.b32encode(hashlib.sha1(x.encode()).digest()).decode(): x for x in ("aa", "bb", "cc", "d", "")}
+    want = {
+        ("aa", 1, "response", None): 1, ("aa", 1, "revisit", 1): 3, ("aa", 2, "revisit", 1): 1, ("aa", None, "revisit", 1): 1,
+        ("bb", 1, "response", None): 1, ("bb", None, "revisit", 1): 1, ("cc", None, "response", None): 1, ("cc", None, "revisit", None): 2,
+        ("", 3, "response", None): 1, ("", 3, "revisit", 3): 1, ("d", None, "response", None): 1,
+    }
+    assert Counter((name[r.payload_digest], r.page_id, r.record_type, r.refers_to) for r in got) == want
+    assert all(r.payload_bytes == len(name[r.payload_digest]) for r in got)
+    small = warc.resolve_revisits(spark.createDataFrame(rows, "page_id long, html string, url string"), least_bytes=2).collect()
+    assert len(small) == len(rows) and Counter(r.record_type for r in small if r.n < 2) == {"response": 3}
+
+
 def test_warc_on_the_table(spark, sf_dir):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = warc.op8_warc_revisits(spark, sf_dir).collect()
