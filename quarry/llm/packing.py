@@ -40,7 +40,7 @@ _CLASS[128:] = 1
 
 
 class PartEncoder:
-    """Ids of texts by way of their distinct parts. Holds at most CACHE_PARTS parts between slices."""
+    """Ids of texts by way of their distinct parts. Once it holds more than CACHE_PARTS, it forgets all before it learns a slice's."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
@@ -58,8 +58,6 @@ class PartEncoder:
 
     def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
         """Add parts; plain a-z words are encoded many at a time and told apart by their word-end ids."""
-        if len(self.hashes) > CACHE_PARTS:
-            self._clear()
         if self.ends is None:
             vocab = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -101,17 +99,12 @@ class PartEncoder:
         else:
             new = np.ones(len(distinct), bool)
         if new.any():
+            if len(self.hashes) > CACHE_PARTS:  # only between slices: all parts of this one are learned together
+                self._clear()
+                new[:] = True
             raw, some = low.tobytes(), where[new]
-            before = len(self.hashes)
-            parts = [raw[s:e] for s, e in zip(starts[some].tolist(), ends[some].tolist())]
-            self._learn(distinct[new], parts)
-            if len(self.hashes) < before + len(parts):  # the cache was cleared
-                known = ~new
-                parts = [raw[s:e] for s, e in zip(starts[where[known]].tolist(), ends[where[known]].tolist())]
-                self._learn(distinct[known], parts)
-            at = np.searchsorted(self.hashes, distinct)
-        else:
-            at = np.searchsorted(self.hashes, distinct)
+            self._learn(distinct[new], [raw[s:e] for s, e in zip(starts[some].tolist(), ends[some].tolist())])
+        at = np.searchsorted(self.hashes, distinct)
         first, size = self.first[at][back], self.size[at][back]
         counts = word_counts(starts, offsets)
         n_docs = len(counts)

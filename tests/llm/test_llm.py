@@ -125,6 +125,17 @@ def test_encoder_equals_tokenizer():
         assert got == [own.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
+def test_encoder_keeps_the_parts_of_its_slice(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHE_PARTS", 3)
+    own, encoder = Tokenizer.from_file(path), packing.PartEncoder(path)
+    for text in ("one two three four", "one five six seven eight nine", "one two", "nine ten, 12", "ten"):
+        _, _, buf, offsets = next(text_slices(pa.array([text])))
+        assert encoder.encode(buf, offsets, 1)[0].tolist() == own.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_best_fit_places_as_a_plain_scan_does():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 101, 400)
