@@ -8,8 +8,8 @@ filters of the shorter one, of the best overlap of bits beyond what chance gives
 
 Rare windows are few in short texts, so texts under SHORT bytes have a second chain, of all their windows of
 SHORT_WINDOW bytes. Two fingerprints are compared by the second chains if both have one, else by the first
-ones. Texts from about WINDOW + POPULARITY + LEAST_POINTS bytes on have a first chain, so two texts lack a common kind
-only if one is under that and the other has SHORT bytes or more.
+ones. Nearly all texts from WINDOW + POPULARITY + LEAST_POINTS bytes on have a first chain (on sf0.1, 770 of
+774 such short ones). A shorter text, or one of the few without it, has likeness 0 to a text of SHORT bytes or more.
 
 Null text counts as empty; an empty text has an empty fingerprint, like (1) only to another empty one. Equal
 texts have equal fingerprints. Repeated rows are digested alike; extra columns are ignored.
