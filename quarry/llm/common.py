@@ -6,6 +6,7 @@ found and hashed over whole slices of a batch with numpy, not per row.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,18 +14,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+LONG_SPAN = 256
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k bytes of eight
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share."""
+    """A new folder name under spark.checkpoint.dir, which driver and executors share. Only a local session
+    gets a temporary folder where the setting is missing."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
@@ -38,6 +42,20 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def tidy() -> None:
+    """Hand freed memory back to the system at the end of a task: workers live on, and their allocators keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -87,15 +105,6 @@ def spans(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts[keep], ends[keep]
 
 
-def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        steps[0] = 1
-        _powers[name] = have = np.multiply.accumulate(steps)
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that all bits of a polynomial hash count."""
     h = h ^ (h >> np.uint64(32))
@@ -106,12 +115,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end], from prefix sums of a polynomial modulo 2**64."""
-    n = len(buf)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power_table("up", _BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power_table("down", _INVERSE, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    """64-bit hashes of buf[start:end]. Eight bytes at a time enter a state that a bijective mixer renews, and
+    the length comes last; spans over LONG_SPAN bytes are hashed by xxhash. Nothing in it is linear, so
+    different spans collide by chance alone: of d distinct ones some d * d / 2**65 pairs."""
+    sizes = ends - starts
+    eights = np.ndarray(len(buf) + 1, "<u8", np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
+    h = mix(eights[starts] & _FIRST_BYTES[np.minimum(sizes, 8)])
+    more, at = np.flatnonzero((sizes > 8) & (sizes <= LONG_SPAN)), 8
+    while len(more):
+        h[more] = mix(h[more] ^ (eights[starts[more] + at] & _FIRST_BYTES[np.minimum(sizes[more] - at, 8)]))
+        at += 8
+        more = more[sizes[more] > at]
+    for i in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(buf[starts[i] : ends[i]]))
+    return mix(h ^ sizes.astype(np.uint64))
 
 
 def word_counts(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
