@@ -6,8 +6,11 @@ are hashed to 2**BITS weights; a text's features are its n-gram counts over the
 words, and its score is the sigmoid of their dot product with the weights.
 
 Training sees a bounded sample of labelled rows (``max_rows`` of ``training_rows``) in an order fixed by
-the texts' hashes; scoring sees every whole text. Null or empty text has no features: its score is the bias alone. No
-labelled rows: every score is 0.5. Repeated rows score alike; extra columns are ignored.
+the texts' hashes, an epoch after the other; no text is held longer than its updates take. Scoring sees every whole
+text. Null or empty text has no features: its score is the bias alone. No labelled rows: every score is 0.5. Of
+several labels of one document the highest counts. Repeated rows score alike (and count as often in training);
+texts of any length are taken a slice at a time; extra columns are ignored, also those named as the results,
+which ``names`` can rename.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_spans, mix, spans, text_slices, word_counts
+from quarry.llm.common import hash_spans, mix, spans, text_slices, tidy, word_counts
 from quarry.llm.language_id import held_out
 
 BITS = 18
@@ -89,21 +92,19 @@ def fit(labelled: DataFrame, label_col: str, text_col: str = "text", epochs: int
     """Weights from a bounded sample of rows (see ``training_rows``). One task makes the passes; the driver
     gets the weights that aren't 0."""
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(text_col).alias("h"))
-    sample = rows.repartition(1).sortWithinPartitions("h", "y")
+    sample = rows.repartition(1).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).sortWithinPartitions("epoch", "h", "y").select("t", "y")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = FTRL(), []
+        model = FTRL()
         for b in batches:
             labels = b.column(1).to_pylist()
             for lo, hi, buf, offsets in text_slices(b.column(0)):
                 for (at, x), y in zip(_features(buf, offsets), labels[lo:hi]):
-                    seen.append((at.astype(np.int32), x.astype(np.float32), y))
-        for _ in range(epochs):
-            for at, x, y in seen:
-                model.update(at, x, y)
+                    model.update(at, x, y)
         w = model.weights()
         keep = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(w[keep], pa.float64())], names=["i", "w"])
+        tidy()
 
     out = np.zeros(BIAS + 1)
     for i, w in sample.mapInArrow(learn, "i bigint, w double").collect():
@@ -123,8 +124,8 @@ def score_texts(weights: np.ndarray, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def score(df: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``keep`` columns of ``df`` with score and predicted."""
+def score(df: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` columns of ``df`` with score and predicted (or other ``names``)."""
     shared = df.sparkSession.sparkContext.broadcast(weights)  # 2**BITS numbers
     extra = [] if text_col in keep else [text_col]
     kept = df.select(*keep, *extra)
@@ -132,10 +133,11 @@ def score(df: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = score_texts(shared.value, b.column(b.schema.get_field_index(text_col)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*keep, *names])
+        tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
-    return kept.mapInArrow(run, f"{fields}, score double, predicted int")
+    return kept.mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` int")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
