@@ -5,16 +5,18 @@ come from the scan and without a shuffle: a row per segment and term with the ga
 positions in the segment, and a row (null term) with where each text begins. Positions run on over a
 segment's texts with one place left free between texts.
 
-A search takes the test items in blocks of BLOCK_ITEMS. The terms' frequencies over the whole index come
-first; then only postings of terms that a possible window needs are dealt out by segment, and in each segment a
+A search takes the test items in blocks of BLOCK_WORDS words; a longer item meets the index in parts that share
+no window. The terms' frequencies over the whole index come first; then only postings of terms that a possible window needs are dealt out by segment, and in each segment a
 window starts from its rarest term's list and keeps the starts that the next rarer lists, shifted by their
 offsets, hold too. ``phrase_matches`` gives exact windows, ``proximity_matches`` items whose rarest term has
 all other terms within a distance.
 
 A word is a run of bytes in 0-9, a-z and 0x80-0xFF after A-Z are lower-cased, which is what the contract's
-pattern says of characters. Terms are 64-bit hashes of words. Null or empty text has no words; a test item
-without words has no window; of items with the same id each counts. Repeated documents are judged each on
-their own; extra columns are ignored; an empty table gives an empty result.
+pattern says of characters. Terms are 64-bit hashes of words, mixed and not linear (see common.hash_spans): with d
+distinct words some d * d / 2**65 pairs of words would be taken for each other. Null or empty text has no words;
+a test item without words has no window. Items with the same id are one item with the windows of all; a null id
+counts as the empty string. Repeated documents are judged each on their own, also without an id; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, hash_spans, partitions, spans, stored, text_slices, word_counts
+from quarry.llm.common import ascii_lower, hash_spans, partitions, shared_dir, spans, stored, text_slices, tidy, word_counts
 
 SEGMENT_BYTES = 12 << 20
-BLOCK_ITEMS = 5000
+BLOCK_WORDS = 250_000
 WINDOW = 13
 
 _WORD = np.zeros(256, np.uint8)
@@ -88,6 +90,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     segment, ids, terms, counts, size = segment + 1, [], [], [], 0
         if ids:
             yield from segment_batch(segment, ids, terms, counts)
+        tidy()
 
     table = stored(df.select(id_col, text_col).mapInArrow(run, f"segment bigint, term bigint, n bigint, gaps binary, ordinal int, doc_id {kind}, n_words bigint"))
     return table.where("n IS NOT NULL").select("segment", "term", "n", "gaps"), table.where("ordinal IS NOT NULL").select("segment", "ordinal", "doc_id", "n_words")
@@ -95,21 +98,25 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 @dataclass
 class Item:
+    """An item's words, or of a long item the words of some of its windows."""
+
     item_id: str
     terms: np.ndarray
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Item]]:
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> Iterator[list[Item]]:
     """The test items with words, a block at a time: the stated query set."""
     held: list[Item] = []
-    for item_id, text in benchmark.select(F.col(id_col).cast("string"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
+    size = 0
+    for item_id, text in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         buf = np.frombuffer(text.encode(), np.uint8)
         terms, _ = words(buf, np.array([0, len(buf)]))
-        if len(terms):
-            held.append(Item(item_id, terms))
-        if len(held) >= BLOCK_ITEMS:
-            yield held
-            held = []
+        for lo in range(0, max(1, len(terms) - window + 1) if len(terms) else 0, BLOCK_WORDS):
+            held.append(Item(item_id, terms[lo : lo + BLOCK_WORDS + window - 1]))
+            size += len(held[-1].terms)
+            if size >= BLOCK_WORDS:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
@@ -134,6 +141,8 @@ def _per_segment(index: DataFrame, terms: np.ndarray, schema: str, match) -> Dat
                 else:
                     lists[term] = np.cumsum(np.frombuffer(gaps.as_buffer(), "<i4"), dtype=np.int64)
         rows = match(lists, begins)
+        del lists, begins
+        tidy()
         names = [f.split()[0] for f in schema.split(", ")]
         return pa.Table.from_pydict({"segment": [key[0]] * len(rows)} | {c: [r[i] for r in rows] for i, c in enumerate(names[1:])}, pa.schema([(n, types[n]) for n in names]))
 
@@ -151,31 +160,31 @@ def phrase_matches(index: DataFrame, items: list[Item], window: int = WINDOW) ->
     """(segment, ordinal, item_id, start, end): each occurrence of a window of an item, as word positions
     in its text, end exclusive; overlapping occurrences of one item are merged."""
     often = _frequencies(index, np.unique(np.concatenate([i.terms for i in items])))
-    plans = []  # (item, [(terms' offsets from the rarest on)]) of windows all of whose terms occur
+    plans = []  # (item, its terms, how often each occurs, the starts of windows all of whose terms occur)
     for item in items:
         size = min(window, len(item.terms))
         n = np.array([often.get(t, 0) for t in item.terms.tolist()])
-        for w in range(len(item.terms) - size + 1):
-            if n[w : w + size].all():
-                plans.append((item.item_id, item.terms[w : w + size], np.argsort(n[w : w + size], kind="stable")))
-    needed = np.unique(np.concatenate([t for _, t, _ in plans])) if plans else np.zeros(0, np.int64)
+        lacks = np.concatenate([[0], np.cumsum(n == 0)])
+        if len(possible := np.flatnonzero(lacks[size:] == lacks[:-size])):
+            plans.append((item.item_id, item.terms, n, possible))
+    needed = np.unique(np.concatenate([t[n > 0] for _, t, n, _ in plans])) if plans else np.zeros(0, np.int64)
 
     def match(lists: dict[int, np.ndarray], begins: np.ndarray) -> list[tuple]:
         found: dict[tuple[int, str], list[tuple[int, int]]] = {}
-        for item_id, terms, order in plans:
-            starts = None
-            for o in order.tolist():
-                if (own := lists.get(int(terms[o]))) is None:
-                    starts = None
-                    break
-                starts = own - o if starts is None else starts[_holds(own, starts + o)]
-                if not len(starts):
-                    break
-            if starts is None or not len(starts):
-                continue
-            docs = np.searchsorted(begins, starts, "right") - 1
-            for s, d in zip((starts - begins[docs]).tolist(), docs.tolist()):
-                found.setdefault((d, item_id), []).append((s, s + len(terms)))
+        for item_id, terms, n, possible in plans:
+            size = min(window, len(terms))
+            lacks = np.concatenate([[0], np.cumsum([t not in lists for t in terms.tolist()])])
+            for w in possible[lacks[possible + size] == lacks[possible]].tolist():
+                starts = None
+                for o in np.argsort(n[w : w + size], kind="stable").tolist():  # from the rarest term on
+                    own = lists[int(terms[w + o])]
+                    starts = own - o if starts is None else starts[_holds(own, starts + o)]
+                    if not len(starts):
+                        break
+                else:
+                    docs = np.searchsorted(begins, starts, "right") - 1
+                    for s, d in zip((starts - begins[docs]).tolist(), docs.tolist()):
+                        found.setdefault((d, item_id), []).append((s, s + size))
         rows = []
         for (d, item_id), own in sorted(found.items()):
             own.sort()
@@ -224,10 +233,11 @@ def proximity_matches(index: DataFrame, items: list[Item], within: int) -> DataF
 def contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     index, docs = build_index(df, id_col, text_col)
-    hits = None
-    for block in item_blocks(benchmark):
+    hits, path = None, shared_dir(df.sparkSession)
+    for block in item_blocks(benchmark, window=window):  # the hits of all blocks are one table
         own = phrase_matches(index, block, window)
-        hits = own if hits is None else hits.unionByName(own)
+        own.write.mode("append").parquet(path)
+        hits = df.sparkSession.read.schema(own.schema).parquet(path)
     docs = docs.withColumnRenamed("doc_id", id_col)
     if hits is None:
         per_doc = docs.select("segment", "ordinal").limit(0).withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
