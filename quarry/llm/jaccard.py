@@ -1,6 +1,6 @@
 """N-gram Jaccard join: exact links between texts whose sets of word shingles are alike.
 
-1. Equal texts are one representative (their least id); copies only rejoin at the end.
+1. Equal texts are one node, with a number of its own; rows and their ids only rejoin at the end.
 2. Shingles that many texts share are found by counts in every batch, added up over the corpus. They sort
    last in the one order that all sets use, so that prefixes are made of rare shingles.
 3. Sets with a Jaccard index of at least t share a shingle among the first |x| - ceil(t|x|) + 1 of each.
@@ -18,8 +18,10 @@
 
 A shingle is 5 words in a row as a 64-bit hash; a text of fewer words is one shingle; a text without words, or
 null, has the empty set and links with nothing. Words are runs of bytes other than white space (0x20, 0x09 to
-0x0D) after A-Z are lower-cased. Repeated rows (same id and text) count as one document that is returned for
-each row. Extra columns are ignored; an empty table gives an empty result.
+0x0D) after A-Z are lower-cased. Hashes are mixed word by word (see common.hash_spans): two sets of n and m shingles
+share one by mistake with odds of n * m / 2**64. Every row is returned. Rows that repeat an id are documents of
+their own: their texts decide what they link with. A row without an id links as others do; a component all of
+whose ids are null has a null component_id. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, hash_spans, mix, partitions, spans, stored, text_slices, word_counts
+from quarry.llm.common import ascii_lower, fresh, hash_spans, mix, partitions, spans, stored, text_slices, tidy, word_counts
 from quarry.llm.components import connected
 
 SHINGLE = 5
@@ -40,6 +42,8 @@ PERCENT = 75
 LEAST_BITS = 256
 ENTRY_BITS = 1024  # of the bitmaps that entries of the last round carry
 HOT_SHARE = 0.0001  # of all texts: a shingle in more of them sorts last
+MOST_HOT = 1_000_000  # of those, the commonest; any one order of all shingles gives the same links
+TILE_ENTRIES = 250_000
 COLD = -1  # place of entries of keys that aren't hot
 BEFORE = 64  # hot shingles before a key that an entry tells of
 PAIRS_PER_GROUP = 1500
@@ -98,14 +102,14 @@ def folded_bitmap(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0) if len(bits) > words else bits
 
 
-def representatives(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(every row's doc_id and digest of its text; the distinct texts with the least id of each)."""
-    digest = F.md5(F.col(text_col).cast("binary"))
-    rows = df.select(F.col(id_col).alias("doc_id"), digest.alias("digest"))
-    reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"), digest.alias("digest")).where(F.col(text_col).isNotNull())
-    own = texts.join(reps.hint("shuffle_hash"), ["rep", "digest"], "left_semi")
-    return rows, stored(own.select("rep", "text", "digest"))
+def digest_of(text_col: str) -> Column:
+    return F.md5(F.col(text_col).cast("binary"))
+
+
+def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
+    """(rep, text, digest): each distinct text, which copies become before the shuffle, and its number."""
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), digest_of(text_col).alias("digest"))
+    return stored(texts.groupBy("digest").agg(F.first("text").alias("text")).select(F.monotonically_increasing_id().alias("rep"), "text", "digest"))
 
 
 def signatures(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -128,6 +132,7 @@ def signatures(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
             keep = n >= max(2, HOT_SHARE * len(held) / 2)
             k = int(keep.sum())
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64())), pa.array(flat[first][keep].view(np.int64)), pa.array(n[keep])], names=names)
+        tidy()
 
     names = ["rep", "digest", "size", "bits", "low", "s", "n"]
     table = stored(texts.select("rep", "text", "digest").mapInArrow(run, "rep bigint, digest string, size bigint, bits array<bigint>, low array<bigint>, s bigint, n bigint"))
@@ -135,9 +140,8 @@ def signatures(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 
 def hot_shingles(counts: DataFrame, n_texts: int) -> np.ndarray:
-    """Shingles in more than HOT_SHARE of all texts, commonest last. At most (shingles per text, on the
-    average) / HOT_SHARE of them can exist, however many texts there are."""
-    rows = counts.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > max(4, HOT_SHARE * n_texts)).toPandas().sort_values(["n", "s"])
+    """Shingles in more than HOT_SHARE of all texts, commonest last: MOST_HOT at most."""
+    rows = counts.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > max(4, HOT_SHARE * n_texts)).orderBy(F.desc("n"), "s").limit(MOST_HOT).toPandas().sort_values(["n", "s"])
     return rows["s"].to_numpy(np.int64).view(np.uint64)
 
 
@@ -159,7 +163,7 @@ def prefix_blocks(texts: DataFrame, hot: np.ndarray, tiles: int, width: int, per
     entries of a hot key stay in a tile of their batch (tile >= ``tiles``); only the first of them goes on to
     the key's own tile, where it meets the firsts of other batches."""
     by_value = np.argsort(hot)
-    shared = texts.sparkSession.sparkContext.broadcast((hot[by_value], by_value))  # see hot_shingles for its bound
+    shared = texts.sparkSession.sparkContext.broadcast((hot[by_value], by_value))  # MOST_HOT at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, rank = shared.value
@@ -213,6 +217,7 @@ def prefix_blocks(texts: DataFrame, hot: np.ndarray, tiles: int, width: int, per
                 rows.append((int(tile[a]), flat[a:z].astype("<u8").tobytes(), back.astype("<i4").tobytes(), own_ids[own].astype("<i8").tobytes(), sizes[own].astype("<i4").tobytes(), *told))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["tile", "keys", "owners", "ids", "sizes", "place", "before"])
+        tidy()
 
     return texts.select("rep", "text").mapInArrow(run, "tile int, keys binary, owners binary, ids binary, sizes binary, place binary, before binary")
 
@@ -256,6 +261,7 @@ def tile_rows(blocks: DataFrame, tiles: int, percent: int) -> tuple[DataFrame, D
         pairs = np.concatenate(pairs, axis=1)
         pairs = np.unique(np.sort(pairs[:, pairs[0] != pairs[1]], axis=0), axis=1)
         wide = wide & ~again | salted
+        tidy()
         n, m = pairs.shape[1], int(wide.sum())
         return pa.table(
             {
@@ -300,16 +306,14 @@ def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, pe
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS and n <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
 
     def check(pair_table: pa.Table, text_table: pa.Table) -> pa.Table:
-        own: dict[int, list[np.ndarray]] = {}
-        for rep, s in zip(text_table["rep"].to_pylist(), shingle_sets(text_table["text"], width)):
-            own.setdefault(rep, []).append(s)
+        own = dict(zip(text_table["rep"].to_pylist(), shingle_sets(text_table["text"], width)))
         kept = []
         for a, b in zip(pair_table["a"].to_pylist(), pair_table["b"].to_pylist()):
-            for x in own.get(a, []):
-                for y in own.get(b, []):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and 100 * both >= percent * (len(x) + len(y) - both):
-                        kept.append((a, b))
+            both = len(np.intersect1d(own[a], own[b], assume_unique=True))
+            if both and 100 * both >= percent * (len(own[a]) + len(own[b]) - both):
+                kept.append((a, b))
+        del own
+        tidy()
         return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
 
     placed = texts.select("rep", "text").join(wanted, "rep").select(F.explode("gs").alias("g"), "rep", "text")
@@ -349,12 +353,13 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return connected(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)) if links.take(1) else found
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``df``: doc_id, n_shingles, component_id."""
-    rows, texts = representatives(df, id_col, text_col)
+def text_classes(df: DataFrame, text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(digest, size, component) of each distinct text: its set's size, and the number of one text of its component."""
+    texts = distinct_texts(df, text_col)
     sigs, counts = signatures(texts, width)
-    hot = hot_shingles(counts, texts.count())
-    tiles = 2 * partitions(df.sparkSession)
+    n_texts, n_entries = sigs.agg(F.count("*"), F.sum(F.floor(F.col("size") * (100 - percent) / 100) + 1)).first()
+    hot = hot_shingles(counts, n_texts)
+    tiles = max(2 * partitions(df.sparkSession), (n_entries or 0) // TILE_ENTRIES)
     pairs, entries = tile_rows(prefix_blocks(texts, hot, tiles, width, percent), tiles, percent)
     found = connected(verified(pairs, sigs, texts, width, percent))
     # second round: under each key and size band a centre by chance, against sets of other components
@@ -372,11 +377,35 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = (F.col("before_a").bitwiseAND(F.col("before_b")) == 0) & ~F.arrays_overlap("prev_a", "prev_b")
     rest = _side(left, "a", "key").join(_side(left, "b", "key").hint("merge"), "key").where((F.col("a") < F.col("b")) & first & _possible(percent) & _bits_allow(percent))
     found = _joined(found, verified(_unseen(rest, pairs), sigs, texts, width, percent))
-    class_of = sigs.groupBy("digest").agg(F.min("rep").alias("rep"), F.max("size").alias("size")).join(found.select(F.col("node").alias("rep"), "component").hint("shuffle_hash"), "rep", "left")
-    class_of = stored(class_of.select("digest", "size", F.coalesce("component", "rep").alias("component")))
-    joined = rows.join(class_of.hint("merge"), "digest", "left")
-    n = F.coalesce("size", F.lit(0).cast("long"))
-    return joined.select("doc_id", n.alias("n_shingles"), F.when(n == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    own = sigs.select("digest", "size", "rep").join(found.select(F.col("node").alias("rep"), "component").hint("shuffle_hash"), "rep", "left")
+    return stored(own.select("digest", "size", F.coalesce("component", "rep").alias("component")))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``df``: doc_id, n_shingles, component_id."""
+    rows = df.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest"))
+    classes = text_classes(df, text_col, width, percent).where("size > 0")
+    least = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    of_text = classes.join(least.hint("shuffle_hash"), "digest")
+    of_component = of_text.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stored(of_text.join(of_component.hint("shuffle_hash"), "component").select("digest", "size", "component_id"))
+    joined = rows.join(named.hint("merge"), "digest", "left")
+    return joined.select("doc_id", F.coalesce("size", F.lit(0).cast("long")).alias("n_shingles"), F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``df`` with one row of each component, the one with the least id (null last, then by the text's digest),
+    and one of each set of rows with equal id and text. Texts without words all stay."""
+    row, digest = fresh(df, "row"), fresh(df, "digest")
+    keyed = df.withColumn(digest, digest_of(text_col))
+    keyed = keyed.withColumn(row, F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(digest, F.lit("null")))))
+    rows = keyed.select(F.col(id_col).alias("id"), F.col(digest).alias("digest"), F.col(row).alias("row"))
+    classes = text_classes(df, text_col, width, percent).where("size > 0")
+    heads = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "row")).alias("head"))
+    first = heads.join(classes.hint("shuffle_hash"), "digest").groupBy("component").agg(F.min("head").alias("head")).select(F.col("head.row").alias("row"))
+    others = rows.join(classes.select("digest").hint("merge"), "digest", "left_semi").select("row").distinct().join(first.hint("shuffle_hash"), "row", "left_anti")
+    others = stored(others.withColumnRenamed("row", row))
+    return keyed.dropDuplicates([row]).join(others.hint("shuffle_hash"), row, "left_anti").select(*df.columns)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
