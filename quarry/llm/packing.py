@@ -1,18 +1,19 @@
 """Best-fit packing of token sequences.
 
-Each text is encoded, closed with an end id and cut into pieces of at most ``capacity`` ids. Pieces are
-dealt to groups by a hash of the document; in each group a best-fit-decreasing pass places every piece in
-the open sequence with the least room that still holds it, found with a segment tree over the remaining
-capacities in logarithmic time. Full pieces are sequences of their own. A group holds some GROUP_DOCS
-documents, so it leaves at most a few sequences partly filled, whatever the size of the corpus, and no piece
-table ever meets in one task.
+Each text is encoded, closed with an end id and cut into pieces of at most ``capacity`` ids. Each task deals its
+documents to the groups in turn, so that groups are of one size whatever the ids are; in each group a
+best-fit-decreasing pass places every piece in the open sequence with the least room that still holds it, found
+with a segment tree over the remaining capacities in logarithmic time. Full pieces are sequences of their own. A
+group holds the pieces of some GROUP_DOCS documents, which is what meets in one task; it leaves at most a few
+sequences partly filled, whatever the size of the corpus.
 
 Encoding: the tokenizer works on each run of letters, digit or run of symbols alone, so a batch's distinct
-parts are encoded once and looked up by hash; parts whose borders could matter (apostrophes, non-ASCII
-symbols) stay with their neighbours.
+parts are encoded once and looked up by hash (mixed, see common.hash_spans: with d distinct parts in a cache some
+d * d / 2**65 of them would be taken for another). Where borders could matter (apostrophes, non-ASCII symbols, the
+tokenizer's own special tokens), a run between white space stays whole.
 
-Null text counts as empty (the end id alone). Repeated rows are packed each on their own; extra columns are
-ignored; an empty table gives an empty result.
+Null text counts as empty (the end id alone). Repeated rows and rows without an id are packed each on their own;
+extra columns are ignored, also those named as the results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, hash_spans, spans, text_slices, word_counts
+from quarry.llm.common import ascii_lower, hash_spans, spans, text_slices, tidy, word_counts
 
 GROUP_DOCS = 20_000
 CACHE_PARTS = 500_000
@@ -46,7 +47,7 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -87,9 +88,9 @@ class PartEncoder:
         """All ids of a slice of texts, ``end_id`` after each text, and each text's first place among them."""
         low = ascii_lower(buf)
         classes = _CLASS[low]
-        glue = _glued(buf, classes)
+        glue = _glued(buf, classes, self.special)
         if glue is not None:
-            classes = glue
+            classes, low = glue, np.where(glue == 4, buf, low)  # special tokens are told by case
         starts, ends = spans(classes, offsets)
         h = hash_spans(low, starts, ends)
         distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
@@ -133,10 +134,15 @@ def encoder_of(tokenizer_path: str) -> PartEncoder:
     return _encoders[tokenizer_path]
 
 
-def _glued(buf: np.ndarray, classes: np.ndarray) -> np.ndarray | None:
-    """Where a run between white space holds an apostrophe or a non-ASCII byte beside a symbol or digit,
-    its parts stay together: one class for the whole run."""
-    bad = buf == 39
+def _glued(buf: np.ndarray, classes: np.ndarray, special: list[bytes]) -> np.ndarray | None:
+    """Where a run between white space holds a special token, an apostrophe or a non-ASCII byte beside a symbol
+    or digit, its parts stay together: class 4 for the whole run."""
+    bad, raw = buf == 39, buf.tobytes()
+    for token in special:
+        at = raw.find(token)
+        while at >= 0:
+            bad[at] = True
+            at = raw.find(token, at + len(token))
     high = buf >= 128
     if high.any():
         other = (classes == 2) | (classes == 3)
@@ -202,11 +208,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return sequence, offset
 
 
-def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each piece of each text."""
+PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
+
+
+def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str, groups: int = 1) -> DataFrame:
+    """(pack_group, doc_id, piece, start, length, ids_crc32) of each piece of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
+        dealt = TaskContext.get().partitionId() * 7919  # where this task begins to deal
         for b in batches:
             for lo, hi, buf, offsets in text_slices(b.column(1)):
                 ids, first = encoder.encode(buf, offsets, end_id)
@@ -220,30 +230,28 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                 at = ((first[doc] + start) * 4).tolist()
                 crc = [zlib.crc32(raw[a : a + 4 * k]) for a, k in zip(at, length.tolist())]
                 own = b.column(0).slice(lo, hi - lo).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array((dealt + doc) % groups), own, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["pack_group", "doc_id", "piece", "start", "length", "ids_crc32"])
+                dealt += hi - lo
+        tidy()
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return df.select(id_col, text_col).mapInArrow(run, f"pack_group bigint, doc_id {df.schema[id_col].dataType.simpleString()}, {PIECES}")
 
 
-def pack(pieces: DataFrame, n_docs: int, capacity: int = 4096) -> DataFrame:
-    """``pieces`` with sequence_id and offset."""
-    groups = max(1, -(-n_docs // GROUP_DOCS))
+def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
+    """``pieces`` with sequence_id and offset in place of their group."""
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
+        pdf = pdf.drop(columns="pack_group").sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
         sequence, offset = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        pdf["sequence_id"] = (key[0] << 36) + sequence
-        pdf["offset"] = offset
-        return pdf.drop(columns="pack_group")
+        return pdf.assign(sequence_id=(int(key[0]) << 36) + sequence, offset=offset)
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    return grouped.groupBy("pack_group").applyInPandas(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return pieces.groupBy("pack_group").applyInPandas(place, f"doc_id {kind}, {PIECES}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(token_pieces(df, tokenizer_path, capacity, end_id, id_col, text_col), df.count(), capacity)
+    groups = max(1, -(-df.count() // GROUP_DOCS))
+    return pack(token_pieces(df, tokenizer_path, capacity, end_id, id_col, text_col, groups), capacity)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
