@@ -17,12 +17,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.common import tidy
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -107,7 +110,12 @@ def scan(text: str | None, threshold: float = 0.5) -> list[Span]:
     if not text:
         return []
     base = base_spans(text)
-    added = [(s, e, "name") for (s, e), score in scored_literals(text).items() if score >= threshold and not any(a <= s and e <= b for a, b, _ in base)]
+    starts, upto = [], []  # of the base by start, and the farthest end so far
+    for a, b, _ in sorted(base):
+        starts.append(a)
+        upto.append(max(b, upto[-1]) if upto else b)
+    inside = lambda s, e: (k := bisect_right(starts, s)) > 0 and upto[k - 1] >= e
+    added = [(s, e, "name") for (s, e), score in scored_literals(text).items() if score >= threshold and not inside(s, e)]
     return sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -156,6 +164,7 @@ def mask_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
             if (j := b.schema.get_field_index("n_chars")) >= 0:
                 b = b.set_column(j, b.schema.field(j), pa.array([None if t is None else len(t) for t in texts], b.schema.field(j).type))
             yield b
+        tidy()
 
     return df.mapInArrow(run, df.schema)
 
