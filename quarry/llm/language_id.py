@@ -9,8 +9,10 @@ The automata are flattened to one transition table in which a missing transition
 marks a phrase, so thousands of runs of text advance together, one byte a step, with numpy. A text is cut
 into runs of RUN bytes; each cut costs at most one phrase in every language alike. Whole texts are parsed.
 
-Null text or one without a letter: ``und`` and score 0. No labelled rows: ``und`` for all. Repeated rows are
-predicted alike and learned once; extra columns are ignored.
+Null text or one without a letter: ``und`` and score 0. No labelled rows: ``und`` for all; an empty table gives an
+empty result. Repeated rows are predicted alike and learned once; rows without an id are predicted too, and never
+held out; texts of any length are parsed a slice at a time; extra columns are ignored. The table of all automata is
+bounded by the characters of the sample (``fit``), not by the number of languages.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ SEPARATOR = 0
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
 class SuffixAutomaton:
@@ -87,11 +89,13 @@ class LanguageModel:
             for i, to in enumerate(states):
                 for c, j in to.items():
                     table[i, c] = ((root + j) * self.width) << 1
-            blocks.append(table.astype(np.int32).ravel())
+            blocks.append(table.ravel())
             self.roots.append(root * self.width)
             self.log_n.append(math.log2(len(raw[k]) + 1))
             at += len(states)
-        self.step = np.concatenate(blocks) if blocks else np.zeros(0, np.int32)
+        self.step = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
+        if not blocks or self.step.max() < 1 << 31:
+            self.step = self.step.astype(np.int32)
 
     def phrases(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases that each language needs for each text: (texts, languages)."""
@@ -103,9 +107,9 @@ class LanguageModel:
         length = np.minimum(RUN, offsets[1:][owner] - start)
         order = np.argsort(-length, kind="stable")
         start, length, owner = start[order], length[order], owner[order]
-        symbols = self.symbol[buf].astype(np.int32)
+        symbols = self.symbol[buf].astype(self.step.dtype)
         n_lang = len(self.languages)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(start), 1)
+        state = np.repeat(np.array(self.roots, self.step.dtype)[:, None], len(start), 1)
         count = np.ones((n_lang, len(start)), np.int32)
         active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
         for t, k in enumerate(active.tolist()):
@@ -136,22 +140,21 @@ class LanguageModel:
         return names[pred].tolist(), scores
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 96, chars_per_doc: int = 400) -> LanguageModel:
-    """Learn from a bounded sample: of each language the ``docs_per_language`` distinct texts that come
-    first by hash, ``chars_per_doc`` characters from the middle of each. Copies of a text are made one before
-    they are shuffled. The driver holds only the sample."""
-    rows = (
-        df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(lang_col, F.xxhash64(text_col).alias("h"), F.length(text_col).alias("n"), F.expr(f"substring({text_col}, cast(greatest(1, length({text_col}) div 2 - {chars_per_doc // 2}) AS int), {chars_per_doc})").alias("t"))
-        .distinct()
-        .withColumn("r", F.row_number().over(Window.partitionBy(lang_col).orderBy("h", "n", "t")))
-        .where(F.col("r") <= docs_per_language)
-        .select(lang_col, "r", "t")
-        .collect()
-    )
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 96, chars_per_language: int = 60_000, max_chars: int = 240_000) -> LanguageModel:
+    """Learn from a bounded sample of whole texts: of each language the distinct texts that come first by hash, at
+    most ``docs_per_language`` of them, with ``chars_per_language`` characters together (and all languages with
+    ``max_chars``); texts that are longer alone aren't learned from. Only hashes of texts are shuffled, copies made
+    one before that; the driver gets the chosen texts."""
+    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.length(text_col).cast("long").alias("n"), F.col(text_col).alias("t"))
+    n_languages = rows.select("lang").distinct().count()
+    most = min(chars_per_language, max_chars // max(1, n_languages))
+    by_hash = Window.partitionBy("lang").orderBy("h", "n")
+    first = rows.where(F.col("n") <= most).groupBy("lang", "h", "n").agg(F.lit(1).alias("one")).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= docs_per_language)
+    chosen = first.withColumn("upto", F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= most).select("lang", "h", "n")
+    texts = rows.join(F.broadcast(chosen), ["lang", "h", "n"]).groupBy("lang", "h", "n").agg(F.min("t").alias("t"))  # at most docs_per_language for each language are broadcast
     parts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r[0], r[1])):
-        parts.setdefault(r[0], []).append(r[2])
+    for r in sorted(texts.collect()):
+        parts.setdefault(r.lang, []).append(r.t)
     return LanguageModel({k: "\n".join(v) for k, v in parts.items()})
 
 
