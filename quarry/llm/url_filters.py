@@ -40,16 +40,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 class Cascade:
-    """Levels of Bloom filters over ``universe`` (key, listed), built by grouping on words of bits."""
+    """Levels of Bloom filters over ``universe`` (key, listed), built by grouping on words of bits. A level is an
+    array that every task holds: if one would be over ``max_mb``, ``oversized`` is set, and membership is for a
+    join with ``listed`` to tell."""
 
     def __init__(self, universe: DataFrame, bits_per_key: int = 10, hashes: int = 4, max_mb: int = 64):
         self.spark, self.hashes, self.sizes, self.levels = universe.sparkSession, hashes, [], []
-        keys = stored(universe.groupBy("key").agg(F.max("listed").alias("listed")))
+        keys, self.oversized = stored(universe.groupBy("key").agg(F.max("listed").alias("listed"))), False
         inside, outside = keys.where("listed").select("key"), keys.where("NOT listed").select("key")
+        self.listed = inside
         while n := inside.count():
             bits = -(-n * bits_per_key // 64) * 64
             if bits > max_mb << 23:
-                raise ValueError(f"a level of {bits >> 23} MB is over max_mb={max_mb}; split the keys by hash and build a cascade for each part")
+                self.oversized = True
+                break
             level = len(self.levels)
             self.sizes.append(bits)
             self.levels.append(self._encode(inside, level, bits))
@@ -99,7 +103,16 @@ class Cascade:
         return df.drop(*[f"_level{i}" for i in range(len(self.levels))])
 
 
-def judge(df: DataFrame, rules=RULES, listed_labels=LISTED_LABELS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _found_by_join(keyed: DataFrame, listed: DataFrame) -> DataFrame:
+    """``keyed`` with fit and bad_host for a list that no task can hold: a join by key for each distinct host and path."""
+    pairs = keyed.where("host <> ''").groupBy("host", "path").agg(F.first("keys").alias("keys"))
+    keys = pairs.select("host", "path", F.explode(F.array_distinct(F.array_append("keys", F.col("host")))).alias("key"))
+    found = stored(keys.join(listed.hint("merge"), "key").groupBy("host", "path").agg(F.collect_set("key").alias("fit")))
+    out = keyed.join(found.hint("merge"), ["host", "path"], "left").withColumn("fit", F.coalesce("fit", F.array().cast("array<string>")))
+    return out.withColumn("bad_host", F.array_contains("fit", F.col("host")))
+
+
+def judge(df: DataFrame, rules=RULES, listed_labels=LISTED_LABELS, id_col: str = "page_id", url_col: str = "url", max_mb: int = 64) -> DataFrame:
     """Verdict on every url: that of the longest fitting rule, else block for a listed host, else allow.
 
     A url's candidate keys are each suffix of its host with each prefix of its path of a length that some
@@ -117,10 +130,12 @@ def judge(df: DataFrame, rules=RULES, listed_labels=LISTED_LABELS, id_col: str =
     universe = keyed.select(F.explode("keys").alias("key")).distinct().select("key", F.col("key").isin(*rule_keys).alias("listed"))
     hosts = pages.where("host <> ''").select(F.col("host").alias("key")).distinct()
     hosts = hosts.select("key", F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, listed_labels))).alias("listed"))
-    cascade = Cascade(universe.unionByName(hosts))
-    judged = cascade.attach(keyed)
-    fitting = F.filter("keys", cascade.contains)
-    judged = cascade.drop(judged.withColumns({"fit": fitting, "bad_host": cascade.contains(F.col("host")) & (F.col("host") != "")}))
+    cascade = Cascade(universe.unionByName(hosts), max_mb=max_mb)
+    if cascade.oversized:
+        judged = _found_by_join(keyed, cascade.listed)
+    else:
+        found = {"fit": F.filter("keys", cascade.contains), "bad_host": cascade.contains(F.col("host")) & (F.col("host") != "")}
+        judged = cascade.drop(cascade.attach(keyed).withColumns(found))
     order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] == "allow", r[1]))
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("bad_host"), "block").otherwise("allow")
     for what, h, p in reversed(order):
