@@ -32,6 +32,7 @@ WINDOW, POPULARITY, LEAST_POINTS = 32, 64, 16
 SHORT, SHORT_WINDOW = 512, 8
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 LEVELS = 1001
+COMPARED = 256
 WEAK = 100  # windows of lower entropy (of 1000) are runs of few bytes, and never features
 _UNIT = 1 << 20
 
@@ -162,11 +163,15 @@ def likeness(one: Fingerprint, other: Fingerprint) -> float:
         return 0.0
     if len(a) > len(b):
         a, b = b, a
-    x, y = np.unpackbits(a, axis=1).astype(np.float32), np.unpackbits(b, axis=1).astype(np.float32)
-    both, nx, ny = x @ y.T, x.sum(1)[:, None], y.sum(1)[None, :]
-    chance = nx * ny / FILTER_BITS
-    score = np.clip((both - chance) / np.maximum(np.minimum(nx, ny) - chance, 1e-6), 0, 1).max(1)
-    weight = x.sum(1)
+    score, weight = np.zeros(len(a)), np.bitwise_count(a).sum(1, dtype=np.float64)
+    n_b = np.bitwise_count(b).sum(1, dtype=np.float64)
+    for i in range(0, len(a), COMPARED):  # of long texts so many filters at once
+        x, nx = np.unpackbits(a[i : i + COMPARED], axis=1).astype(np.float32), weight[i : i + COMPARED, None]
+        for j in range(0, len(b), COMPARED):
+            ny = n_b[None, j : j + COMPARED]
+            both, chance = x @ np.unpackbits(b[j : j + COMPARED], axis=1).astype(np.float32).T, nx * ny / FILTER_BITS
+            best = np.clip((both - chance) / np.maximum(np.minimum(nx, ny) - chance, 1e-6), 0, 1).max(1)
+            score[i : i + COMPARED] = np.maximum(score[i : i + COMPARED], best)
     return float((score * weight).sum() / weight.sum())
 
 
