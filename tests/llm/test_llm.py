@@ -20,6 +20,8 @@ from quarry.llm.components import connected
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: A word and its complement: polynomials modulo 2**64 can't tell them apart.
+THUE_MORSE, SWAPPED = "".join("ab"[i.bit_count() & 1] for i in range(2048)), str.maketrans("ab", "ba")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, tile int"
 
 
@@ -114,8 +116,7 @@ def test_encoder_equals_tokenizer():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    texts = ["it's he'll '###é 12é4 «bonjour» don’t", "", "É́a — x3.5 abc\x1cdef ghi\x0bj İSTANBUL ΣΑΣ ﬁ ½ áb 中文,字 😀!!", "<|endoftext|>x", "naïve—test's", "a\tb\r\nc\x0cd", "x1y2-z_3 THE the", None]
+    texts = ["a <|endoftext|> b", "A<|ENDOFTEXT|>b it<|startoftext|>'S x", "<|endoftext|><|endoftext|>é1", "<|endof", "text|> y", THUE_MORSE + " " + THUE_MORSE.translate(SWAPPED), "it's he'll '###é 12é4 «bonjour» don’t", "", "É́a — x3.5 abc\x1cdef ghi\x0bj İSTANBUL ΣΑΣ ﬁ ½ áb 中文,字 😀!!", "<|endoftext|>x", "naïve—test's", "a\tb\r\nc\x0cd", "x1y2-z_3 THE the", None]
     encoder = packing.PartEncoder(path)
     for limit in (1, 1 << 20):
         got = []
@@ -161,7 +162,7 @@ def test_packing(spark, sf_dir):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a b c d " * 3000)], "doc_id long, text string"))
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a b c d " * 3000), (-4, "x <|endoftext|> y<|startoftext|>'s"), (-5, THUE_MORSE), (-6, THUE_MORSE.translate(SWAPPED))], "doc_id long, text string"))
     rows = packing.pack_documents(df, path).collect()
     by_doc, by_sequence = {}, {}
     for r in rows:
@@ -177,6 +178,11 @@ def test_packing(spark, sf_dir):
         assert own_pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own_pieces, own_pieces[1:])) and sum(own_pieces[-1]) <= 4096
     assert len(by_sequence) <= math.ceil(sum(r.length for r in rows) / 4096) + 2
     assert packing.pack_documents(df.limit(0), path).count() == 0
+    clashing = docs(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (None, None)]).withColumns({"pack_group": F.lit("x"), "piece": F.lit("y")})
+    got = packing.pack_documents(clashing, path).collect()
+    assert Counter((r.doc_id, r.length) for r in got) == {(1, 3): 2, (None, 3): 1, (None, 1): 1} and sorted((r.sequence_id, r.offset) for r in got) == [(0, 0), (0, 3), (0, 6), (0, 9)]
+    groups = packing.token_pieces(clashing.unionByName(clashing).repartition(1), path, 4096, 1, "doc_id", "text", 4).toPandas()["pack_group"]
+    assert sorted(Counter(groups).values()) == [2, 2, 2, 2]  # whatever the ids are
 
 
 def judged(texts, items):
@@ -190,7 +196,7 @@ def judged(texts, items):
             for a in range(len(q) - k + 1) if k else ():
                 for b in range(len(w) - k + 1):
                     if w[b : b + k] == q[a : a + k]:
-                        own.add(str(item))
+                        own.add("" if item is None else str(item))
                         hit.update(range(b, b + k))
         out[i] = (len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))
     return out
@@ -202,10 +208,13 @@ def test_decontamination(spark, monkeypatch):
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 14, 20])))) for i in range(30)] + [(99, None), (98, "?!"), (97, items_text := "one two three")]
     texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(60)]
     texts += [(100, None), (101, ""), (102, items[3][1]), (103, "a. ONE, two-three b"), (104, "one two"), (105, "three"), (106, "the " * 20000 + items_text)]
-    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 7)
+    texts += [(None, items[4][1]), (None, THUE_MORSE), (7000, " ".join(f"b{k}" for k in range(3, 60)))]
+    items += [(None, items[5][1]), (None, "four five six"), (96, THUE_MORSE.translate(SWAPPED)), (95, " ".join(f"b{k}" for k in range(90)))]
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 40)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.contamination(docs(spark, texts), bench).collect()
-    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == judged(texts, items)
+    want = Counter(x for i, t in texts for x in [(i, *judged([(i, t)], items)[i])])
+    assert Counter(tuple(r) for r in got) == want
     assert decontamination.contamination(docs(spark, []), bench).count() == 0
     clean = decontamination.contamination(docs(spark, texts), bench.limit(0)).collect()
     assert len(clean) == len(texts) and not any(r.contaminated for r in clean)
@@ -312,12 +321,23 @@ def test_jaccard(spark, monkeypatch):
     passage = " ".join(f"p{k}" for k in range(30))
     texts += [(200 + i, passage + " " + " ".join(f"q{i}_{k}" for k in range(rng.choice([2, 6, 10, 40])))) for i in range(40)]
     texts += [(400, None), (401, ""), (402, " \t"), (403, "a b"), (404, "A  b"), (405, "a b c d e"), (406, "a b c d"), (407, texts[0][1]), (408, texts[0][1].upper()), (409, "z " * 9000)]
+    texts += [(410, THUE_MORSE), (411, THUE_MORSE.translate(SWAPPED))]
     got = jaccard.jaccard_components(docs(spark, texts + texts[:2])).collect()
     assert len(got) == len(texts) + 2
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(texts)
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_jaccard_rows_without_or_with_shared_ids(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(None, a), (None, a), (7, a), (7, b), (3, b), (None, "alone in all the words here"), (None, None), (None, ""), (9, "")]
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(docs(spark, rows)).collect())
+    assert got == Counter([(None, 3, 7), (None, 3, 7), (7, 3, 7), (7, 2, 3), (3, 2, 3), (None, 2, None), (None, 0, None), (None, 0, None), (9, 0, 9)])
+    kept = jaccard.one_of_each(docs(spark, rows + [(9, ""), (7, a)]).withColumns({"row": F.lit(1), "digest": F.lit(2)}))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, a), (3, b), (None, "alone in all the words here"), (None, None), (None, ""), (9, "")])
+    assert kept.columns[-2:] == ["row", "digest"] and jaccard.one_of_each(docs(spark, [])).count() == 0
+
+
 def test_jaccard_around_the_threshold(spark, monkeypatch):
     """One large family, most of whose pairs are just below or just above the threshold."""
     monkeypatch.setattr(jaccard, "HOT_SHARE", 0.02)
@@ -405,6 +425,13 @@ def test_url_filters(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_filters_beyond_one_array(spark):
+    urls = ["http://EXAMPLE.org/es/x", "http://a.b.com/fr/", "http://a.b.com/fr/", None, "http://spam-farm.net/x", "http://x.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(1, urls[1]), (None, urls[4])], "page_id long, url string")
+    want = Counter(tuple(r) for r in url_filters.judge(pages).collect())
+    assert Counter(tuple(r) for r in url_filters.judge(pages, max_mb=0).collect()) == want and want[1, "a.b.com", "/fr/", "com/fr/", "allow"] == 2
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     cascade = url_filters.Cascade(universe, bits_per_key=4, hashes=2)
