@@ -1,34 +1,42 @@
 """The corpus pipeline: quality, near duplicates, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and is written and read
-again before the next. All but the last return the columns of ``documents``.
+again before the next. All but the last return the columns of ``documents``, whatever these are named.
+
+Decisions are by row. A null or empty text is judged like any other: it has the classifier's bias as its score,
+no near duplicate, no contamination and no secret, and is packed as the end id alone. Rows without an id stay apart
+by their texts; of rows with equal id and text one stays (near duplicates); an id with several texts is several
+documents. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, jaccard, packing, quality, secret_scans
-from quarry.llm.common import shared_dir, stored
+from quarry.llm.common import fresh, shared_dir, stored
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier rejects."""
     weights = quality.fit(quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "quality")
-    return quality.score(docs, weights, docs.columns).where("predicted = 1").select(*docs.columns)
+    names = fresh(docs, "score"), fresh(docs, "predicted")
+    return quality.score(docs, weights, docs.columns, names=names).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of alike documents the one with the least id stays."""
-    others = stored(jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold benchmark windows in a twentieth or more of their words."""
-    judged = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = stored(judged.where("contaminated").select("doc_id").distinct())
-    return docs.join(bad.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Drop the documents that hold benchmark windows in a twentieth or more of their words, told by their texts."""
+    digest = fresh(docs, "digest")
+    docs_by = docs.withColumn(digest, jaccard.digest_of("text"))
+    judged = decontamination.contamination(docs_by, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=digest)
+    bad = stored(judged.where("contaminated").select(digest).distinct())
+    return docs_by.join(bad.hint("shuffle_hash"), digest, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
