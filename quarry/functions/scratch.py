@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; only a local session without it gets a temporary one."""
+def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
+    """A new folder name (or ``name``) under spark.checkpoint.dir; only a local session without it gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name or f'index-{uuid.uuid4().hex}'}"

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARS = 1000
 OVERLAP = 100
+FLUSH_CHARS = 4 << 20
 
 
 def line_ranges(lengths: list[int], max_chars: int, overlap: int) -> list[tuple[int, int]]:
@@ -40,32 +42,54 @@ def line_ranges(lengths: list[int], max_chars: int, overlap: int) -> list[tuple[
         s, done = start, e
 
 
+def _expanded(df: DataFrame, keep: list[str], inputs: list[str], rows_of: Callable[..., Iterator[tuple]], fields: dict[str, str]) -> DataFrame:
+    """``keep`` columns with the rows that ``rows_of`` makes of the ``inputs`` of each row, on its executor; the
+    last of ``fields`` (name -> int or string) is the longest. Rows go out every FLUSH_CHARS characters of it."""
+    kept = df.select(*keep, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])
+    arrow = {"int": pa.int32(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+
+            def made(owner: list[int], rows: list[tuple]) -> pa.RecordBatch:
+                at, cols = pa.array(owner, pa.int64()), list(zip(*rows))
+                return pa.RecordBatch.from_arrays([*[b.column(j).take(at) for j in range(len(keep))], *[pa.array(c, arrow[t]) for c, t in zip(cols, fields.values())]], names=[*keep, *fields])
+
+            owner, rows, size = [], [], 0
+            for i, values in enumerate(zip(*b.columns[len(keep) :])):
+                for row in rows_of(*(v.as_py() for v in values)):
+                    owner.append(i)
+                    rows.append(row)
+                    size += len(row[-1])
+                    if size >= FLUSH_CHARS:
+                        yield made(owner, rows)
+                        owner, rows, size = [], [], 0
+            if rows:
+                yield made(owner, rows)
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
+    return kept.mapInArrow(run, ", ".join(filter(None, [own, *(f"{n} {t}" for n, t in fields.items())])))
+
+
+CHUNK = {"chunk_no": "int", "start_line": "int", "end_line": "int", "content": "string"}
+
+
+def _line_chunks(lines: list[str], first: int, max_chars: int, overlap: int) -> Iterator[tuple[int, int, int, str]]:
+    for k, (s, e) in enumerate(line_ranges([len(x) for x in lines], max_chars, overlap)):
+        yield k, s + first - 1, e + first - 1, "\n".join(lines[s - 1 : e])
+
+
 def chunk_lines(df: DataFrame, keep: list[str], text_col: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP, first_line: str | None = None) -> DataFrame:
     """``keep`` columns with chunk_no (from 0), start_line, end_line and content of each chunk of each text.
 
     A text is folded in one pass on its executor; ``first_line`` names a column with the number of the
     text's first line. Null texts give no chunk.
     """
-    extra = [first_line] if first_line else []
-    kept = df.where(F.col(text_col).isNotNull()).select(*keep, F.col(text_col).alias("_text"), *[F.col(c).alias("_first") for c in extra])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            owner, no, start, end, content = [], [], [], [], []
-            for i, text in enumerate(b.column(len(keep))):
-                lines = text.as_py().split("\n")
-                base = b.column(len(keep) + 1)[i].as_py() - 1 if extra else 0
-                for k, (s, e) in enumerate(line_ranges([len(x) for x in lines], max_chars, overlap)):
-                    owner.append(i)
-                    no.append(k)
-                    start.append(s + base)
-                    end.append(e + base)
-                    content.append("\n".join(lines[s - 1 : e]))
-            at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(j).take(at) for j in range(len(keep))], pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(content, pa.string())], names=[*keep, "chunk_no", "start_line", "end_line", "content"])
+    def rows_of(text: str, first: int = 1) -> Iterator[tuple]:
+        return _line_chunks(text.split("\n"), first, max_chars, overlap)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
-    return kept.mapInArrow(run, f"{fields}, chunk_no int, start_line int, end_line int, content string")
+    return _expanded(df.where(F.col(text_col).isNotNull()), keep, [text_col, first_line] if first_line else [text_col], rows_of, CHUNK)
 
 
 @dataclass(frozen=True)
@@ -98,33 +122,48 @@ SCRIPT_RULES = (
 RULES = {"python": PYTHON_RULES, "javascript": SCRIPT_RULES, "typescript": SCRIPT_RULES}
 
 
-def _by_rule(rules: dict[str, tuple[UnitRule, ...]], of, default: Column) -> Column:
-    out = default
-    for language, own in rules.items():
-        for r in reversed(own):
-            out = F.when((F.col("language") == language) & F.col("line").rlike(r.regex), of(r)).otherwise(out)
-    return out
+_INSIDE = re.compile(r"\s|$|[\])}]", re.A)
+
+
+def _units(lines: list[str], rules: list[tuple]) -> Iterator[tuple[str, str | None, int, int, str]]:
+    """(kind, name, first line, last line, content) of each unit; ``rules``: (regex, kind, name's regex, prefix)."""
+    unit, joins = None, False
+
+    def closed(last: int) -> Iterator[tuple]:
+        if unit:
+            while not lines[last - 1].strip(" "):
+                last -= 1
+            yield *unit, last, "\n".join(lines[unit[2] - 1 : last])
+
+    for n, line in enumerate(lines, 1):
+        if _INSIDE.match(line):
+            joins = False
+            continue
+        rule = next((r for r in rules if r[0].search(line)), None)
+        if not joins:
+            yield from closed(n - 1)
+            name = rule[2].search(line) if rule and rule[2] else None
+            unit = (rule[1], (name[1] or None) if name else None, n) if rule else None
+        joins = bool(rule and rule[3])
+    yield from closed(len(lines))
+
+
+def _compiled(rules: dict[str, tuple[UnitRule, ...]]) -> dict[str, list[tuple]]:
+    return {k: [(re.compile(r.regex, re.A), r.kind, re.compile(r.name, re.A) if r.name else None, r.prefix) for r in own] for k, own in rules.items()}
+
+
+UNIT = {"kind": "string", "name": "string", "start_line": "int", "end_line": "int", "content": "string"}
 
 
 def structural_units(df: DataFrame, rules: dict[str, tuple[UnitRule, ...]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, language, kind, name, start_line, end_line, content): units of texts by their language's rules.
 
     A unit covers the blank, indented and closing lines below its first, without trailing blank lines; what
-    stands outside of units is left out. Lines are dealt by text, so a text's lines meet in one task.
+    stands outside of units is left out. A row's text is read in one pass, whatever its id is.
     """
-    lines = df.select(F.col(id_col).alias("id"), "language", F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("n", "line")).where(F.col("language").isin(*rules))
-    inside = F.col("line").rlike(r"^(?:\s|$|[\])}])")
-    kind = F.when(inside, "cont").otherwise(_by_rule(rules, lambda r: F.lit(r.kind), F.lit("other")))
-    prefix = ~inside & _by_rule(rules, lambda r: F.lit(r.prefix), F.lit(False))
-    name = _by_rule(rules, lambda r: F.regexp_extract("line", r.name, 1) if r.name else F.lit(""), F.lit(""))
-    w = Window.partitionBy("id").orderBy("n")
-    marked = lines.withColumns({"kind": kind, "prefix": prefix, "name": name})
-    marked = marked.withColumn("start", F.when((F.col("kind") == "cont") | F.coalesce(F.lag("prefix").over(w), F.lit(False)), 0).otherwise(1))
-    marked = marked.withColumn("unit", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    units = marked.groupBy("id", "language", "unit").agg(F.min_by("kind", "n").alias("kind"), F.min_by("name", "n").alias("name"), F.min("n").alias("first"), F.max(F.when(F.trim("line") != "", F.col("n"))).alias("last"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))
-    units = units.where(~F.col("kind").isin("other", "cont"))
-    content = F.array_join(F.transform(F.slice("lines", F.lit(1), (F.col("last") - F.col("first") + 1).cast("int")), lambda x: x["line"]), "\n")
-    return units.select(F.col("id").alias(id_col), "language", "kind", F.nullif("name", F.lit("")).alias("name"), (F.col("first") + 1).alias("start_line"), (F.col("last") + 1).alias("end_line"), content.alias("content"))
+    compiled = _compiled(rules)
+    own = df.where(F.col("language").isin(*rules) & F.col(text_col).isNotNull())
+    return _expanded(own, [id_col, "language"], ["language", text_col], lambda language, text: _units(text.split("\n"), compiled[language]), UNIT)
 
 
 def chunk_units(units: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, id_col: str = "doc_id") -> DataFrame:
@@ -136,13 +175,20 @@ def chunk_units(units: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVE
 
 
 def chunk_files(df: DataFrame, rules: dict[str, tuple[UnitRule, ...]] = RULES, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Structural chunks where a text has units, else chunks of lines (kind ``text``)."""
-    units = structural_units(df, rules, id_col, text_col)
-    structured = chunk_units(units, max_chars, overlap, id_col)
-    rest = df.join(units.select(id_col).distinct().hint("shuffle_hash"), id_col, "left_anti")
-    plain = chunk_lines(rest.withColumn("language", F.coalesce("language", F.lit("unknown"))), [id_col, "language"], text_col, max_chars, overlap)
-    plain = plain.select(id_col, "language", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("name"), "chunk_no", "start_line", "end_line", "content")
-    return structured.unionByName(plain)
+    """Structural chunks where a text has units, else chunks of lines (kind ``text``): one pass for each text."""
+    compiled = _compiled(rules)
+
+    def rows_of(language: str, text: str) -> Iterator[tuple]:
+        lines, found = text.split("\n"), False
+        for kind, name, first, last, content in _units(lines, compiled.get(language, [])):
+            found = True
+            chunks = [(0, first, last, content)] if len(content) <= max_chars else _line_chunks(lines[first - 1 : last], first, max_chars, overlap)
+            yield from ((kind, name, *c) for c in chunks)
+        if not found:
+            yield from (("text", None, *c) for c in _line_chunks(lines, 1, max_chars, overlap))
+
+    known = df.where(F.col(text_col).isNotNull()).withColumn("language", F.coalesce("language", F.lit("unknown")))
+    return _expanded(known, [id_col, "language"], ["language", text_col], rows_of, {"kind": "string", "name": "string"} | CHUNK)
 
 
 def decode_text(df: DataFrame, keep: list[str], content_col: str = "content", lines: bool = True) -> DataFrame:

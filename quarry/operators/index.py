@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.scratch import scratch_dir
+
 
 def chunk_id(index_name: Column, path: Column, chunk_no: Column) -> Column:
     """The key of a chunk; it doesn't depend on the order of a walk."""
@@ -24,6 +31,18 @@ def chunk_metadata(df: DataFrame, extra: dict[str, str]) -> DataFrame:
     return df.withColumn("metadata", F.map_concat(base, more))
 
 
+def shown_metadata(metadata: Column) -> Column:
+    """The extra fields of a chunk's metadata, under their own keys."""
+    return F.transform_keys(F.map_filter(metadata, lambda k, v: F.startswith(k, F.lit("meta_"))), lambda k, v: F.substring(k, 6, 1 << 30))
+
+
+def stamped(chunks: DataFrame, created_at: str | None = None, content_col: str = "content", embedding_col: str = "embedding") -> DataFrame:
+    """``chunks`` with storage_bytes (content and vector) and created_at, so that a listing reads neither column."""
+    size = F.octet_length(content_col) + (4 * F.size(embedding_col) if embedding_col in chunks.columns else F.lit(0))
+    when = F.lit(created_at).cast("timestamp") if created_at else F.current_timestamp()
+    return chunks.withColumns({"storage_bytes": size.cast("long"), "created_at": when})
+
+
 def write_index(chunks: DataFrame, root: str, mode: str = "replace") -> None:
     """``replace``: the index_names of ``chunks`` are replaced, others stay. ``append_new``: chunks with a
     chunk_id that the index doesn't have are added. All or nothing."""
@@ -32,13 +51,40 @@ def write_index(chunks: DataFrame, root: str, mode: str = "replace") -> None:
     writer = chunks
     if mode == "append_new" and _exists(chunks.sparkSession, root):
         writer = new_chunks(chunks, chunks.sparkSession.read.parquet(root))
-    out = writer.dropDuplicates(["index_name", "chunk_id"]).write.partitionBy("index_name").option("partitionOverwriteMode", "dynamic")
+    # a task gets whole parts of indexes, so that an index has few files; copies of a chunk are in one part
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    dealt = writer.withColumn("_part", part).repartition("index_name", "_part").dropDuplicates(["index_name", "_part", "chunk_id"]).drop("_part")
+    out = dealt.write.partitionBy("index_name").option("partitionOverwriteMode", "dynamic")
     out.mode("overwrite" if mode == "replace" else "append").parquet(root)
 
 
 def new_chunks(chunks: DataFrame, index: DataFrame) -> DataFrame:
     """Chunks that the index doesn't have."""
-    return chunks.join(index.select("index_name", "chunk_id"), ["index_name", "chunk_id"], "left_anti")
+    return chunks.join(index.select("index_name", "chunk_id").hint("shuffle_hash"), ["index_name", "chunk_id"], "left_anti")
+
+
+LEDGER = "run_id string, index_name string, status string, files_count int, size_mb double, chunks_count bigint, updated_at timestamp"
+
+
+def record_run(spark: SparkSession, ledger: str, run_id: str, index_name: str, status: str, files_count: int | None = None, size_mb: float | None = None, chunks_count: int | None = None) -> None:
+    """Append a row to the ledger of runs."""
+    now = datetime.datetime.now(datetime.timezone.utc)
+    spark.createDataFrame([(run_id, index_name, status, files_count, size_mb, chunks_count, now)], LEDGER).coalesce(1).write.mode("append").parquet(ledger)
+
+
+def index_run(chunks: DataFrame, root: str, ledger: str, files_count: int | None = None, size_mb: float | None = None, mode: str = "replace") -> None:
+    """``write_index`` of one index_name, with its status in the ledger: indexing, then completed with counts, or failed."""
+    spark, run_id = chunks.sparkSession, uuid.uuid4().hex
+    name = chunks.select("index_name").first()
+    if name is None:
+        raise ValueError("no chunks to index")
+    record_run(spark, ledger, run_id, name[0], "indexing", files_count, size_mb)
+    try:
+        write_index(chunks, root, mode)
+    except Exception:
+        record_run(spark, ledger, run_id, name[0], "failed", files_count, size_mb)
+        raise
+    record_run(spark, ledger, run_id, name[0], "completed", files_count, size_mb, open_index(spark, root, name[0]).count())
 
 
 def _exists(spark: SparkSession, root: str) -> bool:
@@ -46,6 +92,21 @@ def _exists(spark: SparkSession, root: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def built_once(spark: SparkSession, source: str, build: Callable[[str], None], name: str = "built") -> str:
+    """The folder that ``build(folder)`` wrote from the files at ``source``, built again only after a change of
+    these (names, sizes, times) or in another application."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+    key = hashlib.sha256(repr((spark.sparkContext.applicationId, state)).encode()).hexdigest()[:24]
+    root = scratch_dir(spark, f"{name}-{key}")
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{root}.done")
+    if not _exists(spark, done.toString()):
+        build(root)
+        done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done).close()
+    return root
+
+
 def open_index(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
     """The table, or one index of it; a missing index is an error, never an empty result."""
     if not _exists(spark, root):
@@ -59,18 +120,26 @@ def open_index(spark: SparkSession, root: str, name: str | None = None) -> DataF
     return own
 
 
-def drop_index(index: DataFrame, name: str) -> DataFrame:
-    return index.where(F.col("index_name") != name)
+def drop_index(spark: SparkSession, root: str, name: str) -> None:
+    """Remove the stored rows of one index; a missing index is an error."""
+    files = open_index(spark, root, name).select("_metadata.file_path").distinct().collect()
+    for folder in {f[0].rpartition("/")[0] for f in files}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Chunks with vectors from elsewhere; an inner join, so a chunk without a vector is left out."""
-    return chunks.join(vectors, key)
+def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id", vector_col: str = "embedding", missing: str = "error") -> DataFrame:
+    """Chunks with vectors from elsewhere. A chunk without a vector is an error, or left out (``missing="drop"``)."""
+    if missing == "drop":
+        return chunks.join(vectors.where(F.col(vector_col).isNotNull()).hint("merge"), key)
+    joined = chunks.join(vectors.hint("merge"), key, "left")
+    lacks = F.raise_error(F.concat(F.lit("no vector for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return joined.withColumn(vector_col, F.when(F.col(vector_col).isNotNull(), F.col(vector_col)).otherwise(lacks))
 
 
-def list_indexes(index: DataFrame, content_col: str = "content", embedding_col: str | None = "embedding") -> DataFrame:
-    size = F.octet_length(content_col) + (4 * F.size(embedding_col) if embedding_col else F.lit(0))
-    return index.groupBy("index_name").agg(F.count("*").alias("chunks"), F.sum(size.cast("long")).alias("storage_bytes"))
+def list_indexes(index: DataFrame) -> DataFrame:
+    """Chunks, bytes and time of creation of each index, from ``stamped`` rows."""
+    return index.groupBy("index_name").agg(F.count("*").alias("chunks"), F.sum("storage_bytes").alias("storage_bytes"), F.date_format(F.min("created_at"), "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
 def index_stats(index: DataFrame) -> DataFrame:

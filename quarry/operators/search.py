@@ -11,12 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DIGITS = 6
 METRICS = ("l2sq", "cosine", "ip")
 MAX_QUERY_CELLS = 4_000_000  # numbers in a block of query vectors; more queries go in further blocks
+MAX_DISTANCES = 2_000_000  # distances that a task holds at once
+BROADCAST_HITS = 100_000
+MAX_LISTS = 4096
+SPREAD = 4  # files of a list
+PART_ROWS = 50_000  # rows of an inverted list that meet a query in one task
 
 
 def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -50,11 +55,13 @@ def local_nearest(index: DataFrame, queries: list[tuple], metric: str, id_col: s
             x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             if len(x) != b.num_rows * q.shape[1]:
                 raise ValueError("index and query vectors differ in size")
-            d = np.round(_distances(x.reshape(b.num_rows, -1), q, metric), DIGITS) + 0.0  # no -0.0
-            ids = b.column(0).to_pylist()
-            for i, (_, k, _) in enumerate(queries):
-                limit = np.partition(d[i], k - 1)[k - 1] if k < len(ids) else np.inf
-                best[i] = sorted(best[i] + [(d[i, j], ids[j]) for j in np.flatnonzero(d[i] <= limit).tolist()])[:k]
+            x, ids = x.reshape(b.num_rows, -1), b.column(0).to_pylist()
+            step = max(1, MAX_DISTANCES // max(1, b.num_rows))
+            for lo in range(0, len(q), step):
+                for i, d in enumerate(np.round(_distances(x, q[lo : lo + step], metric), DIGITS) + 0.0, lo):  # no -0.0
+                    k = queries[i][1]
+                    limit = np.partition(d, k - 1)[k - 1] if k < len(ids) else np.inf
+                    best[i] = sorted(best[i] + [(d[j], ids[j]) for j in np.flatnonzero(d <= limit).tolist()])[:k]
         rows = [(queries[i][0], x, d, queries[i][1]) for i, own in enumerate(best) for d, x in own]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], b_type[0]), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64())], names=["query_id", "id", "distance", "k"])
 
@@ -95,9 +102,16 @@ def preview(content: Column, n: int = 500, more: str = "\n... (truncated)") -> C
     return F.when(F.length(content) > n, F.concat(F.left(content, F.lit(n)), F.lit(more))).otherwise(content)
 
 
-def result_rows(hits: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", show_content: bool = True) -> DataFrame:
+def with_chunks(hits: DataFrame, chunks: DataFrame, most_hits: int, id_col: str = "chunk_id") -> DataFrame:
+    """Hits with the columns of their chunks. ``most_hits``: queries times k; so few are sent to the scan of the
+    chunks, more meet them in a shuffle."""
+    few = F.broadcast(hits) if most_hits <= BROADCAST_HITS else hits.hint("shuffle_hash")
+    return chunks.join(few, chunks[id_col] == few["id"])
+
+
+def result_rows(hits: DataFrame, chunks: DataFrame, most_hits: int, id_col: str = "chunk_id", show_content: bool = True) -> DataFrame:
     """Hits with their chunks' file, lines, kind, language and similarity, and a preview of the content."""
-    rows = hits.join(chunks, hits["id"] == chunks[id_col])
+    rows = with_chunks(hits, chunks, most_hits, id_col)
     out = [
         "query_id",
         "rank",
@@ -137,13 +151,38 @@ def assign_lists(df: DataFrame, centroids: np.ndarray, n: int = 1, vector_col: s
     return df.mapInArrow(run, f"{fields}, lists array<int>")
 
 
-def nearest_ivf(index: DataFrame, queries: DataFrame, k: int = 10, n_lists: int = 16, n_probe: int = 10, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """Approximate ``nearest`` (l2sq): rows are dealt to the list of their centroid, a query meets the rows
-    of its ``n_probe`` nearest lists."""
-    centroids = train_centroids(index, n_lists, vector_col)
+def write_lists(index: DataFrame, root: str, n_lists: int | None = None, id_col: str = "chunk_id", vector_col: str = "embedding") -> np.ndarray:
+    """Store every row under the list of its nearest centroid, a folder each; about as many lists as the root of the
+    rows' number. Returns the centroids."""
+    centroids = train_centroids(index, n_lists or max(1, min(MAX_LISTS, round(index.count() ** 0.5))), vector_col)
     listed = assign_lists(index.select(id_col, vector_col), centroids, 1, vector_col).select(id_col, vector_col, F.col("lists")[0].alias("list"))
+    listed.repartition("list", F.pmod(F.xxhash64(id_col), F.lit(SPREAD))).write.partitionBy("list").parquet(root)
+    return centroids
+
+
+def probes_for(index: DataFrame, centroids: np.ndarray, k: int = 10, recall: float = 0.95, n_sample: int = 50, id_col: str = "chunk_id", vector_col: str = "embedding") -> int:
+    """How many lists a query has to probe: enough to hold ``recall`` of the true ``k`` nearest rows of
+    ``n_sample`` rows of the index. What reaches the driver is bounded by these numbers and the lists."""
+    some = index.orderBy(F.xxhash64(id_col)).limit(n_sample).select(F.col(id_col).alias("own_id"), F.col(vector_col).alias("embedding"))
+    rows = assign_lists(some, centroids, len(centroids)).collect()
+    queries = index.sparkSession.createDataFrame([(i, list(r.embedding)) for i, r in enumerate(rows)], "query_id long, embedding array<double>")
+    hits = nearest(index, queries, k, "l2sq", id_col, vector_col).select("query_id", "id")
+    found = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding")).join(F.broadcast(hits), "id")  # n_sample * k rows
+    rank = sorted(rows[r.query_id].lists.index(r.lists[0]) + 1 for r in assign_lists(found, centroids, 1, "embedding").select("query_id", "lists").collect())
+    return rank[min(len(rank) - 1, int(recall * len(rank)))] if rank else 1
+
+
+def nearest_ivf(spark: SparkSession, root: str, centroids: np.ndarray, queries: DataFrame, k: int = 10, n_probe: int = 8, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """Approximate ``nearest`` (l2sq) over stored lists: a query meets the rows of its ``n_probe`` nearest lists.
+    Lists that no query probes aren't read; a long list meets its queries in parts of some PART_ROWS."""
+    listed = spark.read.parquet(root)
     probes = assign_lists(queries.select("query_id", "embedding"), centroids, n_probe).select("query_id", F.col("embedding").alias("q"), F.explode("lists").alias("list"))
-    pairs = listed.join(probes.hint("shuffle_hash"), "list")
+    wanted = [r[0] for r in probes.select("list").distinct().collect()]  # MAX_LISTS at most
+    listed = listed.where(F.col("list").isin(wanted))
+    longest = listed.groupBy("list").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-longest // PART_ROWS))
+    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = listed.withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")).join(probes.hint("shuffle_hash"), ["list", "part"])
     square = F.aggregate(F.zip_with(F.col(vector_col).cast("array<double>"), F.col("q").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
     near = pairs.select("query_id", F.col(id_col).alias("id"), F.round(square, DIGITS).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MB = 1024 * 1024
@@ -29,6 +29,14 @@ def oversized(df: DataFrame, max_file_bytes: int) -> DataFrame:
     return df.where(F.col("size") > max_file_bytes).select("path", "size")
 
 
+def oversized_report(df: DataFrame, max_file_bytes: int, n: int = 5) -> DataFrame:
+    """(rank, path, size) of the ``n`` largest oversized files and, if there are more, a row that says how many."""
+    over = oversized(df, max_file_bytes)
+    first = largest(over, n).select(F.row_number().over(Window.orderBy(F.desc("size"), "path")).cast("long").alias("rank"), "path", "size")  # n rows
+    more = over.agg(F.count("*").alias("c")).where(F.col("c") > n)
+    return first.unionByName(more.select(F.lit(n + 1).cast("long").alias("rank"), F.concat(F.lit("... and "), (F.col("c") - n).cast("string"), F.lit(" more")).alias("path"), F.lit(None).cast("long").alias("size")))
+
+
 def largest(df: DataFrame, n: int = 5) -> DataFrame:
     return df.select("path", "size").orderBy(F.desc_nulls_last("size"), "path").limit(n)
 

@@ -187,6 +187,12 @@ def oversized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.oversized(_kept_files(spark, sf_dir), MAX_FILE_BYTES)
 
 
+@query(f"""WITH {FILES}, o AS (SELECT row_number() OVER (ORDER BY size DESC, path) AS rank, path, size FROM named WHERE size > {MAX_FILE_BYTES} AND suffix <> '.bin')
+SELECT rank, path, size FROM o WHERE rank <= 5 UNION ALL SELECT 6, '... and ' || (count(*) - 5) || ' more', NULL FROM o HAVING count(*) > 5""")
+def oversized_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.oversized_report(_kept_files(spark, sf_dir), MAX_FILE_BYTES)
+
+
 @query(f"WITH {FILES} SELECT path, size FROM named WHERE suffix <> '.bin' ORDER BY size DESC, path LIMIT 5")
 def largest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.largest(_kept_files(spark, sf_dir))
@@ -265,17 +271,31 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.chunk_metadata(rows, {"sql": "sql_path"}).select(F.concat_ws("#", "path", F.col("chunk_no").cast("string")).alias("chunk"), F.explode("metadata").alias("k", "v"))
 
 
-@query(f"{INDEX} SELECT path, chunk_no, start_line, end_line, length(content) AS n_chars FROM idx WHERE index_name = 'src3'")
+CREATED = "2024-01-01 00:00:00"
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their vectors, as an index stores them."""
+    return index.stamped(embed(_index(spark, sf_dir), hashing_embedder(64), precise=True), CREATED)
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all documents. It is written once, with its vectors; listings and searches read it."""
+    root = index.built_once(spark, f"{sf_dir}/documents.parquet", lambda root: index.write_index(_indexed(spark, sf_dir), root), "corpus")
+    return index.open_index(spark, root)
+
+
+@query(f"{INDEX} SELECT path, chunk_no, start_line, end_line, length(content) AS n_chars, 64 AS dim FROM idx WHERE index_name = 'src3'")
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark)
-    index.write_index(_index(spark, sf_dir), root)
-    return index.open_index(spark, root, "src3").select("path", "chunk_no", "start_line", "end_line", F.length("content").alias("n_chars"))
+    index.write_index(_indexed(spark, sf_dir), root)
+    return index.open_index(spark, root, "src3").select("path", "chunk_no", "start_line", "end_line", F.length("content").alias("n_chars"), F.size("embedding").alias("dim"))
 
 
 @query(f"{INDEX} SELECT index_name, language, count(*) AS chunks FROM idx GROUP BY ALL")
 def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of Python files first, then all: what was there isn't added again."""
-    root, rows = scratch_dir(spark), _index(spark, sf_dir)
+    root, rows = scratch_dir(spark), index.stamped(_index(spark, sf_dir), CREATED)
     index.write_index(rows.where("language = 'python'"), root)
     index.write_index(rows, root, "append_new")
     return index.open_index(spark, root).groupBy("index_name", "language").agg(F.count("*").alias("chunks"))
@@ -283,40 +303,43 @@ def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{INDEX} SELECT index_name, count(*) AS chunks FROM idx WHERE index_name <> 'src3' GROUP BY ALL")
 def drop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.drop_index(_index(spark, sf_dir), "src3").groupBy("index_name").agg(F.count("*").alias("chunks"))
+    root = scratch_dir(spark)
+    index.write_index(index.stamped(_index(spark, sf_dir), CREATED), root)
+    index.drop_index(spark, root, "src3")
+    return index.open_index(spark, root).groupBy("index_name").agg(F.count("*").alias("chunks"))
 
 
-@query(f"{INDEX} SELECT index_name, count(*) AS chunks, sum(strlen(content))::BIGINT AS storage_bytes FROM idx GROUP BY ALL")
+@query(f"{INDEX} SELECT index_name, count(*) AS chunks, sum(strlen(content) + 4 * 64)::BIGINT AS storage_bytes, '2024-01-01 00:00:00' AS created FROM idx GROUP BY ALL")
 def list_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.list_indexes(_index(spark, sf_dir), embedding_col=None)
+    return index.list_indexes(stored_index(spark, sf_dir))
 
 
 @query(f"{INDEX} SELECT index_name, count(*) AS chunks, count(DISTINCT path) AS files, count(DISTINCT language) AS languages FROM idx GROUP BY ALL")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index_stats(_index(spark, sf_dir))
+    return index.index_stats(stored_index(spark, sf_dir))
 
 
 @query(f"{INDEX}, s AS (SELECT * FROM idx ORDER BY path, chunk_no LIMIT 1000) SELECT count(DISTINCT path) AS files, count(DISTINCT language) AS languages, count(*) AS chunks FROM s")
 def index_stats_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = index.first_chunks(_index(spark, sf_dir).select("path", "chunk_no", "language"))
+    first = index.first_chunks(stored_index(spark, sf_dir).select("path", "chunk_no", "language"))
     return first.agg(F.count_distinct("path").alias("files"), F.count_distinct("language").alias("languages"), F.count("*").alias("chunks"))
 
 
 @query(f"{INDEX} SELECT language, count(*) AS chunks FROM idx GROUP BY ALL")
 def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.language_histogram(_index(spark, sf_dir))
+    return index.language_histogram(stored_index(spark, sf_dir))
 
 
 @query(f"{INDEX} SELECT (SELECT count(*) FROM files) AS files, (SELECT round(sum(size) / 1048576.0, 6) FROM files) AS total_mb, count(*) AS chunks, count(DISTINCT path) AS indexed_files, count(DISTINCT language) AS languages FROM idx")
 def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = stats.corpus_stats(files(spark, sf_dir), MAX_FILE_BYTES).select(F.lit(1).alias("one"), F.col("total_files").alias("files"), "total_mb")
-    rows = _index(spark, sf_dir).agg(F.lit(1).alias("one"), F.count("*").alias("chunks"), F.count_distinct("path").alias("indexed_files"), F.count_distinct("language").alias("languages"))
+    rows = stored_index(spark, sf_dir).agg(F.lit(1).alias("one"), F.count("*").alias("chunks"), F.count_distinct("path").alias("indexed_files"), F.count_distinct("language").alias("languages"))
     return own.join(rows.hint("merge"), "one").drop("one")
 
 
 @query(f"{INDEX} SELECT path, chunk_no, length(content) AS n_chars, language FROM idx ORDER BY path, chunk_no LIMIT 100")
 def browse_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).select("path", "chunk_no", F.length("content").alias("n_chars"), "language").orderBy("path", "chunk_no").limit(100)
+    return stored_index(spark, sf_dir).select("path", "chunk_no", F.length("content").alias("n_chars"), "language").orderBy("path", "chunk_no").limit(100)
 
 
 @query("""WITH l AS (SELECT 'conv' || conv_id AS index_name, turn AS run_id, turn AS updated_at, CASE WHEN length(text) % 7 = 0 THEN 'cleared' WHEN role = 'user' THEN 'indexing' ELSE 'completed' END AS status, length(text) AS chunks_count FROM conversations)
@@ -329,11 +352,27 @@ def run_ledger_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.latest_runs(ledger).select("index_name", "run_id", "status", "chunks_count")
 
 
+@query(f"{INDEX}, r AS (SELECT count(*) AS chunks_count, count(DISTINCT path) AS files_count FROM idx WHERE index_name = 'src3') SELECT 'src3' AS index_name, 'completed' AS status, files_count, chunks_count FROM r")
+def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index one source with its run in the ledger, then read the current row."""
+    own = _index(spark, sf_dir).where("index_name = 'src3'")
+    ledger = scratch_dir(spark)
+    n_files = own.select("path").distinct().count()
+    index.index_run(index.stamped(own, CREATED), scratch_dir(spark), ledger, n_files)
+    return index.latest_runs(spark.read.schema(index.LEDGER).parquet(ledger)).select("index_name", "status", F.col("files_count").cast("long").alias("files_count"), "chunks_count")
+
+
+@query(f"{INDEX} SELECT path || '#' || chunk_no AS chunk, 'sql' AS k, path AS v FROM idx WHERE language = 'sql'")
+def metadata_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _index(spark, sf_dir).withColumn("sql_path", F.when(F.col("language") == "sql", F.col("path")))
+    return index.chunk_metadata(rows, {"sql": "sql_path"}).select(F.concat_ws("#", "path", F.col("chunk_no").cast("string")).alias("chunk"), F.explode(index.shown_metadata(F.col("metadata"))).alias("k", "v"))
+
+
 @query("SELECT doc_id, label, len(embedding) AS dim FROM documents JOIN embeddings ON doc_id = vec_id")
 def attach_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "doc_id")
-    return index.attach_vectors(docs, vectors, "doc_id").select("doc_id", "label", F.size("embedding").alias("dim"))
+    return index.attach_vectors(docs, vectors, "doc_id", missing="drop").select("doc_id", "label", F.size("embedding").alias("dim"))
 
 
 # ---- embedders and search
@@ -426,7 +465,18 @@ def knn_per_query_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = _vectors(spark, sf_dir)
-    return search.nearest_ivf(v, q, 10, id_col="vec_id")
+    root = scratch_dir(spark)
+    centroids = search.write_lists(v, root, id_col="vec_id")
+    return search.nearest_ivf(spark, root, centroids, q, 10, search.probes_for(v, centroids, id_col="vec_id"), id_col="vec_id")
+
+
+@query("SELECT count(*) AS n_queries, true AS recall_is_enough, true AS distances_are_true FROM embeddings WHERE vec_id % 100 = 0")
+def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate search against the exact one: recall of at least 0.9, and no distance that isn't exact."""
+    near = knn_ivf(spark, sf_dir).select("query_id", "id", F.col("distance").alias("d"))
+    both = knn_exact(spark, sf_dir).join(near.hint("merge"), ["query_id", "id"], "left")
+    per_query = both.groupBy("query_id").agg(F.count("*").alias("n"), F.count("d").alias("found"), F.count_if(F.abs(F.col("d") - F.col("distance")) > 2e-6).alias("wrong"))
+    return per_query.agg(F.count("*").alias("n_queries"), (F.sum("found") >= 0.9 * F.sum("n")).alias("recall_is_enough"), (F.sum("wrong") == 0).alias("distances_are_true"))
 
 
 @query(f"SELECT query_id, rank, id, round(greatest(0.0, 1 - distance), 6) AS similarity FROM ({_knn(_L2, '10')})")
@@ -436,7 +486,7 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{INDEX} SELECT path, chunk_no, md5(CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || chr(10) || '... (truncated)' ELSE content END) AS preview_md5 FROM idx")
 def result_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).select("path", "chunk_no", F.md5(search.preview(F.col("content")).cast("binary")).alias("preview_md5"))
+    return stored_index(spark, sf_dir).select("path", "chunk_no", F.md5(search.preview(F.col("content")).cast("binary")).alias("preview_md5"))
 
 
 _SEARCH = f"""{INDEX},
@@ -452,23 +502,22 @@ hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY dist
          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 5)"""
 
 
-def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    by = hashing_embedder(64)
-    chunks = embed(_index(spark, sf_dir), by, precise=True)
+def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """The 5 nearest chunks of every benchmark text, the stored chunks, and how many hits there are at most."""
+    chunks = stored_index(spark, sf_dir)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
-    return search.nearest(chunks.where("embed_ok"), embed(items, by, precise=True), 5), chunks
+    return search.nearest(chunks.where("embed_ok"), embed(items, hashing_embedder(64), precise=True), 5), chunks, 5 * items.count()
 
 
 @query(f"{_SEARCH} SELECT query_id, rank, path, start_line, end_line, distance, round(greatest(0.0, 1 - distance), 6) AS similarity FROM hits JOIN texts ON id = chunk_id")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: chunk every text, embed it, and find the 5 nearest chunks of every benchmark text."""
-    hits, _ = _search(spark, sf_dir)
-    chunks = _index(spark, sf_dir).select(F.col("chunk_id").alias("id"), "path", "start_line", "end_line")
-    return chunks.join(hits.hint("shuffle_hash"), "id").select("query_id", "rank", "path", "start_line", "end_line", "distance", F.round(search.similarity(F.col("distance")), 6).alias("similarity"))
+    """The flagship: every text chunked, embedded and stored, find the 5 nearest chunks of every benchmark text."""
+    hits, chunks, most = _search(spark, sf_dir)
+    return search.with_chunks(hits, chunks.select("chunk_id", "path", "start_line", "end_line"), most).select("query_id", "rank", "path", "start_line", "end_line", "distance", F.round(search.similarity(F.col("distance")), 6).alias("similarity"))
 
 
 @query(f"""{_SEARCH} SELECT query_id, rank, regexp_extract(path, '([^/]*)$', 1) AS file_name, path, start_line || '-' || end_line AS lines, 'text' AS chunk_type, language,
   round(greatest(0.0, 1 - distance), 6) AS similarity, CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || chr(10) || '... (truncated)' ELSE content END AS preview FROM hits JOIN texts ON id = chunk_id""")
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, _ = _search(spark, sf_dir)
-    return search.result_rows(hits.hint("shuffle_hash"), _index(spark, sf_dir))
+    hits, chunks, most = _search(spark, sf_dir)
+    return search.result_rows(hits, chunks, most)

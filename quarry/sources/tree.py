@@ -1,8 +1,9 @@
-"""Source trees: a Python data source that lists and reads every file below a root.
+"""Source trees: a Python data source that lists every file below a root, and a step that reads them.
 
 Spark's binaryFile reader leaves out names that start with ``.`` or ``_``; this source keeps them. Links to
-folders are not followed. Excluded folder names are not entered. A partition is one top-level folder (or the
-root's own files), so a scan runs in parallel; suffixes to skip are tested before a file is opened.
+folders are not followed. Excluded folder names are not entered. The driver looks at folders only down to the level
+that gives enough partitions; tasks list the rest, and the listed files are dealt anew by path before any is opened.
+Driver and executors must see the root under one path.
 """
 
 from __future__ import annotations
@@ -12,73 +13,103 @@ import json
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.functions.languages import BINARY_SUFFIXES, EXCLUDED_NAMES, language
 
-SCHEMA = "path string, rel_path string, name string, suffix string, size bigint, mtime timestamp, content binary"
+LISTED = "path string, rel_path string, name string, suffix string, size bigint, mtime timestamp"
+SCHEMA = f"{LISTED}, content binary"
+PLANNED = 64
+FLUSH_BYTES = 16 << 20
 
 
-class _Folder(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        self.folder, self.deep = folder, deep
+class _Folders(InputPartition):
+    def __init__(self, folders: list[tuple[str, bool]]):
+        self.folders = folders
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"].removeprefix("file://")
         self.skip = set(json.loads(options.get("skipnames", "[]")))
-        self.max_bytes = int(options.get("maxbytes", str(1 << 62)))
+
+    def _below(self, folder: str) -> list[str]:
+        try:
+            return sorted(e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False) and e.name not in self.skip)
+        except OSError:
+            return []
 
     def partitions(self) -> list[InputPartition]:
-        below = [e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and e.name not in self.skip]
-        return [_Folder(self.root, False), *[_Folder(p, True) for p in sorted(below)]]
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        for top, folders, names in os.walk(partition.folder):
-            folders[:] = sorted(f for f in folders if f not in self.skip) if partition.deep else []
-            for name in sorted(names):
-                if name in self.skip:
-                    continue
-                path = os.path.join(top, name)
-                suffix = os.path.splitext(name)[1].lower()
-                try:
-                    info = os.stat(path)
-                    content = None
-                    if suffix not in BINARY_SUFFIXES and info.st_size <= self.max_bytes:
-                        with open(path, "rb") as f:
-                            content = f.read()
-                except OSError:
-                    yield path, os.path.relpath(path, self.root).replace(os.sep, "/"), name, suffix, None, None, None
-                    continue
-                when = datetime.datetime.fromtimestamp(info.st_mtime)
-                yield path, os.path.relpath(path, self.root).replace(os.sep, "/"), name, suffix, info.st_size, when, content
+        """Folders down to the level that has PLANNED of them: those above it alone, those on it with all below."""
+        level, above = [self.root], []
+        while level and len(level) < PLANNED:
+            above += level
+            level = [p for folder in level for p in self._below(folder)]
+        return [_Folders([(f, False) for f in above]), *[_Folders([(f, True)]) for f in level]]
+
+    def read(self, partition: _Folders) -> Iterator[tuple]:
+        for folder, deep in partition.folders:
+            for top, folders, names in os.walk(folder):
+                folders[:] = sorted(f for f in folders if f not in self.skip) if deep else []
+                for name in sorted(set(names) - self.skip):
+                    path = os.path.join(top, name)
+                    relative, suffix = os.path.relpath(path, self.root).replace(os.sep, "/"), os.path.splitext(name)[1].lower()
+                    try:
+                        info = os.stat(path)
+                    except OSError:
+                        yield path, relative, name, suffix, None, None
+                        continue
+                    yield path, relative, name, suffix, info.st_size, datetime.datetime.fromtimestamp(info.st_mtime)
 
 
 class SourceTree(DataSource):
-    """``spark.read.format("source_tree").load(root)``; options skipNames (JSON list) and maxBytes."""
+    """``spark.read.format("source_tree").load(root)``; option skipNames (JSON list)."""
 
     @classmethod
     def name(cls) -> str:
         return "source_tree"
 
     def schema(self) -> str:
-        return SCHEMA
+        return LISTED
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
+def with_content(listed: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Listed files with their content: null for binary, too large and unreadable ones. Files are dealt by path, so
+    that a large folder is read by many tasks."""
+    names = listed.columns
+    at_path, at_suffix, at_size = (names.index(c) for c in ("path", "suffix", "size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, start, size = [], 0, 0
+            for i, (path, suffix, n) in enumerate(zip(*(b.column(j).to_pylist() for j in (at_path, at_suffix, at_size)))):
+                content = None
+                if n is not None and suffix not in BINARY_SUFFIXES and (max_bytes is None or n <= max_bytes):
+                    try:
+                        with open(path, "rb") as f:
+                            content = f.read()
+                    except OSError:
+                        pass
+                held.append(content)
+                size += len(content or b"")
+                if size >= FLUSH_BYTES or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(start, len(held)).columns, pa.array(held, pa.binary())], names=[*names, "content"])
+                    held, start, size = [], i + 1, 0
+
+    return listed.repartition("path").mapInArrow(run, SCHEMA)
+
+
 def read_tree(spark: SparkSession, root: str, skip_names=EXCLUDED_NAMES, max_bytes: int | None = None) -> DataFrame:
-    """Files below ``root`` with parts and language; content is null for binary, too large and unreadable
-    files."""
+    """Files below ``root`` with parts, language and content (see ``with_content``)."""
     spark.dataSource.register(SourceTree)
-    reader = spark.read.format("source_tree").option("skipNames", json.dumps(list(skip_names)))
-    if max_bytes is not None:
-        reader = reader.option("maxBytes", str(max_bytes))
-    return reader.load(root).withColumns({"parts": F.split("rel_path", "/"), "language": language(F.col("name"))})
+    listed = spark.read.format("source_tree").option("skipNames", json.dumps(list(skip_names))).load(root)
+    return with_content(listed, max_bytes).withColumns({"parts": F.split("rel_path", "/"), "language": language(F.col("name"))})
 
 
 def read_ignore_lines(spark: SparkSession, root: str, name: str = ".gitignore") -> list[str]:

@@ -9,14 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from quarry.functions.embed import Embedder, embed
 from quarry.functions.languages import language
 from quarry.operators.chunking import chunk_lines
-from quarry.operators.index import chunk_id, write_index
+from quarry.operators.index import chunk_id, stamped, write_index
 
 
 def chunks_of(files: DataFrame, index_name: str, by: Embedder) -> DataFrame:
     """Index rows of files (path, name, text)."""
     rows = chunk_lines(files.withColumn("language", F.coalesce(language(F.col("name")), F.lit("unknown"))), ["path", "language"])
     rows = rows.withColumns({"index_name": F.lit(index_name), "chunk_type": F.lit("text")})
-    return embed(rows.withColumn("chunk_id", chunk_id(F.col("index_name"), F.col("path"), F.col("chunk_no"))), by)
+    return stamped(embed(rows.withColumn("chunk_id", chunk_id(F.col("index_name"), F.col("path"), F.col("chunk_no"))), by))
 
 
 def index_stream(files: DataFrame, index_name: str, by: Embedder, root: str, checkpoint: str) -> StreamingQuery:

@@ -123,6 +123,21 @@ def test_structural_units(spark):
     assert {(2, "text"), (3, "text")} <= chunks and (1, "text") not in chunks
 
 
+def test_units_of_rows_with_one_id_stay_apart(spark):
+    rows = [(1, "python", "def a():\n    x = 1\n"), (1, "python", "def b():\n    y = 2\n"), (None, "python", "class C:\n    z = 3"), (None, "python", "loose = 1")]
+    df = spark.createDataFrame(rows, "doc_id long, language string, text string")
+    want = {(1, "def a():\n    x = 1"), (1, "def b():\n    y = 2"), (None, "class C:\n    z = 3")}
+    assert {(r.doc_id, r.content) for r in chunking.structural_units(df).collect()} == want
+    assert {(r.doc_id, r.content) for r in chunking.chunk_files(df).collect()} == want | {(None, "loose = 1")}
+
+
+def test_long_texts_leave_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "FLUSH_CHARS", 50)
+    df = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(200))), (2, "short")], "doc_id long, text string")
+    got = chunking.chunk_lines(df, ["doc_id"], max_chars=40, overlap=8).collect()
+    assert [r.chunk_no for r in got if r.doc_id == 1] == list(range(len(got) - 1)) and got[-1].content == "short"
+
+
 def test_limits(spark):
     checks = stats.limit_check(stats.corpus_stats(spark.createDataFrame([("a", 10), ("b", None)], "path string, size long"), 5), 1, 500)
     assert {r.check_name: r.severity for r in checks.collect()} == {"files": "error", "total_mb": "ok", "oversized": "warning"}
@@ -140,6 +155,9 @@ def test_source_tree(spark, tmp_path):
     only = filters.include_globs(found, ["*.py"])
     assert sorted(r[0] for r in only.select("rel_path").collect()) == [".hid/z.py", "__init__.py", "_x/w.py", "included.py"]
     assert df.where("rel_path = 'x.pyc'").first().content is None
+    (tmp_path / "deep/er/still").mkdir(parents=True)
+    (tmp_path / "deep/er/still/d.py").write_text("d")
+    assert read_tree(spark, str(tmp_path), max_bytes=0).where("rel_path = 'deep/er/still/d.py' AND content IS NULL AND size = 1").count() == 1
 
 
 def test_embedders(spark):
@@ -174,7 +192,39 @@ def test_index_round_trip(spark, tmp_path):
         index.open_index(spark, root, "c")
 
 
-def test_search_edges(spark):
+def test_drop_and_ledger(spark, tmp_path):
+    chunks = spark.createDataFrame([("a b", "1", "x"), ("a b", "2", "y"), ("c", "1", "z")], "index_name string, chunk_id string, content string")
+    root, ledger = str(tmp_path / "index"), str(tmp_path / "runs")
+    index.index_run(index.stamped(chunks.where("index_name = 'a b'")), root, ledger, 2, 0.5)
+    index.index_run(index.stamped(chunks.where("index_name = 'c'")), root, ledger, 1)
+    with pytest.raises(Exception, match="nothing to add"):
+        index.index_run(index.stamped(chunks.where("index_name = 'c'").withColumn("content", F.raise_error(F.lit("nothing to add")).cast("string"))), root, ledger)
+    runs = spark.read.schema(index.LEDGER).parquet(ledger)
+    assert {r.index_name: (r.status, r.files_count, r.chunks_count) for r in index.latest_runs(runs).collect()} == {"a b": ("completed", 2, 2), "c": ("failed", None, None)}
+    assert runs.where("status = 'indexing'").count() == 3
+    assert {r.index_name: (r.chunks, r.storage_bytes) for r in index.list_indexes(index.open_index(spark, root)).collect()} == {"a b": (2, 2), "c": (1, 1)}
+    index.drop_index(spark, root, "a b")
+    assert [r.index_name for r in index.open_index(spark, root).collect()] == ["c"]
+    with pytest.raises(ValueError, match="no index 'a b'"):
+        index.drop_index(spark, root, "a b")
+
+
+def test_attached_vectors_are_complete(spark):
+    chunks = spark.createDataFrame([("1",), ("2",)], "chunk_id string")
+    vectors = spark.createDataFrame([("1", [1.0]), ("2", None)], "chunk_id string, embedding array<double>")
+    with pytest.raises(Exception, match="no vector for 2"):
+        index.attach_vectors(chunks, vectors).collect()
+    assert index.attach_vectors(chunks, vectors, missing="drop").count() == 1
+
+
+def test_oversized_report(spark):
+    df = spark.createDataFrame([(f"p{i}", i) for i in range(10)], "path string, size long")
+    assert [tuple(r) for r in stats.oversized_report(df, 2).orderBy("rank").collect()] == [(1, "p9", 9), (2, "p8", 8), (3, "p7", 7), (4, "p6", 6), (5, "p5", 5), (6, "... and 2 more", None)]
+    assert stats.oversized_report(df, 7).count() == 2 and stats.oversized_report(df, 99).count() == 0
+
+
+def test_search_edges(spark, monkeypatch):
+    monkeypatch.setattr(search, "MAX_DISTANCES", 3)
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None)], "chunk_id long, embedding array<float>")
     queries = spark.createDataFrame([(7, [1.0, 0.0], 0), (8, [0.0, 1.0], 99)], "query_id long, embedding array<float>, k int")
     got = {(r.query_id, r.rank, r.id, r.distance) for r in search.nearest(vectors, queries, "k").collect()}
