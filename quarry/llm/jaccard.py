@@ -410,3 +410,16 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM w WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, hash(array_to_string(w[s:s + 4], ' ')) AS h, array_to_string(w[s:s + 4], ' ') AS x FROM pos),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM sets a JOIN sets b ON a.h = b.h AND a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT pairs.a, pairs.b FROM pairs JOIN sizes x ON x.doc_id = pairs.a JOIN sizes y ON y.doc_id = pairs.b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a) USING (doc_id)
+"""

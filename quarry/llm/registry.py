@@ -23,4 +23,9 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op9_url_filters": url_filters.ORACLE}
+ORACLES = {
+    "op4_decontamination": decontamination.ORACLE,
+    "op7_ngram_jaccard": jaccard.ORACLE,
+    "op8_warc_revisits": warc.ORACLE,
+    "op9_url_filters": url_filters.ORACLE,
+}

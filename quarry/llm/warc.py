@@ -138,3 +138,14 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_archives(resolve_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
     return read_archives(spark, path).drop("payload_ok")
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+q AS (SELECT page_id, strlen(payload) AS n, list_transform(range(8), lambda g: ('0x' || substr(sha1(payload), g * 5 + 1, 5))::INTEGER) AS five,
+             first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id) AS least FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[i // 4 + 1] >> (15 - 5 * (i % 4)))::INTEGER & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM q
+"""
