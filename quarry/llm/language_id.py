@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import text_slices
 
 RUN = 512
+PARTS = 32  # of a language, so that no task ranks all of its texts
 SEPARATOR = 0
 
 
@@ -148,8 +149,10 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.length(text_col).cast("long").alias("n"), F.col(text_col).alias("t"))
     n_languages = rows.select("lang").distinct().count()
     most = min(chars_per_language, max_chars // max(1, n_languages))
-    by_hash = Window.partitionBy("lang").orderBy("h", "n")
-    first = rows.where(F.col("n") <= most).groupBy("lang", "h", "n").agg(F.lit(1).alias("one")).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= docs_per_language)
+    by_hash, by_part = Window.partitionBy("lang").orderBy("h", "n"), Window.partitionBy("lang", "part").orderBy("h", "n")
+    first = rows.where(F.col("n") <= most).groupBy("lang", "h", "n").agg(F.pmod("h", F.lit(PARTS)).alias("part"))
+    for w in (by_part, by_hash):  # the first of each part of a language, then the first of those
+        first = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= docs_per_language)
     chosen = first.withColumn("upto", F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= most).select("lang", "h", "n")
     texts = rows.join(F.broadcast(chosen), ["lang", "h", "n"]).groupBy("lang", "h", "n").agg(F.min("t").alias("t"))  # at most docs_per_language for each language are broadcast
     parts: dict[str, list[str]] = {}
