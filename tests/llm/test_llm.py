@@ -522,5 +522,35 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() >= safe.count()
 
 
+def test_pipeline_rows(spark, sf_dir):
+    """Null, empty, repeated and clashing rows, and no rows, through all stages."""
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = [r.text for r in table.where("lang = 'en'").orderBy(F.desc("n_chars")).limit(40).collect()]
+    weights = quality.fit(quality.training_rows(table, spark.read.parquet(f"{sf_dir}/labels.parquet")), "quality")
+    scores = quality.score_texts(weights, pa.array(good))
+    a, b = [t for t, s in zip(good, scores) if s > 0.9 and "WARC" not in t][:2]
+    rows = [(3, a), (7, a), (7, b), (9, b + " end"), (9, b + " end"), (None, a), (None, None), (11, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", None, 0.1, 7, "x", "y") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, digest string, row string")
+    learned = table.select("doc_id", "text", "lang", "source", "n_chars").withColumns({"score": F.lit(0.1), "predicted": F.lit(7), "digest": F.lit("x"), "row": F.lit("y")}).where("doc_id > 20")
+    stages, kept = dict(corpus_pipeline.STAGES), {}
+    docs_in = df.unionByName(learned)
+    first = stages["quality"](spark, docs_in, sf_dir)
+    assert first.columns == docs_in.columns and 0 < first.count() < docs_in.count()
+    docs_in = df
+    for name in ("near duplicates", "decontamination", "secrets"):
+        docs_in = stages[name](spark, docs_in, sf_dir)
+        assert docs_in.columns == df.columns
+        kept[name] = Counter((r.doc_id, r.text) for r in docs_in.collect())
+    assert kept["near duplicates"] == Counter([(3, a), (7, b), (None, None), (11, "")])
+    assert sum(kept["secrets"].values()) == sum(kept["decontamination"].values()) >= 2
+    assert stages["packing"](spark, docs_in, sf_dir).select("doc_id").distinct().count() == len({i for i, _ in kept["secrets"]})
+    none = df.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, sf_dir)
+        assert none.count() == 0
+
+
 def test_registry_names_one_query_for_each_operator():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 11))
