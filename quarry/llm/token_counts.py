@@ -24,8 +24,21 @@ CACHE = 500_000
 Edit = tuple[int, int, str]  # start, end, replacement; positions in the text as it then is
 
 
+class Known(dict):
+    """Tokens of pre-tokens. What is missing comes from an older table, else it is encoded."""
+
+    def __init__(self, encode, older: dict[str, int]):
+        self.encode, self.older = encode, older
+
+    def __missing__(self, piece: str) -> int:
+        n = self.older.get(piece)
+        self[piece] = n = len(self.encode(piece)) if n is None else n
+        return n
+
+
 class PieceCounter:
-    """Tokens of pre-tokens of a byte-level BPE; remembers up to CACHE of them."""
+    """Tokens of pre-tokens of a byte-level BPE. Remembers some CACHE of them: half of these are kept
+    when the newer half is full, and of them those that come up again stay."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
@@ -34,17 +47,12 @@ class PieceCounter:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, int] = {}
+        self.known = Known(self.encoding.encode_ordinary, {})
 
     def counts(self, pieces: list[str]) -> list[int]:
-        try:
-            return list(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > CACHE:
-                self.known = {}
-            for p in set(pieces).difference(self.known):
-                self.known[p] = len(self.encoding.encode_ordinary(p))
-            return list(map(self.known.__getitem__, pieces))
+        if len(self.known) > CACHE // 2:
+            self.known = Known(self.known.encode, dict(self.known))
+        return list(map(self.known.__getitem__, pieces))
 
 
 _counters: dict[tuple[str, str], PieceCounter] = {}
@@ -63,13 +71,13 @@ class CountedText:
 
     def __init__(self, text: str, counter: PieceCounter):
         self.counter = counter
-        self.leaves: list[list[str]] = [[p] for p in counter.split(text)]  # an edit may put several into one leaf, or none
+        self.leaves: list[str] = counter.split(text)  # an edit may put several pre-tokens into one leaf, or none
         n = len(self.leaves)
         self.size = 1 << max(n - 1, 0).bit_length()
         self.tokens, self.chars = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
         if n:
-            self.tokens[self.size : self.size + n] = counter.counts([p for (p,) in self.leaves])
-            self.chars[self.size : self.size + n] = [len(p) for (p,) in self.leaves]
+            self.tokens[self.size : self.size + n] = counter.counts(self.leaves)
+            self.chars[self.size : self.size + n] = list(map(len, self.leaves))
         for tree in (self.tokens, self.chars):
             lo = self.size
             while lo > 1:
@@ -82,7 +90,7 @@ class CountedText:
         return int(self.tokens[1])
 
     def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p in leaf)
+        return "".join(self.leaves)
 
     def _find(self, at: int) -> tuple[int, int]:
         """The leaf that holds character ``at`` (the last leaf beyond the end), and where it starts."""
@@ -95,9 +103,9 @@ class CountedText:
         return min(i - self.size, len(self.leaves) - 1), before
 
     def _put(self, leaf: int, pieces: list[str], counts: list[int]) -> None:
-        self.leaves[leaf] = pieces
+        self.leaves[leaf] = "".join(pieces)
         i = leaf + self.size
-        up = (sum(counts) - self.tokens[i], sum(map(len, pieces)) - self.chars[i])
+        up = (sum(counts) - self.tokens[i], len(self.leaves[leaf]) - self.chars[i])
         while i:
             self.tokens[i] += up[0]
             self.chars[i] += up[1]
@@ -107,7 +115,7 @@ class CountedText:
         """Empty the leaves lo..hi-1 and sum anew above them, a level at a time."""
         if lo >= hi:
             return
-        self.leaves[lo:hi] = [[] for _ in range(hi - lo)]
+        self.leaves[lo:hi] = [""] * (hi - lo)
         a, b = lo + self.size, hi - 1 + self.size
         for tree in (self.tokens, self.chars):
             tree[a : b + 1] = 0
@@ -121,26 +129,22 @@ class CountedText:
         start, end = max(0, min(start, n)), max(0, min(end, n))
         if not self.leaves:
             self.__init__(new, self.counter)
-            self.reencoded += sum(map(len, self.leaves))
+            self.reencoded += len(self.leaves)
             return
         first, _ = self._find(start)
         while first > 0:  # back to an untouched leaf with a visible character
             first -= 1
-            if any(not p.isspace() for p in self.leaves[first]):
+            if self.leaves[first] and not self.leaves[first].isspace():
                 break
         at = self._start(first)
         last, _ = self._find(max(end - 1, 0))
-        old, upto = [], at
-        for leaf in self.leaves[first : last + 1]:
-            old += leaf
         last += 1
-        upto = at + sum(map(len, old))
+        old = "".join(self.leaves[first:last])
+        upto = at + len(old)
         step = 8
         while True:
-            more = [p for leaf in self.leaves[last : last + step] for p in leaf]
-            tail = "".join(more)
-            joined = "".join(old)
-            changed = joined[: start - at] + new + joined[end - at :]
+            tail = "".join(self.leaves[last : last + step])
+            changed = old[: start - at] + new + old[end - at :]
             region = self.counter.split(changed + tail)
             borders = self._borders(last, last + step, upto)
             reached = last + step >= len(self.leaves)
@@ -177,7 +181,7 @@ class CountedText:
         """Old character position of each leaf border from ``lo`` on: the first leaf to keep."""
         out = {at: lo}
         for leaf in range(lo, min(hi, len(self.leaves))):
-            at += sum(map(len, self.leaves[leaf]))
+            at += len(self.leaves[leaf])
             out[at] = leaf + 1
         return out
 
