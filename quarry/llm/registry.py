@@ -5,7 +5,7 @@ The others are tested against brute force in tests/llm.
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, fingerprints, jaccard, language_id, packing, quality, secret_scans, token_counts, url_filters, warc
+from quarry.llm import decontamination, filter_audit, fingerprints, harmonic, jaccard, language_id, packing, quality, secret_scans, token_counts, url_filters, warc, whitening
 
 QUERIES = {
     f.__name__: f
@@ -20,6 +20,9 @@ QUERIES = {
         warc.op8_warc_revisits,
         url_filters.op9_url_filters,
         secret_scans.op10_secret_scans,
+        filter_audit.op11_filter_interactions,
+        harmonic.op12_harmonic_packing,
+        whitening.op13_embedding_whitening,
     )
 }
 
@@ -28,4 +31,5 @@ ORACLES = {
     "op7_ngram_jaccard": jaccard.ORACLE,
     "op8_warc_revisits": warc.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
+    "op11_filter_interactions": filter_audit.ORACLE,
 }

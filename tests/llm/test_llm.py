@@ -553,4 +553,4 @@ def test_pipeline_rows(spark, sf_dir):
 
 
 def test_registry_names_one_query_for_each_operator():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 14))
