@@ -12,8 +12,8 @@ parts are encoded once and looked up by hash (mixed, see common.hash_spans: with
 d * d / 2**65 of them would be taken for another). Where borders could matter (apostrophes, non-ASCII symbols, the
 tokenizer's own special tokens), a run between white space stays whole.
 
-Null text counts as empty (the end id alone). Repeated rows and rows without an id are packed each on their own;
-extra columns are ignored, also those named as the results; an empty table gives an empty result.
+Null text counts as empty (the end id alone). Repeated rows and rows without an id are packed each on their own, and ids come back as they
+are, of any size and beside nulls; extra columns are ignored, also those named as the results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.common import ascii_lower, hash_spans, spans, text_slices, tidy, word_counts
 
 GROUP_DOCS = 20_000
-CACHE_PARTS = 500_000
+CACHE_PARTS, CACHE_IDS = 500_000, 8_000_000
 
 # Classes of bytes: 1 letters and all non-ASCII, 2 digits, 3 symbols; 0 is white space that never joins.
 _CLASS = np.full(256, 3, np.uint8)
@@ -41,7 +40,7 @@ _CLASS[128:] = 1
 
 
 class PartEncoder:
-    """Ids of texts by way of their distinct parts. Once it holds more than CACHE_PARTS, it forgets all before it learns a slice's."""
+    """Ids of texts by way of their distinct parts. Once it holds more than CACHE_PARTS, or CACHE_IDS ids of them, it forgets all before it learns a slice's."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
@@ -100,7 +99,7 @@ class PartEncoder:
         else:
             new = np.ones(len(distinct), bool)
         if new.any():
-            if len(self.hashes) > CACHE_PARTS:  # only between slices: all parts of this one are learned together
+            if len(self.hashes) > CACHE_PARTS or len(self.ids) > CACHE_IDS:  # only between slices: all parts of this one are learned together
                 self._clear()
                 new[:] = True
             raw, some = low.tobytes(), where[new]
@@ -240,13 +239,13 @@ def token_pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """``pieces`` with sequence_id and offset in place of their group."""
 
-    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="pack_group").sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
-        sequence, offset = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=(int(key[0]) << 36) + sequence, offset=offset)
+    def place(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.drop_columns("pack_group").sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])
+        sequence, offset = best_fit_decreasing(table["length"].to_numpy(), capacity)
+        return table.append_column("sequence_id", pa.array((key[0].as_py() << 36) + sequence)).append_column("offset", pa.array(offset))
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.groupBy("pack_group").applyInPandas(place, f"doc_id {kind}, {PIECES}, sequence_id bigint, offset bigint")
+    return pieces.groupBy("pack_group").applyInArrow(place, f"doc_id {kind}, {PIECES}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
