@@ -12,7 +12,7 @@ into runs of RUN bytes; each cut costs at most one phrase in every language alik
 Null text or one without a letter: ``und`` and score 0. No labelled rows: ``und`` for all; an empty table gives an
 empty result. Repeated rows are predicted alike and learned once; rows without an id are predicted too, and never
 held out; texts of any length are parsed a slice at a time; extra columns are ignored. The table of all automata is
-bounded by the characters of the sample (``fit``), not by the number of languages.
+bounded by the characters of the sample (``fit``): of very many languages each has its least share.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_slices
+from quarry.llm.common import stored, text_slices
 
 RUN = 512
 PARTS = 32  # of a language, so that no task ranks all of its texts
@@ -141,20 +141,22 @@ class LanguageModel:
         return names[pred].tolist(), scores
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 96, chars_per_language: int = 60_000, max_chars: int = 240_000) -> LanguageModel:
-    """Learn from a bounded sample of whole texts: of each language the distinct texts that come first by hash, at
-    most ``docs_per_language`` of them, with ``chars_per_language`` characters together (and all languages with
-    ``max_chars``); texts that are longer alone aren't learned from. Only hashes of texts are shuffled, copies made
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 96, chars_per_language: int = 60_000, max_chars: int = 240_000, least_chars: int = 500) -> LanguageModel:
+    """Learn from a bounded sample: of each language the distinct whole texts that come first by hash, at most
+    ``docs_per_language`` of them, with a language's share of ``max_chars`` characters together (not over
+    ``chars_per_language``, not under ``least_chars``). Every language that has a text is learned: one whose texts are
+    all longer than its share gives the beginning of its shortest text. Only hashes of texts are shuffled, copies made
     one before that; the driver gets the chosen texts."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.length(text_col).cast("long").alias("n"), F.col(text_col).alias("t"))
-    n_languages = rows.select("lang").distinct().count()
-    most = min(chars_per_language, max_chars // max(1, n_languages))
+    shortest = stored(rows.where("n > 0").groupBy("lang").agg(F.min(F.struct("n", "h")).alias("s"))).select("lang", "s.h", "s.n")
+    most = max(least_chars, min(chars_per_language, max_chars // max(1, shortest.count())))
     by_hash, by_part = Window.partitionBy("lang").orderBy("h", "n"), Window.partitionBy("lang", "part").orderBy("h", "n")
-    first = rows.where(F.col("n") <= most).groupBy("lang", "h", "n").agg(F.pmod("h", F.lit(PARTS)).alias("part"))
+    first = rows.where(F.col("n").between(1, most)).groupBy("lang", "h", "n").agg(F.pmod("h", F.lit(PARTS)).alias("part"))
     for w in (by_part, by_hash):  # the first of each part of a language, then the first of those
         first = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= docs_per_language)
-    chosen = first.withColumn("upto", F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= most).select("lang", "h", "n")
-    texts = rows.join(F.broadcast(chosen), ["lang", "h", "n"]).groupBy("lang", "h", "n").agg(F.min("t").alias("t"))  # at most docs_per_language for each language are broadcast
+    whole = first.withColumn("upto", F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= most).select("lang", "h", "n")
+    chosen = whole.unionByName(shortest.where(F.col("n") > most))
+    texts = rows.join(F.broadcast(chosen), ["lang", "h", "n"]).groupBy("lang", "h", "n").agg(F.min(F.left("t", F.lit(most))).alias("t"))  # at most docs_per_language for each language are broadcast
     parts: dict[str, list[str]] = {}
     for r in sorted(texts.collect()):
         parts.setdefault(r.lang, []).append(r.t)
