@@ -9,7 +9,8 @@ overlap; masking takes overlapping ones as one. A name may have any length and a
 a quoted literal may hold blanks.
 
 Spans are code points, end exclusive. Null or empty text: no spans. Repeated rows are scanned each on their
-own; extra columns are ignored; work and memory follow the length of one text.
+own; extra columns are ignored (masking keeps them); an empty table gives an empty result; work and memory follow the
+length of one text.
 """
 
 from __future__ import annotations
@@ -154,14 +155,14 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def mask_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with secrets masked in its text and, if it has the column, ``n_chars`` counted anew."""
+    """``df`` with secrets masked in its text and, if it has such a column of whole numbers, ``n_chars`` counted anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = b.schema.get_field_index(text_col)
             texts = [masked(t.as_py()) for t in b.column(i)]
             b = b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
-            if (j := b.schema.get_field_index("n_chars")) >= 0:
+            if (j := b.schema.get_field_index("n_chars")) >= 0 and pa.types.is_integer(b.schema.field(j).type):
                 b = b.set_column(j, b.schema.field(j), pa.array([None if t is None else len(t) for t in texts], b.schema.field(j).type))
             yield b
         tidy()
