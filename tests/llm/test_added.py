@@ -244,3 +244,45 @@ def test_whitening_on_the_table(spark, sf_dir):
         assert min(np.abs(have - want).max(), np.abs(have + want).max()) < 1e-7
         assert abs(got[table[0].vec_id][k].explained / (e / np.trace(cov)) - 1) < 1e-9
     assert got[table[0].vec_id][1].identity_error < 1e-9
+
+
+# ---- earlier operators: ids, languages and columns that were lost
+
+
+def test_packing_keeps_large_ids_beside_nulls(spark):
+    ids = [2**53 + 1, 2**53 + 3, None, 2**53 + 1, 5]
+    df = spark.createDataFrame([(i, f"some text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    from quarry.llm import packing
+
+    got = packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json"), capacity=3)
+    assert Counter(r.doc_id for r in got.where("piece = 0").collect()) == Counter(ids)
+    by_name = packing.pack_documents(df.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))), public_tokenizers.path("word_bpe_49k.json"))
+    assert {r.doc_id for r in by_name.collect()} == {str(2**53 + 1), str(2**53 + 3), "none", "5"}
+
+
+def test_languages_of_long_texts_alone_are_learned(spark):
+    from quarry.llm import language_id
+
+    rows = [("the and of that with " * 40, "en")] + [(f"{i} " + "der die das und nicht " * 4000, "de") for i in range(5)] + [("", "fr"), ("", "fr")]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["de", "en"]
+    assert model.log_n[0] <= math.log2(60_001)
+    assert model.predict(__import__("pyarrow").array(["und das nicht", "that with the"]))[0] == ["de", "en"]
+
+
+def test_very_many_languages_are_all_learned(spark):
+    from quarry.llm import language_id
+
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(2)) for i in range(600)]
+    rows = [(" ".join([n * 3] * 100), n) for n in names]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == sorted(names)
+    assert model.predict(__import__("pyarrow").array([" ".join([names[77] * 3] * 5)]))[0] == [names[77]]
+
+
+def test_masking_leaves_a_clashing_n_chars_alone(spark):
+    from quarry.llm import secret_scans
+
+    df = spark.createDataFrame([(1, "token = abcdef123456", "many"), (2, None, None)], "doc_id long, text string, n_chars string")
+    assert [(r.text, r.n_chars) for r in secret_scans.mask_secrets(df).orderBy("doc_id").collect()] == [("[SECRET]", "many"), (None, None)]
+    assert secret_scans.scan_secrets(df.limit(0)).count() == 0 and secret_scans.scan_secrets(df.union(df)).count() == 4
