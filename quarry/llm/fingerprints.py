@@ -1,18 +1,17 @@
 """Document fingerprints: improbable-feature digests.
 
-Every window of WINDOW bytes has an entropy; how rare its entropy is in the whole corpus ranks it. Among
-each POPULARITY neighbouring windows the rarest one (leftmost of equals) gains a point, and windows of at
-least LEAST_POINTS are the text's features. They enter Bloom filters of FILTER_BITS bits, a new one after
-FILTER_FEATURES features; the chain of filters is the fingerprint. Two chains are alike by the mean, over the
-filters of the shorter one, of the best overlap of bits beyond what chance gives, normalised to 0..1.
-
-Rare windows are few in short texts, so texts under SHORT bytes have a second chain, of all their windows of
-SHORT_WINDOW bytes. Two fingerprints are compared by the second chains if both have one, else by the first
-ones. Nearly all texts from WINDOW + POPULARITY + LEAST_POINTS bytes on have a first chain (on sf0.1, 770 of
-774 such short ones). A shorter text, or one of the few without it, has likeness 0 to a text of SHORT bytes or more.
-
-Null text counts as empty; an empty text has an empty fingerprint, like (1) only to another empty one. Equal
-texts have equal fingerprints. Repeated rows are digested alike; extra columns are ignored.
+Every window of WINDOW bytes has an entropy; how rare its entropy is in the whole corpus ranks it. A window that is
+rarer than its REACH neighbours on either side (of equals the leftmost is) is a feature; neighbourhoods end with the
+text, so that texts of any size have features of one kind, about one in ten bytes. Windows of hardly any entropy are
+runs of a few bytes and never features; a text without a feature, or shorter than a window, is one feature as a whole.
+Features enter Bloom filters of FILTER_BITS bits, a new one after FILTER_FEATURES features; the chain of filters is the
+fingerprint. Two chains are alike by the mean, over the filters of the shorter one, of the best overlap of bits beyond
+what chance gives, normalised to 0..1.
+
+Null text counts as empty; an empty text has an empty fingerprint, like (1) only to another empty one. Equal texts have
+equal fingerprints, repeated rows too; extra columns are ignored; an empty table gives an empty result. The next
+document is by descending id; of equal ids the first by text comes first, and rows without an id come last, by text.
+Ids are whole numbers. Long texts are digested BLOCK bytes at a time.
 """
 
 from __future__ import annotations
@@ -28,16 +27,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import hash_spans, partitions, text_slices
 
-WINDOW, POPULARITY, LEAST_POINTS = 32, 64, 16
-SHORT, SHORT_WINDOW = 512, 8
+WINDOW, REACH = 8, 7  # a window's neighbours: nearer than its width, so that none is beyond the end of its text
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 LEVELS = 1001
 COMPARED = 256
 WEAK = 100  # windows of lower entropy (of 1000) are runs of few bytes, and never features
+BLOCK = 1 << 20
 _UNIT = 1 << 20
 
-Fingerprint = tuple[np.ndarray, np.ndarray]
-
 _f = np.array([0, *(c * np.log2(c) for c in range(1, WINDOW + 1))])
 _STEP = np.append(0, np.diff(np.round(_f * _UNIT).astype(np.int64)))
 _FULL = int(np.round(_f * _UNIT)[WINDOW])
@@ -47,15 +44,19 @@ def entropy_levels(buf: np.ndarray) -> np.ndarray:
     """Entropy of each window of a buffer, 0 to 1000. Sums are of integers, so a window's level depends on
     its bytes alone."""
     n = len(buf) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int16)
+    parts = [_block_levels(buf[lo : lo + BLOCK + WINDOW - 1]) for lo in range(0, n, BLOCK)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int16)
+
+
+def _block_levels(buf: np.ndarray) -> np.ndarray:
+    n = len(buf) - WINDOW + 1
     ahead, behind = np.ones(len(buf), np.uint8), np.ones(len(buf), np.uint8)
     for d in range(1, WINDOW):
         same = (buf[:-d] == buf[d:]).view(np.uint8)
         ahead[:-d] += same
         behind[d:] += same
     sums = np.empty(n, np.int64)
-    sums[0] = _STEP[behind[:WINDOW] if len(buf) >= WINDOW else behind].sum()
+    sums[0] = _STEP[behind[:WINDOW]].sum()
     np.cumsum(_STEP[behind[WINDOW:]] - _STEP[ahead[: n - 1]], out=sums[1:])
     sums[1:] += sums[0]
     return ((_FULL - sums) * 1000 // _FULL).astype(np.int16)
@@ -92,43 +93,41 @@ def entropy_histogram(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def rarity_ranks(histogram: np.ndarray) -> np.ndarray:
     """Rank of each level, the rarest first; of equals the lower entropy. Weak levels have rank LEVELS."""
-    ranks = np.empty(LEVELS, np.int64)
+    ranks = np.empty(LEVELS, np.int16)
     ranks[np.argsort(histogram, kind="stable")] = np.arange(LEVELS)
     ranks[:WEAK] = LEVELS
     return ranks
 
 
 def rare_features(buf: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the rare windows of a slice of texts, in order, and how many each text has."""
+    """Hashes of the features of a slice of texts, in order, and how many each text has."""
     sizes = np.diff(offsets)
-    levels = entropy_levels(buf)
-    span = WINDOW + POPULARITY - 1
-    chosen = np.zeros(0, np.int64)
-    if len(levels) >= POPULARITY:
-        best = ranks[levels] << 32 | np.arange(len(levels))
-        step = 1
-        while step < POPULARITY:
-            best = np.minimum(best[:-step], best[step:])
-            step *= 2
-        best = best[_windows(offsets, span, len(best))]
-        points = np.bincount(best[best >> 32 < LEVELS] & 0xFFFFFFFF, minlength=1)
-        chosen = np.flatnonzero(points >= LEAST_POINTS)
+    rank = ranks[entropy_levels(buf)]
+    n = len(rank)
+    rank[~_windows(offsets, WINDOW, n)] = LEVELS
+    around = np.full(n + 2 * REACH, LEVELS, np.int16)
+    around[REACH : REACH + n] = rank
+    least = around  # of the windows from each place on
+    for step in _doublings(REACH):
+        least = np.minimum(least[:-step], least[step:])
+    before, after = least[:n], least[REACH + 1 : REACH + 1 + n]
+    chosen = np.flatnonzero((rank < before) & (rank <= after) & (rank < LEVELS))
     owners = np.searchsorted(offsets, chosen, "right") - 1
     counts = np.bincount(owners, minlength=len(sizes))
-    lost = np.flatnonzero((counts == 0) & (sizes >= SHORT))  # a text of weak windows alone: the whole is its feature
+    lost = np.flatnonzero((counts == 0) & (sizes > 0))
     starts, ends, owners = np.concatenate([chosen, offsets[:-1][lost]]), np.concatenate([chosen + WINDOW, offsets[1:][lost]]), np.concatenate([owners, lost])
-    order = np.lexsort([starts, owners])
+    order = np.argsort(owners, kind="stable")
     counts[lost] = 1
     return hash_spans(buf, starts[order], ends[order]), counts
 
 
-def short_features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all short windows of the short texts of a slice, in order, and how many each text has."""
-    sizes = np.diff(offsets)
-    counts = np.where((sizes > 0) & (sizes < SHORT), np.maximum(1, sizes - SHORT_WINDOW + 1), 0)
-    owners = np.repeat(np.arange(len(sizes)), counts)
-    starts = offsets[:-1][owners] + np.arange(len(owners)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return hash_spans(buf, starts, np.minimum(starts + SHORT_WINDOW, offsets[1:][owners])), counts
+def _doublings(width: int) -> list[int]:
+    """Steps after which a running minimum covers ``width`` places."""
+    out, covered = [], 1
+    while covered < width:
+        out.append(min(covered, width - covered))
+        covered += out[-1]
+    return out
 
 
 def _filters(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
@@ -143,24 +142,17 @@ def _filters(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [packed[a : a + k] for a, k in zip(first.tolist(), filters.tolist())]
 
 
-def chains(texts: pa.Array, ranks: np.ndarray) -> list[Fingerprint]:
-    """The Bloom filters of each text, packed: arrays (filters, FILTER_BITS / 8) of rare and of short windows."""
-    out: list[Fingerprint] = []
-    for lo, hi, buf, offsets in text_slices(texts):
-        out += zip(_filters(*rare_features(buf, offsets, ranks)), _filters(*short_features(buf, offsets)))
-    return out
+def chains(texts: pa.Array, ranks: np.ndarray) -> list[np.ndarray]:
+    """The Bloom filters of each text, packed: arrays (filters, FILTER_BITS / 8)."""
+    return [chain for _, _, buf, offsets in text_slices(texts) for chain in _filters(*rare_features(buf, offsets, ranks))]
 
 
-def likeness(one: Fingerprint, other: Fingerprint) -> float:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1; see the module."""
-    if not any(map(len, one)) or not any(map(len, other)):
-        return float(not any(map(len, one + other)))
-    if all(x.shape == y.shape and np.array_equal(x, y) for x, y in zip(one, other)):
-        return 1.0
-    kind = 1 if len(one[1]) and len(other[1]) else 0
-    a, b = one[kind], other[kind]
     if not len(a) or not len(b):
-        return 0.0
+        return float(len(a) == len(b))
+    if a.shape == b.shape and np.array_equal(a, b):
+        return 1.0
     if len(a) > len(b):
         a, b = b, a
     score, weight = np.zeros(len(a)), np.bitwise_count(a).sum(1, dtype=np.float64)
@@ -175,10 +167,8 @@ def likeness(one: Fingerprint, other: Fingerprint) -> float:
     return float((score * weight).sum() / weight.sum())
 
 
-def encoded(fingerprint: Fingerprint) -> str:
-    """The first chain and, of short texts, a dot and the second."""
-    rare, short = (base64.b64encode(chain.tobytes()).decode() for chain in fingerprint)
-    return f"{rare}.{short}" if short else rare
+def encoded(chain: np.ndarray) -> str:
+    return base64.b64encode(chain.tobytes()).decode()
 
 
 def fingerprint(df: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import fingerprints, language_id, quality, registry, secret_scans
 from quarry.llm.common import hash_word
@@ -135,7 +136,7 @@ def test_quality(spark, small):
 
 def plain_fingerprint(text, ranks):
     """The digest window by window."""
-    raw, w, span = (text or "").encode(), fingerprints.WINDOW, fingerprints.POPULARITY
+    raw, w, reach = (text or "").encode(), fingerprints.WINDOW, fingerprints.REACH
 
     def entropy(x):
         return (fingerprints._FULL - sum(int(np.round(c * math.log2(c) * (1 << 20))) for c in Counter(x).values())) * 1000 // fingerprints._FULL
@@ -152,17 +153,26 @@ def plain_fingerprint(text, ranks):
         return base64.b64encode(b"".join(out)).decode()
 
     rank = [int(ranks[entropy(raw[i : i + w])]) for i in range(len(raw) - w + 1)]
-    points = Counter()
-    for i in range(len(rank) - span + 1):
-        best = min(range(i, i + span), key=lambda j: (rank[j], j))
-        if rank[best] < fingerprints.LEVELS:
-            points[best] += 1
-    rare = [raw[i : i + w] for i in sorted(points) if points[i] >= fingerprints.LEAST_POINTS]
-    if not rare and len(raw) >= fingerprints.SHORT:
-        rare = [raw]
-    k = fingerprints.SHORT_WINDOW
-    short = [raw[i : i + k] for i in range(max(1, len(raw) - k + 1))] if 0 < len(raw) < fingerprints.SHORT else []
-    return filled(rare) + (f".{filled(short)}" if short else "")
+    rarest = [r < fingerprints.LEVELS and all(r < x for x in rank[max(0, i - reach) : i]) and all(r <= x for x in rank[i + 1 : i + 1 + reach]) for i, r in enumerate(rank)]
+    rare = [raw[i : i + w] for i, is_it in enumerate(rarest) if is_it]
+    return filled(rare or [raw] * bool(raw))
+
+
+def plain_likeness(one, other):
+    """Of two encoded fingerprints, filter by filter."""
+    a, b = ([int.from_bytes(raw[i : i + 256]) for i in range(0, len(raw), 256)] for raw in map(base64.b64decode, (one, other)))
+    if not a or not b:
+        return float(not a and not b)
+    a, b = sorted((a, b), key=len)
+    best = []
+    for x in a:
+        scores = []
+        for y in b:
+            n, m = x.bit_count(), y.bit_count()
+            chance = n * m / fingerprints.FILTER_BITS
+            scores.append(max(0.0, min(1.0, ((x & y).bit_count() - chance) / max(min(n, m) - chance, 1e-6))))
+        best.append((max(scores), x.bit_count()))
+    return 1.0 if a == b else sum(s * n for s, n in best) / sum(n for _, n in best)
 
 
 def test_fingerprints(spark, small):
@@ -175,6 +185,19 @@ def test_fingerprints(spark, small):
         edited = fingerprints.edited_text(text, following)
         assert got[i].fingerprint == plain_fingerprint(text, ranks) and got[i].edited_fingerprint == plain_fingerprint(edited, ranks)
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(text)
+        assert abs(got[i].near_edited - plain_likeness(got[i].fingerprint, got[i].edited_fingerprint)) < 1e-5
+        assert abs(got[i].near_next - plain_likeness(got[i].fingerprint, got[after].fingerprint)) < 1e-5
+
+
+@pytest.mark.parametrize("shuffle", [1, 3])
+def test_next_documents_of_awkward_ids(spark, shuffle):
+    """Null, repeated and very large ids, clashing columns, more buckets than rows."""
+    rows = [(None, "no id"), (None, None), (5, "five b"), (5, "five a"), (2**53 + 1, "large"), (2**53 + 3, "larger"), (-7, ""), (5, "five a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("bucket", "guest", "to")}).repartition(shuffle)
+    ranks = fingerprints.rarity_ranks(fingerprints.entropy_histogram(df))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = Counter((i, hashlib.sha256(fingerprints.edited_text(t, after).encode()).hexdigest()) for (i, t), (_, after) in zip(order, order[1:] + order[:1]))
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprints.compare_with_edited(df, ranks).collect()) == want
 
 
 def test_secret_scans(spark, sf_dir):
