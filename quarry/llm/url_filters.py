@@ -6,12 +6,19 @@ on until a level has no false positive. A key of the universe is listed exactly
 lacks it is an even one. Each level is an array of 64-bit words that a scalar subquery hands to the scan:
 no join touches the urls, and all of it is built-in functions.
 
+Keys are dealt to parts by hash, a cascade each, so that no level has more than ``part_mb``. The urls are judged part by
+part, each in a pass that holds the levels of one part and marks the keys of that part; a list of any length takes the
+same way, with as many passes as it has parts.
+
 Null url, no ``://``: host and path are empty, no rule fits, the verdict is allow. Repeated rows are judged
-each on their own; extra columns are ignored; an empty table gives an empty result.
+each on their own; extra columns are ignored; an empty table gives an empty result. Listed hosts may be null, repeated,
+or not occur in the urls.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +35,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-#: Host labels of the query's block list; a host with one of them is a listed key.
+#: The query's block list is the table of the hosts that have one of these labels.
 LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
@@ -40,84 +47,74 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 class Cascade:
-    """Levels of Bloom filters over ``universe`` (key, listed), built by grouping on words of bits. A level is an
-    array that every task holds: if one would be over ``max_mb``, ``oversized`` is set, and membership is for a
-    join with ``listed`` to tell."""
-
-    def __init__(self, universe: DataFrame, bits_per_key: int = 10, hashes: int = 4, max_mb: int = 64):
-        self.spark, self.hashes, self.sizes, self.levels = universe.sparkSession, hashes, [], []
-        keys, self.oversized = stored(universe.groupBy("key").agg(F.max("listed").alias("listed"))), False
-        inside, outside = keys.where("listed").select("key"), keys.where("NOT listed").select("key")
-        self.listed = inside
-        while n := inside.count():
-            bits = -(-n * bits_per_key // 64) * 64
-            if bits > max_mb << 23:
-                self.oversized = True
-                break
-            level = len(self.levels)
-            self.sizes.append(bits)
-            self.levels.append(self._encode(inside, level, bits))
-            words = self._with_levels(outside, [level])
-            wrong = stored(words.where(self._in_level(F.col("key"), level)).select("key"))
-            inside, outside = wrong, inside
-
-    def _positions(self, key: Column, level: int) -> list[Column]:
-        bits = F.lit(self.sizes[level])
-        first, step = F.pmod(F.xxhash64(key, F.lit(level)), bits), F.pmod(F.xxhash64(F.lit(level), key), bits)
-        return [F.pmod(first + step * i, bits) for i in range(self.hashes)]
+    """Levels of Bloom filters over ``universe`` (key, listed), built by grouping on words of bits; a cascade for each part of the keys."""
+
+    def __init__(self, universe: DataFrame, bits_per_key: int = 10, hashes: int = 4, part_mb: float = 16):
+        self.spark, self.hashes = universe.sparkSession, hashes
+        keys = stored(universe.groupBy("key").agg(F.max("listed").alias("listed")))
+        self.parts = max(1, -(-keys.where("listed").count() * bits_per_key // int(part_mb * (1 << 23))))
+        self.cascades: list[list[tuple[int, DataFrame]]] = []  # of each part the levels: bits and words
+        for part in range(self.parts):
+            levels: list[tuple[int, DataFrame]] = []
+            own = keys.where(self.part_of(F.col("key")) == part)
+            inside, outside = own.where("listed").select("key"), own.where("NOT listed").select("key")
+            while n := inside.count():
+                bits = -(-n * bits_per_key // 64) * 64
+                levels.append((bits, self._encode(inside, len(levels), bits)))
+                seen = outside.withColumn("_level", levels[-1][1].scalar())
+                wrong = stored(seen.where(self._in_level(F.col("key"), F.col("_level"), len(levels) - 1, bits)).select("key"))
+                inside, outside = wrong, inside
+            self.cascades.append(levels)
+
+    def part_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(self.parts))
+
+    def _positions(self, key: Column, level: int, bits: int) -> list[Column]:
+        first, step = (F.pmod(h, F.lit(bits)) for h in (F.xxhash64(key, F.lit(level)), F.xxhash64(F.lit(level), key)))
+        return [F.pmod(first + step * i, F.lit(bits)) for i in range(self.hashes)]
 
     def _encode(self, keys: DataFrame, level: int, bits: int) -> DataFrame:
         """One row: the level's words, in order."""
-        set_bits = keys.select(F.explode(F.array(*self._positions(F.col("key"), level))).alias("p"))
+        set_bits = keys.select(F.explode(F.array(*self._positions(F.col("key"), level, bits))).alias("p"))
         words = set_bits.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits"))
         zeros = self.spark.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
         full = words.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
         row = full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("a"))
         return stored(row.select(F.col("a.bits").alias("words")), f"{shared_dir(self.spark)}-level{level}")
 
-    def _with_levels(self, df: DataFrame, levels: list[int]) -> DataFrame:
-        return df.withColumns({f"_level{i}": self.levels[i].scalar() for i in levels})
-
-    def _in_level(self, key: Column, level: int) -> Column:
-        words = F.col(f"_level{level}")
-        hits = [F.expr("true")]
-        for p in self._positions(key, level):
-            hits.append(F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), (p.bitwiseAND(F.lit(63))).cast("int")) == 1)
-        out = hits[0]
-        for h in hits[1:]:
-            out = out & h
+    def _in_level(self, key: Column, words: Column, level: int, bits: int) -> Column:
+        out = F.lit(True)
+        for p in self._positions(key, level, bits):
+            out = out & (F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1)
         return out
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        """``df`` with the levels' words as columns, for ``contains``."""
-        return self._with_levels(df, list(range(len(self.levels))))
-
-    def contains(self, key: Column) -> Column:
-        """Whether a key of the universe is listed; use on a frame from ``attach``."""
-        out = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(range(len(self.levels))):
-            out = F.when(~self._in_level(key, level), F.lit(level % 2 == 1)).otherwise(out)
-        return out
+    def _contains(self, part: int, levels: list[tuple[int, DataFrame]], names: list[str]) -> Callable[[Column], Column]:
+        def contains(key: Column) -> Column:
+            out = F.lit(len(levels) % 2 == 1)
+            for i in reversed(range(len(levels))):
+                out = F.when(~self._in_level(key, F.col(names[i]), i, levels[i][0]), F.lit(i % 2 == 1)).otherwise(out)
+            return out if self.parts == 1 else (self.part_of(key) == part) & out
 
-    def drop(self, df: DataFrame) -> DataFrame:
-        return df.drop(*[f"_level{i}" for i in range(len(self.levels))])
+        return contains
 
+    def mark(self, df: DataFrame, marks: Callable[[Callable[[Column], Column]], dict[str, Column]]) -> DataFrame:
+        """``df`` with the columns that ``marks(contains)`` gives, once for each part: ``contains(key)`` tells whether a key
+        of the universe is listed, for keys of the part at hand, and is false for others. Columns marked before can be used."""
+        for part, levels in enumerate(self.cascades):
+            names = [f"_level{i}" for i in range(len(levels))]
+            held = df.withColumns({n: words.scalar() for n, (_, words) in zip(names, levels)})
+            df = held.withColumns(marks(self._contains(part, levels, names))).drop(*names)
+            if part + 1 < self.parts:  # a pass each, so that a task holds one part's levels
+                df = stored(df)
+        return df
 
-def _found_by_join(keyed: DataFrame, listed: DataFrame) -> DataFrame:
-    """``keyed`` with fit and bad_host for a list that no task can hold: a join by key for each distinct host and path."""
-    pairs = keyed.where("host <> ''").groupBy("host", "path").agg(F.first("keys").alias("keys"))
-    keys = pairs.select("host", "path", F.explode(F.array_distinct(F.array_append("keys", F.col("host")))).alias("key"))
-    found = stored(keys.join(listed.hint("merge"), "key").groupBy("host", "path").agg(F.collect_set("key").alias("fit")))
-    out = keyed.join(found.hint("merge"), ["host", "path"], "left").withColumn("fit", F.coalesce("fit", F.array().cast("array<string>")))
-    return out.withColumn("bad_host", F.array_contains("fit", F.col("host")))
 
-
-def judge(df: DataFrame, rules=RULES, listed_labels=LISTED_LABELS, id_col: str = "page_id", url_col: str = "url", max_mb: int = 64) -> DataFrame:
-    """Verdict on every url: that of the longest fitting rule, else block for a listed host, else allow.
+def judge(df: DataFrame, rules=RULES, listed_hosts: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", part_mb: float = 16) -> DataFrame:
+    """Verdict on every url: that of the longest fitting rule, else block for one of ``listed_hosts`` (key), else allow.
 
     A url's candidate keys are each suffix of its host with each prefix of its path of a length that some
     rule has; the rules and the listed hosts are the cascade's listed keys. Of fitting rules of one length
-    a block wins.
+    a block wins. Rules are tens; hosts may be of any number.
     """
     host, path = host_and_path(F.col(url_col))
     pages = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
@@ -128,14 +125,11 @@ def judge(df: DataFrame, rules=RULES, listed_labels=LISTED_LABELS, id_col: str =
     keyed = pages.withColumn("keys", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))))
     rule_keys = [h + p for _, h, p in rules]
     universe = keyed.select(F.explode("keys").alias("key")).distinct().select("key", F.col("key").isin(*rule_keys).alias("listed"))
-    hosts = pages.where("host <> ''").select(F.col("host").alias("key")).distinct()
-    hosts = hosts.select("key", F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, listed_labels))).alias("listed"))
-    cascade = Cascade(universe.unionByName(hosts), max_mb=max_mb)
-    if cascade.oversized:
-        judged = _found_by_join(keyed, cascade.listed)
-    else:
-        found = {"fit": F.filter("keys", cascade.contains), "bad_host": cascade.contains(F.col("host")) & (F.col("host") != "")}
-        judged = cascade.drop(cascade.attach(keyed).withColumns(found))
+    universe = universe.unionByName(pages.where("host <> ''").select(F.col("host").alias("key")).distinct().select("key", F.lit(False).alias("listed")))
+    if listed_hosts is not None:
+        universe = universe.unionByName(listed_hosts.where("key <> ''").select("key", F.lit(True).alias("listed")))
+    none = {"fit": F.array().cast("array<string>"), "bad_host": F.lit(False)}
+    judged = Cascade(universe, part_mb=part_mb).mark(keyed.withColumns(none), lambda contains: {"fit": F.concat("fit", F.filter("keys", contains)), "bad_host": F.col("bad_host") | (contains(F.col("host")) & (F.col("host") != ""))})
     order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] == "allow", r[1]))
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("bad_host"), "block").otherwise("allow")
     for what, h, p in reversed(order):
@@ -144,8 +138,15 @@ def judge(df: DataFrame, rules=RULES, listed_labels=LISTED_LABELS, id_col: str =
     return judged.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
+def hosts_with(df: DataFrame, listed_labels=LISTED_LABELS, url_col: str = "url") -> DataFrame:
+    """(key): the hosts of ``df`` that have one of the labels."""
+    hosts = df.select(host_and_path(F.col(url_col))[0].alias("key")).distinct()
+    return hosts.where(F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, listed_labels))))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge(pages, listed_hosts=hosts_with(pages))
 
 
 ORACLE = r"""

@@ -417,7 +417,8 @@ def test_warc_on_the_table(spark, sf_dir):
 
 def test_url_filters(spark):
     urls = ["http://EXAMPLE.org/es/x?y#z", "http://a.example.org/en/12", "https://x.org", "http://notexample.org/es/", "http://b.com/fr/", "http://com/de/", "http://b.com/dE/", None, "nothing", "x://y://z.com/fr/#", "http://spam-farm.net/", "http://a.b.casino-win.com/x", "http://xcom/fr/", "http:///fr/", "http://org"]
-    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("x"))).collect()}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("x") for c in ("rule", "key", "fit", "_level0")})
+    got = {r.page_id: r for r in url_filters.judge(pages, listed_hosts=url_filters.hosts_with(pages)).collect()}
     c = duckdb.connect()
     c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
     c.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
@@ -425,18 +426,25 @@ def test_url_filters(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_url_filters_beyond_one_array(spark):
-    urls = ["http://EXAMPLE.org/es/x", "http://a.b.com/fr/", "http://a.b.com/fr/", None, "http://spam-farm.net/x", "http://x.net/"]
+@pytest.mark.parametrize("part_mb", [16, 3e-5, 5e-6])
+def test_url_filters_by_parts(spark, part_mb):
+    """One part or many: the cascade alone tells membership; listed hosts come as a table."""
+    urls = ["http://EXAMPLE.org/es/x", "http://a.b.com/fr/", "http://a.b.com/fr/", None, "http://spam-farm.net/x", "http://x.net/", *[f"http://h{i}.net/" for i in range(40)]]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(1, urls[1]), (None, urls[4])], "page_id long, url string")
-    want = Counter(tuple(r) for r in url_filters.judge(pages).collect())
-    assert Counter(tuple(r) for r in url_filters.judge(pages, max_mb=0).collect()) == want and want[1, "a.b.com", "/fr/", "com/fr/", "allow"] == 2
+    listed = spark.createDataFrame([("spam-farm.net",), ("spam-farm.net",), (None,), ("",), ("not.seen",), *[(f"h{i}.net",) for i in range(0, 40, 2)]], "key string")
+    got = Counter(tuple(r) for r in url_filters.judge(pages, listed_hosts=listed, part_mb=part_mb).collect())
+    assert got[1, "a.b.com", "/fr/", "com/fr/", "allow"] == 2 and got[0, "example.org", "/es/x", "example.org/es/", "block"] == 1
+    verdicts = {r[0]: r[4] for r in got}
+    assert verdicts[4] == verdicts[None] == "block" and verdicts[3] == verdicts[5] == "allow"
+    assert [verdicts[6 + i] for i in range(40)] == ["block", "allow"] * 20
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("part_mb", [16, 5e-4])
+def test_cascade_is_exact(spark, part_mb):
     universe = spark.range(20000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    cascade = url_filters.Cascade(universe, bits_per_key=4, hashes=2)
-    assert len(cascade.levels) > 2
-    got = cascade.attach(universe).withColumn("found", cascade.contains(F.col("key")))
+    cascade = url_filters.Cascade(universe, bits_per_key=4, hashes=2, part_mb=part_mb)
+    assert cascade.parts == (1 if part_mb == 16 else 3) and max(map(len, cascade.cascades)) > 2
+    got = cascade.mark(universe.withColumn("found", F.lit(False)), lambda contains: {"found": F.col("found") | contains(F.col("key"))})
     assert got.where("found <> listed").count() == 0
 
 
