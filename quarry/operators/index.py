@@ -1,4 +1,7 @@
-"""Named vector indexes as one Parquet table partitioned by index_name."""
+"""Named vector indexes: one versioned table of chunks (``snapshots``), partitioned by index_name.
+
+Writes publish a new version; listings and counts read the newest one and no chunk.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scratch import scratch_dir
+from quarry.operators import snapshots
 
 
 def chunk_id(index_name: Column, path: Column, chunk_no: Column) -> Column:
@@ -37,30 +41,107 @@ def shown_metadata(metadata: Column) -> Column:
 
 
 def stamped(chunks: DataFrame, created_at: str | None = None, content_col: str = "content", embedding_col: str = "embedding") -> DataFrame:
-    """``chunks`` with storage_bytes (content and vector) and created_at, so that a listing reads neither column."""
-    size = F.octet_length(content_col) + (4 * F.size(embedding_col) if embedding_col in chunks.columns else F.lit(0))
+    """``chunks`` with storage_bytes (content and vector, as stored) and created_at, so that a listing reads neither column."""
+    size = F.octet_length(content_col)
+    if embedding_col in chunks.columns:
+        size += F.size(embedding_col) * (8 if chunks.schema[embedding_col].dataType.simpleString() == "array<double>" else 4)
     when = F.lit(created_at).cast("timestamp") if created_at else F.current_timestamp()
     return chunks.withColumns({"storage_bytes": size.cast("long"), "created_at": when})
 
 
-def write_index(chunks: DataFrame, root: str, mode: str = "replace") -> None:
-    """``replace``: the index_names of ``chunks`` are replaced, others stay. ``append_new``: chunks with a
-    chunk_id that the index doesn't have are added. All or nothing."""
+def content_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def by_key(files: DataFrame) -> DataFrame:
+    """``files`` (index_name, path) dealt and sorted by their key: chunked in this order, an index has files with
+    narrow bounds, and indexes of any size are spread evenly."""
+    return files.repartitionByRange("index_name", "path").sortWithinPartitions("index_name", "path")
+
+
+def write_index(chunks: DataFrame, root: str, mode: str = "replace", unique: bool = False) -> None:
+    """``replace``: the index_names of ``chunks`` are replaced, others stay. ``append_new``: chunks with a chunk_id
+    that the index doesn't have are added, those whose content differs from it take its place. All or nothing.
+    Of chunks with one index_name and chunk_id one is stored; ``unique`` says that there are no such, and spares a shuffle."""
     if mode not in ("replace", "append_new"):
         raise ValueError("mode is replace or append_new")
-    writer = chunks
-    if mode == "append_new" and _exists(chunks.sparkSession, root):
-        writer = new_chunks(chunks, chunks.sparkSession.read.parquet(root))
-    # a task gets whole parts of indexes, so that an index has few files; copies of a chunk are in one part
-    part = F.pmod(F.xxhash64("chunk_id"), F.lit(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
-    dealt = writer.withColumn("_part", part).repartition("index_name", "_part").dropDuplicates(["index_name", "_part", "chunk_id"]).drop("_part")
-    out = dealt.write.partitionBy("index_name").option("partitionOverwriteMode", "dynamic")
-    out.mode("overwrite" if mode == "replace" else "append").parquet(root)
+    spark, out = chunks.sparkSession, chunks
+    before = snapshots.current(spark, root)
+    schema = snapshots.merged(before.schema if before else chunks.schema, chunks.schema)
+    if not unique:  # a task gets whole parts of indexes, so that an index has few files; copies of a chunk are in one part
+        part = F.pmod(F.xxhash64("chunk_id"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+        out = out.withColumn("_part", part).repartition("index_name", "_part").dropDuplicates(["index_name", "_part", "chunk_id"]).drop("_part")
+    if mode == "append_new" and before:
+        out = new_chunks(out, snapshots.rows(spark, root, before))
+    added = snapshots.add_segment(root, out)
+    after = before or snapshots.Version(0, schema)
+    if mode == "append_new" and before and added:
+        # what was there under an added id
+        names = [e.index_name for e in added]
+        fresh = snapshots.rows(spark, root, snapshots.Version(0, schema, added)).select("index_name", "chunk_id")
+        held = snapshots.rows(spark, root, before, names, positions=True)
+        after = snapshots.drop_rows(root, before, held.join(fresh.hint("merge"), ["index_name", "chunk_id"], "left_semi"))
+    replaced = {e.index_name for e in added} if mode == "replace" else set()
+    kept = [e for e in after.entries if e.index_name not in replaced and e.chunks]
+    snapshots.publish(spark, root, snapshots.Version(after.number + 1, schema, kept + added, after.dropped))
 
 
 def new_chunks(chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """Chunks that the index doesn't have."""
-    return chunks.join(index.select("index_name", "chunk_id").hint("shuffle_hash"), ["index_name", "chunk_id"], "left_anti")
+    """Chunks that the index doesn't have: no such id, or other content under it."""
+    known = index.select("index_name", "chunk_id", content_digest(F.col("content")).alias("_content"))
+    keyed = chunks.withColumn("_content", content_digest(F.col("content")))
+    return keyed.join(known.hint("merge"), ["index_name", "chunk_id", "_content"], "left_anti").drop("_content").select(*chunks.columns)
+
+
+def upsert(files: DataFrame, root: str, build: Callable[[DataFrame], DataFrame], complete: bool = True) -> dict[str, int]:
+    """Bring the indexes of ``files`` (index_name, path, text, more) up to date. Only files that the index doesn't have with
+    this text are chunked and embedded, by ``build``, which gets them with source_digest and keeps index_name, path, chunk_no
+    and source_digest. Chunks of changed files are dropped, and of files that are gone if ``files`` is ``complete``. All or
+    nothing; a run that is repeated changes nothing. Files without text have no chunks; of files with one path the
+    one with the least digest counts. Returns how many files were added (new or changed), removed (gone or changed) and kept.
+
+    Digests alone are compared, in both directions, by joins that can spill; texts are read again for new files only."""
+    spark = files.sparkSession
+    digested = files.withColumn("source_digest", content_digest(F.col("text")))
+    key = ["index_name", "path", "source_digest"]
+    given = scratch_dir(spark)
+    digested.where(F.col("text").isNotNull()).groupBy("index_name", "path").agg(F.min("source_digest").alias("source_digest")).write.parquet(given)
+    given = spark.read.parquet(given)
+    before = snapshots.current(spark, root)
+    names = [r[0] for r in files.select("index_name").distinct().collect()]
+    if before:
+        held = snapshots.rows(spark, root, before, names, positions=True)
+        known = held.where("chunk_no = 0").select(*key)
+        new_at, gone_at = scratch_dir(spark), scratch_dir(spark)
+        given.join(known.hint("merge"), key, "left_anti").write.parquet(new_at)
+        gone = known.join(given.hint("merge"), key, "left_anti")
+        if not complete:  # a file that isn't given stays
+            gone = gone.join(given.select("index_name", "path").hint("merge"), ["index_name", "path"], "left_semi")
+        gone.write.parquet(gone_at)
+        new, gone = spark.read.schema(given.schema).parquet(new_at), spark.read.schema(given.schema).parquet(gone_at)
+        n_new, n_gone = new.count(), gone.count()
+    else:
+        new, gone, n_new, n_gone = given, None, given.count(), 0
+    kept_files = given.count() - n_new
+    if not n_new and not n_gone:
+        return {"added_files": 0, "removed_files": 0, "kept_files": kept_files}
+    after, added, schema = before, [], before.schema if before else None
+    if n_new:
+        few = n_new <= snapshots.BROADCAST_POSITIONS
+        chunks = build(digested.join(new.hint("broadcast" if few else "merge"), key, "left_semi").dropDuplicates(["index_name", "path"]))
+        schema = snapshots.merged(schema or chunks.schema, chunks.schema)
+        added = snapshots.add_segment(root, chunks)
+        after = after or snapshots.Version(0, schema)
+    if n_gone:
+        few = n_gone <= snapshots.BROADCAST_POSITIONS
+        after = snapshots.drop_rows(root, after, held.join(gone.hint("broadcast" if few else "merge"), key, "left_semi"))
+    snapshots.publish(spark, root, snapshots.Version(after.number + 1, schema, [e for e in after.entries if e.chunks] + added, after.dropped))
+    return {"added_files": n_new, "removed_files": n_gone, "kept_files": kept_files}
+
+
+def compact(spark: SparkSession, root: str, name: str) -> None:
+    """One index as one segment without dropped rows, ordered by path."""
+    write_index(open_index(spark, root, name).repartitionByRange("path", "chunk_no").sortWithinPartitions("path", "chunk_no"), root, unique=True)
 
 
 LEDGER = "run_id string, index_name string, status string, files_count int, size_mb double, chunks_count bigint, updated_at timestamp"
@@ -84,12 +165,7 @@ def index_run(chunks: DataFrame, root: str, ledger: str, files_count: int | None
     except Exception:
         record_run(spark, ledger, run_id, name[0], "failed", files_count, size_mb)
         raise
-    record_run(spark, ledger, run_id, name[0], "completed", files_count, size_mb, open_index(spark, root, name[0]).count())
-
-
-def _exists(spark: SparkSession, root: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    record_run(spark, ledger, run_id, name[0], "completed", files_count, size_mb, sum(e.chunks for e in snapshots.current(spark, root).entries if e.index_name == name[0]))
 
 
 def built_once(spark: SparkSession, source: str, build: Callable[[str], None], name: str = "built") -> str:
@@ -101,31 +177,92 @@ def built_once(spark: SparkSession, source: str, build: Callable[[str], None], n
     key = hashlib.sha256(repr((spark.sparkContext.applicationId, state)).encode()).hexdigest()[:24]
     root = scratch_dir(spark, f"{name}-{key}")
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{root}.done")
-    if not _exists(spark, done.toString()):
+    if not snapshots.exists(spark, done.toString()):
         build(root)
         done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done).close()
     return root
 
 
+def _version(spark: SparkSession, root: str) -> snapshots.Version:
+    version = snapshots.current(spark, root)
+    if version is None:
+        raise ValueError(f"no index table at {root}")
+    return version
+
+
+def _known(version: snapshots.Version, name: str) -> str:
+    if name not in version.names():
+        raise ValueError(f"no index {name!r}; there are: {', '.join(version.names())}")
+    return name
+
+
 def open_index(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
     """The table, or one index of it; a missing index is an error, never an empty result."""
-    if not _exists(spark, root):
-        raise ValueError(f"no index table at {root}")
-    table = spark.read.parquet(root)
-    if name is None:
-        return table
-    own = table.where(F.col("index_name") == name)
-    if not own.take(1):
-        raise ValueError(f"no index {name!r}; there are: {', '.join(sorted(r[0] for r in table.select('index_name').distinct().collect()))}")
-    return own
-
-
-def drop_index(spark: SparkSession, root: str, name: str) -> None:
-    """Remove the stored rows of one index; a missing index is an error."""
-    files = open_index(spark, root, name).select("_metadata.file_path").distinct().collect()
-    for folder in {f[0].rpartition("/")[0] for f in files}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    version = _version(spark, root)
+    return snapshots.rows(spark, root, version, None if name is None else [_known(version, name)])
+
+
+def drop_index(spark: SparkSession, root: str, name: str, purge: bool = True) -> None:
+    """Remove one index; a missing index is an error. ``purge`` deletes what is stored of it, else older versions keep it."""
+    version = _version(spark, root)
+    _known(version, name)
+    snapshots.publish(spark, root, snapshots.Version(version.number + 1, version.schema, [e for e in version.entries if e.index_name != name], version.dropped))
+    if purge:
+        snapshots.vacuum(spark, root)
+
+
+LISTED = "index_name string, chunks bigint, storage_bytes bigint, created string, status string"
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks, bytes, time of creation (UTC) and status of each index, from the newest version alone. An index that
+    lacks a stored folder is listed as ``unreadable``, and hides no other."""
+    out: dict[str, list] = {}
+    for e in _version(spark, root).entries:
+        row = out.setdefault(e.index_name, [0, 0, None, "ok"])
+        row[0], row[1] = row[0] + e.chunks, row[1] + e.storage_bytes
+        row[2] = min((x for x in (row[2], e.created) if x is not None), default=None)
+        if not snapshots.exists(spark, f"{root}/data/{e.folder}"):
+            row[3] = "unreadable"
+    when = lambda x: None if x is None else datetime.datetime.fromtimestamp(x, datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    return spark.createDataFrame([(name, n, size, when(created), status) for name, (n, size, created, status) in out.items()], LISTED)
+
+
+def list_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(table, indexes, chunks, status) of each index table below ``folder``; one that can't be read is listed as such."""
+    fs, path = snapshots._path(spark, folder)
+    out = []
+    for f in fs.listStatus(path):
+        name = f.getPath().getName()
+        try:
+            version = _version(spark, f"{folder}/{name}")
+            out.append((name, len(version.names()), sum(e.chunks for e in version.entries), "ok"))
+        except Exception as e:  # noqa: BLE001  whatever is wrong with one table must not hide the others
+            out.append((name, None, None, f"unreadable: {type(e).__name__}"))
+    return spark.createDataFrame(out, "table string, indexes int, chunks bigint, status string")
+
+
+def counts(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks, files and languages of each index, from the newest version alone. A file's first chunk stands for it."""
+    out: dict[str, tuple] = {}
+    for e in _version(spark, root).entries:
+        n, paths, languages = out.get(e.index_name, (0, 0, set()))
+        out[e.index_name] = n + e.chunks, paths + e.paths, languages | {k for k, v in e.languages.items() if v}
+    return spark.createDataFrame([(name, n, paths, len(languages)) for name, (n, paths, languages) in out.items()], "index_name string, chunks bigint, files bigint, languages bigint")
+
+
+def languages(spark: SparkSession, root: str) -> DataFrame:
+    """(language, chunks) over all indexes, from the newest version alone."""
+    out: dict[str, int] = {}
+    for e in _version(spark, root).entries:
+        for k, v in e.languages.items():
+            out[k] = out.get(k, 0) + v
+    return spark.createDataFrame([(k, v) for k, v in out.items() if v], "language string, chunks bigint")
+
+
+def page(spark: SparkSession, root: str, n: int = 100, after: tuple[str, int] | None = None) -> DataFrame:
+    """The next ``n`` chunks by (path, chunk_no) after a key; see ``snapshots.next_page``."""
+    return snapshots.next_page(spark, root, _version(spark, root), n, after)
 
 
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id", vector_col: str = "embedding", missing: str = "error") -> DataFrame:

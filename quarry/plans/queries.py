@@ -252,12 +252,19 @@ def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- index
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = files(spark, sf_dir).withColumns({"language": F.coalesce(language(F.col("name")), F.lit("unknown")), "index_name": F.element_at("parts", 1)})
-    rows = chunking.chunk_lines(docs, ["index_name", "doc_id", "path", "language"])
+def _index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).withColumns({"language": F.coalesce(language(F.col("name")), F.lit("unknown")), "index_name": F.element_at("parts", 1)})
+
+
+def _chunked(docs: DataFrame, *more: str) -> DataFrame:
+    rows = chunking.chunk_lines(docs, ["index_name", "doc_id", "path", "language", *more])
     return rows.withColumns({"chunk_type": F.lit("text"), "chunk_id": index.chunk_id(F.col("index_name"), F.col("path"), F.col("chunk_no"))})
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(_index_files(spark, sf_dir))
+
+
 @query(f"{INDEX} SELECT sha256(index_name || ':' || path || ':' || chunk_no) AS chunk_id, regexp_extract(path, '([^/]*)$', 1) || '_' || start_line || '_' || end_line || '_' || chunk_no AS chunk_label FROM idx")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.chunk_labels(_index(spark, sf_dir)).select("chunk_id", "chunk_label")
@@ -274,21 +281,25 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 CREATED = "2024-01-01 00:00:00"
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with their vectors, as an index stores them."""
-    return index.stamped(embed(_index(spark, sf_dir), hashing_embedder(64), precise=True), CREATED)
+def _indexed(docs: DataFrame, *more: str) -> DataFrame:
+    """Chunks of files with their vectors, as an index stores them."""
+    return index.stamped(embed(_chunked(index.by_key(docs), *more), hashing_embedder(64), precise=True), CREATED)
+
+
+def _root(spark: SparkSession, sf_dir: str) -> str:
+    """The stored index of all documents. It is written once, with its vectors; listings and searches read it."""
+    build = lambda root: index.write_index(_indexed(_index_files(spark, sf_dir)), root, unique=True)
+    return index.built_once(spark, f"{sf_dir}/documents.parquet", build, "corpus")
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of all documents. It is written once, with its vectors; listings and searches read it."""
-    root = index.built_once(spark, f"{sf_dir}/documents.parquet", lambda root: index.write_index(_indexed(spark, sf_dir), root), "corpus")
-    return index.open_index(spark, root)
+    return index.open_index(spark, _root(spark, sf_dir))
 
 
 @query(f"{INDEX} SELECT path, chunk_no, start_line, end_line, length(content) AS n_chars, 64 AS dim FROM idx WHERE index_name = 'src3'")
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark)
-    index.write_index(_indexed(spark, sf_dir), root)
+    index.write_index(_indexed(_index_files(spark, sf_dir)), root, unique=True)
     return index.open_index(spark, root, "src3").select("path", "chunk_no", "start_line", "end_line", F.length("content").alias("n_chars"), F.size("embedding").alias("dim"))
 
 
@@ -301,6 +312,38 @@ def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.open_index(spark, root).groupBy("index_name", "language").agg(F.count("*").alias("chunks"))
 
 
+_EDITED_INDEX = INDEX.replace("FROM documents)", "FROM edited)").removeprefix("WITH RECURSIVE ")
+EDITED = """WITH RECURSIVE edited AS (
+  SELECT doc_id, source, lang, CASE WHEN doc_id % 9 = 0 THEN 'new first line' || chr(10) || text ELSE text END AS text FROM documents WHERE doc_id % 9 <> 3),
+"""
+
+
+@query(f"{EDITED}{_EDITED_INDEX} SELECT index_name, path, chunk_no, start_line, end_line, md5(content) AS content_md5, 64 AS dim FROM idx")
+def upsert_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index all documents, then again after a ninth was edited, a ninth removed and a ninth had been missing: what is stored
+    equals a fresh build. Only what changed is chunked and embedded."""
+    root, docs = scratch_dir(spark), _index_files(spark, sf_dir)
+    build = lambda new: _indexed(new, "source_digest")
+    index.upsert(docs.where("doc_id % 9 <> 6"), root, build)
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("new first line\n"), F.col("text"))).otherwise(F.col("text"))
+    index.upsert(docs.where("doc_id % 9 <> 3").withColumn("text", text), root, build)
+    return index.open_index(spark, root).select("index_name", "path", "chunk_no", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.size("embedding").alias("dim"))
+
+
+@query(f"""{INDEX}, n AS (SELECT doc_id % 9 AS k, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM n WHERE k IN (0, 6)) AS added_files, (SELECT coalesce(sum(n), 0)::BIGINT FROM n WHERE k IN (0, 3)) AS removed_files,
+       (SELECT coalesce(sum(n), 0)::BIGINT FROM n WHERE k NOT IN (0, 3, 6)) AS kept_files, 0::BIGINT AS added_again""")
+def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an upsert of an edited corpus does, and that a second one does nothing."""
+    root, docs = scratch_dir(spark), _index_files(spark, sf_dir)
+    build = lambda new: index.stamped(_chunked(index.by_key(new), "source_digest"), CREATED)
+    index.upsert(docs.where("doc_id % 9 <> 6"), root, build)
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("new first line\n"), F.col("text"))).otherwise(F.col("text"))
+    edited = docs.where("doc_id % 9 <> 3").withColumn("text", text)
+    done, again = index.upsert(edited, root, build), index.upsert(edited, root, build)
+    return spark.createDataFrame([(done["added_files"], done["removed_files"], done["kept_files"], again["added_files"] + again["removed_files"])], "added_files bigint, removed_files bigint, kept_files bigint, added_again bigint")
+
+
 @query(f"{INDEX} SELECT index_name, count(*) AS chunks FROM idx WHERE index_name <> 'src3' GROUP BY ALL")
 def drop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark)
@@ -309,14 +352,14 @@ def drop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.open_index(spark, root).groupBy("index_name").agg(F.count("*").alias("chunks"))
 
 
-@query(f"{INDEX} SELECT index_name, count(*) AS chunks, sum(strlen(content) + 4 * 64)::BIGINT AS storage_bytes, '2024-01-01 00:00:00' AS created FROM idx GROUP BY ALL")
+@query(f"{INDEX} SELECT index_name, count(*) AS chunks, sum(strlen(content) + 8 * 64)::BIGINT AS storage_bytes, '2024-01-01 00:00:00' AS created, 'ok' AS status FROM idx GROUP BY ALL")
 def list_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.list_indexes(stored_index(spark, sf_dir))
+    return index.listing(spark, _root(spark, sf_dir))
 
 
 @query(f"{INDEX} SELECT index_name, count(*) AS chunks, count(DISTINCT path) AS files, count(DISTINCT language) AS languages FROM idx GROUP BY ALL")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.index_stats(stored_index(spark, sf_dir))
+    return index.counts(spark, _root(spark, sf_dir))
 
 
 @query(f"{INDEX}, s AS (SELECT * FROM idx ORDER BY path, chunk_no LIMIT 1000) SELECT count(DISTINCT path) AS files, count(DISTINCT language) AS languages, count(*) AS chunks FROM s")
@@ -327,7 +370,7 @@ def index_stats_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{INDEX} SELECT language, count(*) AS chunks FROM idx GROUP BY ALL")
 def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.language_histogram(stored_index(spark, sf_dir))
+    return index.languages(spark, _root(spark, sf_dir))
 
 
 @query(f"{INDEX} SELECT (SELECT count(*) FROM files) AS files, (SELECT round(sum(size) / 1048576.0, 6) FROM files) AS total_mb, count(*) AS chunks, count(DISTINCT path) AS indexed_files, count(DISTINCT language) AS languages FROM idx")
@@ -339,7 +382,13 @@ def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{INDEX} SELECT path, chunk_no, length(content) AS n_chars, language FROM idx ORDER BY path, chunk_no LIMIT 100")
 def browse_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_index(spark, sf_dir).select("path", "chunk_no", F.length("content").alias("n_chars"), "language").orderBy("path", "chunk_no").limit(100)
+    return index.page(spark, _root(spark, sf_dir), 100).select("path", "chunk_no", F.length("content").alias("n_chars"), "language")
+
+
+@query(f"{INDEX} SELECT path, chunk_no, length(content) AS n_chars, language FROM idx WHERE path > 'src15' ORDER BY path, chunk_no LIMIT 100")
+def browse_next_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after a key; files that end before it or begin after the page aren't opened."""
+    return index.page(spark, _root(spark, sf_dir), 100, ("src15", 0)).select("path", "chunk_no", F.length("content").alias("n_chars"), "language")
 
 
 @query("""WITH l AS (SELECT 'conv' || conv_id AS index_name, turn AS run_id, turn AS updated_at, CASE WHEN length(text) % 7 = 0 THEN 'cleared' WHEN role = 'user' THEN 'indexing' ELSE 'completed' END AS status, length(text) AS chunks_count FROM conversations)

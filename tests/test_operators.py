@@ -203,6 +203,7 @@ def test_drop_and_ledger(spark, tmp_path):
     assert {r.index_name: (r.status, r.files_count, r.chunks_count) for r in index.latest_runs(runs).collect()} == {"a b": ("completed", 2, 2), "c": ("failed", None, None)}
     assert runs.where("status = 'indexing'").count() == 3
     assert {r.index_name: (r.chunks, r.storage_bytes) for r in index.list_indexes(index.open_index(spark, root)).collect()} == {"a b": (2, 2), "c": (1, 1)}
+    assert {r.index_name: (r.chunks, r.storage_bytes, r.status) for r in index.listing(spark, root).collect()} == {"a b": (2, 2, "ok"), "c": (1, 1, "ok")}
     index.drop_index(spark, root, "a b")
     assert [r.index_name for r in index.open_index(spark, root).collect()] == ["c"]
     with pytest.raises(ValueError, match="no index 'a b'"):
