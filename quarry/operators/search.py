@@ -21,7 +21,6 @@ MAX_DISTANCES = 2_000_000  # distances that a task holds at once
 BROADCAST_HITS = 100_000
 MAX_LISTS = 4096
 SPREAD = 4  # files of a list
-PART_ROWS = 50_000  # rows of an inverted list that meet a query in one task
 
 
 def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -38,60 +37,97 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide(out, nx * nq, out=np.zeros_like(out), where=nx * nq > 0)
 
 
-def local_nearest(index: DataFrame, queries: list[tuple], metric: str, id_col: str, vector_col: str) -> DataFrame:
-    """(query_id, id, distance, k): of each task's rows the k nearest for each query (id, k, vector)."""
+def _own(found: dict[int, list[tuple]], queries: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    """Rows (query_id, id, distance, k) of a task's hits."""
+    rows = [(queries[i][0], x, d, queries[i][1]) for i, own in found.items() for d, x in own]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64())], names=["query_id", "id", "distance", "k"])
+
+
+def _id_type(index: DataFrame, id_col: str) -> tuple[str, pa.DataType]:
+    kind = index.schema[id_col].dataType.simpleString()
+    return kind, pa.int64() if kind in ("bigint", "int") else pa.string()
+
+
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """(rows, dim) of a column of vectors, as doubles."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(x) != len(column) * dim:
+        raise ValueError("index and query vectors differ in size")
+    return x.reshape(len(column), dim)
+
+
+def keep_nearest(best: dict[int, list[tuple]], i: int, distances: np.ndarray, ids: list, k: int) -> None:
+    """Put the ``k`` nearest of some rows among those kept of query ``i``; of equal distances the lesser ids stay."""
+    limit = np.partition(distances, k - 1)[k - 1] if k < len(ids) else np.inf
+    best[i] = sorted(best.get(i, []) + [(distances[j], ids[j]) for j in np.flatnonzero(distances <= limit).tolist()])[:k]
+
+
+def local_nearest(index: DataFrame, queries: list[tuple], metric: str, id_col: str, vector_col: str, probes: dict[int, list[int]] | None = None) -> DataFrame:
+    """(query_id, id, distance, k): of each task's rows the k nearest for each query (id, k, vector). ``probes``: the
+    places of the queries that meet the rows of a list (column ``list``); other rows of the list meet none."""
     if metric not in METRICS:
         raise ValueError(f"metric is one of {', '.join(METRICS)}")
     dim = {len(v) for _, _, v in queries}
     if len(dim) > 1:
         raise ValueError("query vectors differ in size")
-    kind = index.schema[id_col].dataType.simpleString()
+    kind, id_type = _id_type(index, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = np.array([v for _, _, v in queries], np.float64)
-        best: list[list[tuple]] = [[] for _ in queries]
-        for b in batches:
-            col = b.column(1)
-            x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if len(x) != b.num_rows * q.shape[1]:
-                raise ValueError("index and query vectors differ in size")
-            x, ids = x.reshape(b.num_rows, -1), b.column(0).to_pylist()
-            step = max(1, MAX_DISTANCES // max(1, b.num_rows))
-            for lo in range(0, len(q), step):
-                for i, d in enumerate(np.round(_distances(x, q[lo : lo + step], metric), DIGITS) + 0.0, lo):  # no -0.0
-                    k = queries[i][1]
-                    limit = np.partition(d, k - 1)[k - 1] if k < len(ids) else np.inf
-                    best[i] = sorted(best[i] + [(d[j], ids[j]) for j in np.flatnonzero(d <= limit).tolist()])[:k]
-        rows = [(queries[i][0], x, d, queries[i][1]) for i, own in enumerate(best) for d, x in own]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], b_type[0]), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64())], names=["query_id", "id", "distance", "k"])
-
-    b_type = [pa.int64() if kind in ("bigint", "int") else pa.string()]
-    return index.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInArrow(run, f"query_id bigint, id {kind}, distance double, k bigint")
+        best: dict[int, list[tuple]] = {}
 
+        def meet(x: np.ndarray, ids: list, places: np.ndarray) -> None:
+            step = max(1, MAX_DISTANCES // max(1, len(x)))
+            for lo in range(0, len(places), step):
+                some = places[lo : lo + step]
+                for i, d in zip(some.tolist(), np.round(_distances(x, q[some], metric), DIGITS) + 0.0):  # no -0.0
+                    keep_nearest(best, i, d, ids, queries[i][1])
 
-def nearest(index: DataFrame, queries: DataFrame, k: int | str = 10, metric: str = "l2sq", id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, distance) of the k nearest rows. ``queries``: query_id, embedding; ``k`` may name
-    a column with each query's own k, held between 1 and 20. Filter ``index`` first to search a part."""
+        for b in batches:
+            x, ids = matrix(b.column(1), q.shape[1]), b.column(0).to_pylist()
+            if probes is None:
+                meet(x, ids, np.arange(len(q)))
+                continue
+            lists = b.column(2).to_numpy()
+            for which in np.unique(lists).tolist():
+                rows = np.flatnonzero(lists == which)
+                meet(x[rows], [ids[j] for j in rows.tolist()], np.array(probes.get(which, []), np.int64))
+        yield _own(best, queries, id_type)
+
+    more = [] if probes is None else [F.col("list").cast("int").alias("list")]
+    return index.where(F.col(vector_col).isNotNull()).select(id_col, vector_col, *more).mapInArrow(run, f"query_id bigint, id {kind}, distance double, k bigint")
+
+
+def query_blocks(queries: DataFrame, k: int | str) -> Iterator[list[tuple]]:
+    """The stated query set in blocks of bounded size: (query_id, k, vector)."""
     own_k = F.least(F.greatest(F.col(k), F.lit(1)), F.lit(20)) if isinstance(k, str) else F.lit(k)
-    rows = queries.select("query_id", own_k.cast("long").alias("k"), "embedding").orderBy("query_id").toLocalIterator()
-    out, block = None, []
-
-    def add(out: DataFrame | None, block: list[tuple]) -> DataFrame:
-        found = local_nearest(index, block, metric, id_col, vector_col)
-        w = Window.partitionBy("query_id").orderBy("distance", "id")
-        ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k")).select("query_id", "rank", "id", "distance")
-        return ranked if out is None else out.unionByName(ranked)
-
-    for r in rows:
+    block: list[tuple] = []
+    for r in queries.select("query_id", own_k.cast("long").alias("k"), "embedding").orderBy("query_id").toLocalIterator():
         block.append((r[0], r[1], list(r[2])))
         if len(block) * len(block[0][2]) >= MAX_QUERY_CELLS:
-            out, block = add(out, block), []
+            yield block
+            block = []
     if block:
-        out = add(out, block)
-    if out is None:
-        kind = index.schema[id_col].dataType.simpleString()
-        return index.sparkSession.createDataFrame([], f"query_id bigint, rank int, id {kind}, distance double")
-    return out
+        yield block
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k")).select("query_id", "rank", "id", "distance")
+
+
+def no_hits(index: DataFrame, id_col: str) -> DataFrame:
+    return index.sparkSession.createDataFrame([], f"query_id bigint, rank int, id {_id_type(index, id_col)[0]}, distance double")
+
+
+def nearest(index: DataFrame, queries: DataFrame, k: int | str = 10, metric: str = "l2sq", id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, distance) of the k nearest rows. ``queries``: query_id, embedding; ``k`` may name
+    a column with each query's own k, held between 1 and 20. Filter ``index`` first to search a part."""
+    out = None
+    for block in query_blocks(queries, k):
+        own = ranked(local_nearest(index, block, metric, id_col, vector_col))
+        out = own if out is None else out.unionByName(own)
+    return no_hits(index, id_col) if out is None else out
 
 
 def similarity(distance: Column) -> Column:
@@ -172,18 +208,23 @@ def probes_for(index: DataFrame, centroids: np.ndarray, k: int = 10, recall: flo
     return rank[min(len(rank) - 1, int(recall * len(rank)))] if rank else 1
 
 
+def probes_of(block: list[tuple], centroids: np.ndarray, n_probe: int) -> dict[int, list[int]]:
+    """List: the places in ``block`` of the queries that have it among their ``n_probe`` nearest."""
+    q = np.array([v for _, _, v in block], np.float64)
+    near = np.argsort((centroids * centroids).sum(1)[None, :] - 2 * q @ centroids.T, axis=1, kind="stable")[:, :n_probe]
+    out: dict[int, list[int]] = {}
+    for i, lists in enumerate(near.tolist()):
+        for which in lists:
+            out.setdefault(which, []).append(i)
+    return out
+
+
 def nearest_ivf(spark: SparkSession, root: str, centroids: np.ndarray, queries: DataFrame, k: int = 10, n_probe: int = 8, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """Approximate ``nearest`` (l2sq) over stored lists: a query meets the rows of its ``n_probe`` nearest lists.
-    Lists that no query probes aren't read; a long list meets its queries in parts of some PART_ROWS."""
-    listed = spark.read.parquet(root)
-    probes = assign_lists(queries.select("query_id", "embedding"), centroids, n_probe).select("query_id", F.col("embedding").alias("q"), F.explode("lists").alias("list"))
-    wanted = [r[0] for r in probes.select("list").distinct().collect()]  # MAX_LISTS at most
-    listed = listed.where(F.col("list").isin(wanted))
-    longest = listed.groupBy("list").count().agg(F.max("count")).first()[0] or 0
-    parts = max(1, -(-longest // PART_ROWS))
-    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = listed.withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")).join(probes.hint("shuffle_hash"), ["list", "part"])
-    square = F.aggregate(F.zip_with(F.col(vector_col).cast("array<double>"), F.col("q").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    near = pairs.select("query_id", F.col(id_col).alias("id"), F.round(square, DIGITS).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    """Approximate ``nearest`` (l2sq) over stored lists: a query meets the rows of its ``n_probe`` nearest lists. Lists that
+    no query probes aren't read; vectors stay where they are scanned, and what is shuffled is each task's k nearest."""
+    listed, out = spark.read.parquet(root), None
+    for block in query_blocks(queries, k):
+        probes = probes_of(block, centroids, n_probe)
+        own = ranked(local_nearest(listed.where(F.col("list").isin(sorted(probes))), block, "l2sq", id_col, vector_col, probes))
+        out = own if out is None else out.unionByName(own)
+    return no_hits(listed, id_col) if out is None else out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.embed import Embedder, embed, hashing_embedder
 from quarry.functions.languages import EXCLUDED_NAMES, language
 from quarry.functions.scratch import scratch_dir
-from quarry.operators import chunking, filters, index, search, stats
+from quarry.operators import chunking, filters, index, quantized, search, stats
 from quarry.sources.tables import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -528,6 +528,32 @@ def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_query.agg(F.count("*").alias("n_queries"), (F.sum("found") >= 0.9 * F.sum("n")).alias("recall_is_enough"), (F.sum("wrong") == 0).alias("distances_are_true"))
 
 
+def _quantized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str, quantized.Quantizer, int, int]:
+    v, q = _vectors(spark, sf_dir)
+    root, model = scratch_dir(spark), quantized.train(v)
+    quantized.write_quantized(v, root, model, "vec_id")
+    return v, q, root, model, *quantized.calibrate(spark, root, model, 10, 0.97, id_col="vec_id")
+
+
+@query()
+def knn_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, q, root, model, shortlist, n_probe = _quantized(spark, sf_dir)
+    return quantized.nearest_quantized(spark, root, model, q, 10, shortlist, n_probe, "vec_id")
+
+
+@query("SELECT count(*) AS n_queries, true AS recall_is_enough, true AS distances_are_true, true AS reads_a_quarter FROM embeddings WHERE vec_id % 100 = 0")
+def knn_quantized_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of at least 0.9 against the exact search, true distances, and for a query no more than a quarter of the bytes
+    of all vectors: codes of the probed lists (at most all) and the vectors of its shortlist."""
+    v, q, root, model, shortlist, n_probe = _quantized(spark, sf_dir)
+    near = quantized.nearest_quantized(spark, root, model, q, 10, shortlist, n_probe, "vec_id").select("query_id", "id", F.col("distance").alias("d"))
+    both = search.nearest(v, q, 10, "l2sq", "vec_id").join(near.hint("merge"), ["query_id", "id"], "left")
+    per_query = both.groupBy("query_id").agg(F.count("*").alias("n"), F.count("d").alias("found"), F.count_if(F.abs(F.col("d") - F.col("distance")) > 2e-6).alias("wrong"))
+    rows, vector_bytes = v.count(), 4 * model.centroids.shape[1]
+    share = (rows * model.parts + shortlist * vector_bytes) / (rows * vector_bytes)
+    return per_query.agg(F.count("*").alias("n_queries"), (F.sum("found") >= 0.9 * F.sum("n")).alias("recall_is_enough"), (F.sum("wrong") == 0).alias("distances_are_true"), F.lit(share <= 0.25).alias("reads_a_quarter"))
+
+
 @query(f"SELECT query_id, rank, id, round(greatest(0.0, 1 - distance), 6) AS similarity FROM ({_knn(_L2, '10')})")
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_exact(spark, sf_dir).select("query_id", "rank", "id", F.round(search.similarity(F.col("distance")), 6).alias("similarity"))
