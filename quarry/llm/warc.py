@@ -1,9 +1,10 @@
 """WARC: archives without repeated payloads.
 
 Headers alone tell each record's part: the least row (by id, then url) of each digest is its original response
-and the rest become revisit records that refer to it. Equal headers are counted before they are shuffled, and a
-digest that many of them share meets the join in SALTS parts. Of payloads only one for each digest and task is
-shuffled, to its response; revisits have none.
+and the rest become revisit records that refer to it. Equal headers are counted before they are shuffled. Digests that
+more than one in MOST_HOT of all records have, of which there are fewer than MOST_HOT, go to their records by broadcast;
+the others' records meet them in a shuffle. Of payloads only one for each digest and task is shuffled, to its response;
+revisits have none.
 
 Archives are plain WARC/1.1 written by Spark's text sink, whose line separator is the record separator, so
 any store that Spark writes to will do; each row of the sink is one archive of some ARCHIVE_BYTES of records.
@@ -31,7 +32,7 @@ from quarry.llm.common import shared_dir, stored
 
 SEPARATOR = "\r\n\r\n"
 ARCHIVE_BYTES = 8 << 20
-SALTS = 32
+MOST_HOT = 1000
 #: Fixed value: the profile that marks a revisit by identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADERS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload_ok boolean"
@@ -49,13 +50,15 @@ def resolve_revisits(df: DataFrame, id_col: str = "page_id", payload_col: str =
     own = rows.where(F.col("n") >= least_bytes)
     heads = stored(own.groupBy("sha1", "page_id", "url", "n").agg(F.count("*").alias("copies")))
     least = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")).alias("least")
-    originals = heads.groupBy("sha1").agg(least, F.max("n").alias("n"), F.sum("copies").alias("records"))
+    originals = stored(heads.groupBy("sha1").agg(least, F.max("n").alias("n"), F.sum("copies").alias("records")))
     payloads = own.groupBy("sha1").agg(F.first("html").alias("html"))
     responses = originals.join(payloads.hint("merge"), "sha1").select("least.page_id", "least.url", "html", "sha1", "n", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    salted = originals.where("records > 1").select("sha1", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    keyed = heads.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    share = (originals.agg(F.sum("records")).first()[0] or 0) // MOST_HOT
+    repeated = originals.where("records > 1").select("sha1", "least", (F.col("records") > share).alias("hot"))
+    hot, others = F.broadcast(repeated.where("hot").drop("hot")), repeated.where("NOT hot").drop("hot")  # hot: fewer than MOST_HOT
+    referred = heads.join(hot, "sha1").unionByName(heads.join(hot, "sha1", "left_anti").join(others.hint("merge"), "sha1"))
     is_least = F.col("page_id").eqNullSafe(F.col("least.page_id")) & F.col("url").eqNullSafe(F.col("least.url"))
-    rest = keyed.join(salted.hint("shuffle_hash"), ["sha1", "salt"]).withColumn("times", F.col("copies") - is_least.cast("long")).where("times > 0")
+    rest = referred.withColumn("times", F.col("copies") - is_least.cast("long")).where("times > 0")
     revisits = rest.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "n", F.lit("revisit").alias("record_type"), F.col("least.page_id").alias("refers_to"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("col")
     out = responses.unionByName(revisits)
     if least_bytes > 0:

@@ -392,7 +392,9 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, path + "0").count() == 0
 
 
-def test_warc_repeated_and_null_ids(spark, tmp_path):
+@pytest.mark.parametrize("most_hot", [1, 4, 1000])
+def test_warc_repeated_and_null_ids(spark, tmp_path, monkeypatch, most_hot):
+    monkeypatch.setattr(warc, "MOST_HOT", most_hot)
     rows = [(1, "aa", "u")] * 3 + [(1, "aa", None), (2, "aa", "u"), (1, "bb", "u"), (None, "aa", "u"), (None, "bb", "u")] + [(None, "cc", "u")] * 2 + [(None, "cc", "v"), (3, None, None), (3, "", None), (None, "d", None)]
     path = str(tmp_path / "w")
     warc.write_archives(warc.resolve_revisits(spark.createDataFrame(rows, "page_id long, html string, url string")), path)
