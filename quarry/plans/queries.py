@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.embed import Embedder, embed, hashing_embedder
 from quarry.functions.languages import EXCLUDED_NAMES, language
 from quarry.functions.scratch import scratch_dir
-from quarry.operators import chunking, filters, index, quantized, search, stats
+from quarry.operators import chunking, filters, index, knn_join, quantized, search, stats
 from quarry.sources.tables import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -528,11 +528,18 @@ def knn_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_query.agg(F.count("*").alias("n_queries"), (F.sum("found") >= 0.9 * F.sum("n")).alias("recall_is_enough"), (F.sum("wrong") == 0).alias("distances_are_true"))
 
 
+@query(_knn(_L2, "5").replace("q.vec_id % 100 = 0 AND ", ""))
+def knn_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector, exactly."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return knn_join.knn_join(v.select(F.col("vec_id").alias("query_id"), "embedding"), v, 5, "vec_id")[0]
+
+
 def _quantized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str, quantized.Quantizer, int, int]:
     v, q = _vectors(spark, sf_dir)
     root, model = scratch_dir(spark), quantized.train(v)
     quantized.write_quantized(v, root, model, "vec_id")
-    return v, q, root, model, *quantized.calibrate(spark, root, model, 10, 0.97, id_col="vec_id")
+    return v, q, root, model, *quantized.calibrate(spark, root, model, 10, 0.99, id_col="vec_id")
 
 
 @query()
