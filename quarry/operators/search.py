@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.conditions import condition
+
 DIGITS = 6
 METRICS = ("l2sq", "cosine", "ip")
 MAX_QUERY_CELLS = 4_000_000  # numbers in a block of query vectors; more queries go in further blocks
@@ -120,9 +122,11 @@ def no_hits(index: DataFrame, id_col: str) -> DataFrame:
     return index.sparkSession.createDataFrame([], f"query_id bigint, rank int, id {_id_type(index, id_col)[0]}, distance double")
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int | str = 10, metric: str = "l2sq", id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, k: int | str = 10, metric: str = "l2sq", id_col: str = "chunk_id", vector_col: str = "embedding", where: dict | None = None) -> DataFrame:
     """(query_id, rank, id, distance) of the k nearest rows. ``queries``: query_id, embedding; ``k`` may name
-    a column with each query's own k, held between 1 and 20. Filter ``index`` first to search a part."""
+    a column with each query's own k, held between 1 and 20. ``where``: a filter tree (``conditions``) over the
+    index's columns and metadata; distances are computed for the rows that it leaves."""
+    index = index.where(condition(index, where)) if where else index
     out = None
     for block in query_blocks(queries, k):
         own = ranked(local_nearest(index, block, metric, id_col, vector_col))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.conditions import condition
 from quarry.functions.embed import Embedder, embed, hashing_embedder
 from quarry.functions.languages import EXCLUDED_NAMES, language
 from quarry.functions.scratch import scratch_dir
@@ -368,6 +369,24 @@ def index_stats_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.agg(F.count_distinct("path").alias("files"), F.count_distinct("language").alias("languages"), F.count("*").alias("chunks"))
 
 
+CHUNK_FILTER = {
+    "$and": [
+        {"language": {"$ne": "sql", "$nin": ["markdown", "other"]}},
+        {"$or": [{"index_name": "src1"}, {"index_name": {"$in": ["src2", "src3"]}}, {"chunk_no": {"$gt": 2, "$lte": 9}}, {"author": "nobody"}]},
+        {"start_line": {"$gte": 2}, "end_line": {"$lt": 400}},
+    ]
+}
+
+
+@query(f"""{INDEX} SELECT path, chunk_no FROM idx WHERE language NOT IN ('sql', 'markdown', 'other') AND (index_name IN ('src1', 'src2', 'src3') OR (chunk_no > 2 AND chunk_no <= 9) OR doc_id % 7 = 0)
+  AND start_line >= 2 AND end_line < 400""")
+def filtered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter tree with every operator, over columns and a metadata map."""
+    named = F.when(F.col("doc_id") % 7 == 0, F.create_map(F.lit("author"), F.lit("nobody"), F.lit("id"), F.col("doc_id").cast("string")))
+    chunks = stored_index(spark, sf_dir).withColumn("metadata", named)
+    return chunks.where(condition(chunks, CHUNK_FILTER)).select("path", "chunk_no")
+
+
 @query(f"{INDEX} SELECT language, count(*) AS chunks FROM idx GROUP BY ALL")
 def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.languages(spark, _root(spark, sf_dir))
@@ -502,7 +521,8 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_knn(f"1 - {_IP}", "10", "(a.label IN (1, 3, 5) AND a.label <> 3 OR a.label >= 8)"))
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q = _vectors(spark, sf_dir)
-    return search.nearest(v.where("label IN (1, 3, 5) AND label <> 3 OR label >= 8"), q, 10, "ip", "vec_id")
+    tree = {"$or": [{"label": {"$in": [1, 3, 5], "$ne": 3}}, {"label": {"$gte": 8}}]}
+    return search.nearest(v, q, 10, "ip", "vec_id", where=tree)
 
 
 @query(_knn(_L2, "least(greatest(q.label * 5 - 2, 1), 20)"))
