@@ -8,11 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import fitted
 from quarry.functions.conditions import condition
 from quarry.functions.embed import Embedder, embed, hashing_embedder
 from quarry.functions.languages import EXCLUDED_NAMES, language
 from quarry.functions.scratch import scratch_dir
-from quarry.operators import chunking, filters, index, knn_join, quantized, search, stats
+from quarry.operators import chunking, filters, index, knn_join, quantized, search, stats, vectors
 from quarry.sources.tables import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -489,6 +490,40 @@ def embed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed(docs, Embedder("picky", make, 64), batch=1).groupBy("embed_ok").agg(F.count("*").alias("n"))
 
 
+@query("SELECT count(*) AS n_rows, count(*) FILTER (regexp_matches(text, '[\\p{L}\\p{N}]')) AS n_texts, true AS directions_are_orthonormal, true AS lengths_are_one_or_zero FROM documents")
+def embed_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An embedder fitted on all documents, and every document embedded by it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content"))
+    rarity, projection = fitted.fit(docs, 64)
+    vectors_of = embed(docs, fitted.fitted_embedder("fitted64", rarity, projection), precise=True)
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    n_texts = fitted.document_counts(docs, "content")[0]
+    fine = bool(np.allclose(projection.T @ projection, np.eye(64), atol=1e-8))
+    return vectors_of.agg(F.count("*").alias("n_rows"), F.lit(n_texts).cast("long").alias("n_texts"), F.lit(fine).alias("directions_are_orthonormal"), F.bool_and((F.abs(length - 1) < 1e-9) | (length == 0)).alias("lengths_are_one_or_zero"))
+
+
+@query("""WITH d AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents), n AS (SELECT count(*) AS n, count(*) FILTER (strpos(t, ' | ') > 0) AS bad FROM d)
+SELECT n AS first_run, bad AS second_run, bad AS healed_run, 0::BIGINT AS last_run, (SELECT count(*) FROM documents) AS good_rows FROM n""")
+def embed_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many contents each run embeds: all, those that failed, the same by a model that heals, none."""
+    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content")), scratch_dir(spark)
+
+    def make():
+        inner = hashing_embedder(64).make()
+
+        def run(texts: list[str]) -> np.ndarray:
+            if any(" | " in t for t in texts):
+                raise RuntimeError("no tables")
+            return inner(texts)
+
+        return run
+
+    picky, healed = Embedder("model", make, 64), Embedder("model", hashing_embedder(64).make, 64)
+    runs = [vectors.embed_missing(docs, by, root, batch=1) for by in (picky, picky, healed, healed)]
+    stored = vectors.embed_stored(docs, healed, root)
+    return stored.agg(*[F.lit(n).cast("long").alias(c) for n, c in zip(runs, ("first_run", "second_run", "healed_run", "last_run"))], F.count_if("embed_ok").alias("good_rows"))
+
+
 _L2 = "list_sum([(a.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) ** 2 for i in range(1, 65)])"
 _IP = "list_sum([a.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE for i in range(1, 65)])"
 
