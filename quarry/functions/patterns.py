@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 
 
-def _component(glob: str) -> str:
+def _component(glob: str, escapes: bool = False) -> str:
     out, i = "", 0
     while i < len(glob):
         c = glob[i]
@@ -14,6 +14,9 @@ def _component(glob: str) -> str:
             out += "[^/]*"
             while i + 1 < len(glob) and glob[i + 1] == "*":
                 i += 1
+        elif c == "\\" and escapes and i + 1 < len(glob):
+            i += 1
+            out += re.escape(glob[i])
         elif c == "?":
             out += "[^/]"
         elif c == "[" and (end := glob.find("]", i + 2)) > 0:
@@ -41,12 +44,14 @@ class IgnoreRule:
 
 def ignore_rule(line: str) -> IgnoreRule | None:
     """One line of an ignore file, or None for blank lines and comments."""
-    text = line.rstrip("\n").rstrip()
+    text = line.rstrip("\r\n")
+    bare = text.rstrip(" \t")
+    kept = (len(bare) - len(bare.rstrip("\\"))) % 2  # a blank after a backslash is part of the pattern
+    text = text[: len(bare) + kept]
     if not text or text.startswith("#"):
         return None
     negate = text.startswith("!")
     text = text[1:] if negate else text
-    text = text[1:] if text.startswith(("\\#", "\\!")) else text
     dir_only, anchored = text.endswith("/"), "/" in text.strip("/") or text.startswith("/")
     parts = text.strip("/").split("/")
     out = "^" if anchored else "^(?:.*/)?"
@@ -55,5 +60,5 @@ def ignore_rule(line: str) -> IgnoreRule | None:
         if p == "**":
             out += ".+" if last else "(?:.*/)?"
         else:
-            out += _component(p) + ("" if last else "/")
+            out += _component(p, True) + ("" if last else "/")
     return IgnoreRule(out + "$", negate, dir_only)
