@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.units import SCANNERS, Unit, line_numbers
+
 MAX_CHARS = 1000
 OVERLAP = 100
 FLUSH_CHARS = 4 << 20
@@ -103,23 +105,9 @@ class UnitRule:
     prefix: bool = False
 
 
-PYTHON_RULES = (
-    UnitRule("decorated_definition", r"^@", prefix=True),
-    UnitRule("function_definition", r"^(?:async )?def ", r"def +([A-Za-z_]\w*)"),
-    UnitRule("class_definition", r"^class ", r"class +([A-Za-z_]\w*)"),
-    UnitRule("import_statement", r"^import "),
-    UnitRule("import_from_statement", r"^from .* import"),
-)
-SCRIPT_RULES = (
-    UnitRule("export_statement", r"^export "),
-    UnitRule("function_declaration", r"^(?:async )?function\b", r"function\*? +([A-Za-z_$][\w$]*)"),
-    UnitRule("class_declaration", r"^class ", r"class +([A-Za-z_$][\w$]*)"),
-    UnitRule("interface_declaration", r"^interface ", r"interface +([A-Za-z_$][\w$]*)"),
-    UnitRule("type_alias_declaration", r"^type ", r"type +([A-Za-z_$][\w$]*)"),
-    UnitRule("import_statement", r"^import "),
-    UnitRule("arrow_function", r"^(?:const|let|var) .*=>"),
-)
-RULES = {"python": PYTHON_RULES, "javascript": SCRIPT_RULES, "typescript": SCRIPT_RULES}
+#: Of a language either line rules or a scanner of its syntax (``units``).
+Rules = dict[str, tuple[UnitRule, ...] | Callable[[str], Iterator[Unit]]]
+RULES: Rules = dict(SCANNERS)
 
 
 _INSIDE = re.compile(r"\s|$|[\])}]", re.A)
@@ -148,22 +136,32 @@ def _units(lines: list[str], rules: list[tuple]) -> Iterator[tuple[str, str | No
     yield from closed(len(lines))
 
 
-def _compiled(rules: dict[str, tuple[UnitRule, ...]]) -> dict[str, list[tuple]]:
-    return {k: [(re.compile(r.regex, re.A), r.kind, re.compile(r.name, re.A) if r.name else None, r.prefix) for r in own] for k, own in rules.items()}
+def _compiled(rules: Rules) -> dict[str, Callable[[str], Iterator[tuple]]]:
+    """Of each language the function that gives the units of a text: (kind, name, first line, last line, content)."""
+
+    def by_lines(own: tuple[UnitRule, ...]) -> Callable[[str], Iterator[tuple]]:
+        patterns = [(re.compile(r.regex, re.A), r.kind, re.compile(r.name, re.A) if r.name else None, r.prefix) for r in own]
+        return lambda text: _units(text.split("\n"), patterns)
+
+    def by_syntax(scan: Callable[[str], Iterator[Unit]]) -> Callable[[str], Iterator[tuple]]:
+        return lambda text: line_numbers(text, scan(text))
+
+    return {k: by_syntax(own) if callable(own) else by_lines(own) for k, own in rules.items()}
 
 
 UNIT = {"kind": "string", "name": "string", "start_line": "int", "end_line": "int", "content": "string"}
 
 
-def structural_units(df: DataFrame, rules: dict[str, tuple[UnitRule, ...]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def structural_units(df: DataFrame, rules: Rules = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, language, kind, name, start_line, end_line, content): units of texts by their language's rules.
 
-    A unit covers the blank, indented and closing lines below its first, without trailing blank lines; what
-    stands outside of units is left out. A row's text is read in one pass, whatever its id is.
+    A unit of a scanner is what its syntax spans. One of line rules covers the blank, indented and closing lines below its
+    first, without trailing blank lines. What stands outside of units is left out. A row's text is read in one pass,
+    whatever its id is.
     """
     compiled = _compiled(rules)
     own = df.where(F.col("language").isin(*rules) & F.col(text_col).isNotNull())
-    return _expanded(own, [id_col, "language"], ["language", text_col], lambda language, text: _units(text.split("\n"), compiled[language]), UNIT)
+    return _expanded(own, [id_col, "language"], ["language", text_col], lambda language, text: compiled[language](text), UNIT)
 
 
 def chunk_units(units: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, id_col: str = "doc_id") -> DataFrame:
@@ -174,18 +172,18 @@ def chunk_units(units: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVE
     return small.unionByName(large)
 
 
-def chunk_files(df: DataFrame, rules: dict[str, tuple[UnitRule, ...]] = RULES, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunk_files(df: DataFrame, rules: Rules = RULES, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Structural chunks where a text has units, else chunks of lines (kind ``text``): one pass for each text."""
     compiled = _compiled(rules)
 
     def rows_of(language: str, text: str) -> Iterator[tuple]:
-        lines, found = text.split("\n"), False
-        for kind, name, first, last, content in _units(lines, compiled.get(language, [])):
+        found = False
+        for kind, name, first, last, content in compiled[language](text) if language in compiled else ():
             found = True
-            chunks = [(0, first, last, content)] if len(content) <= max_chars else _line_chunks(lines[first - 1 : last], first, max_chars, overlap)
+            chunks = [(0, first, last, content)] if len(content) <= max_chars else _line_chunks(content.split("\n"), first, max_chars, overlap)
             yield from ((kind, name, *c) for c in chunks)
         if not found:
-            yield from (("text", None, *c) for c in _line_chunks(lines, 1, max_chars, overlap))
+            yield from (("text", None, *c) for c in _line_chunks(text.split("\n"), 1, max_chars, overlap))
 
     known = df.where(F.col(text_col).isNotNull()).withColumn("language", F.coalesce("language", F.lit("unknown")))
     return _expanded(known, [id_col, "language"], ["language", text_col], rows_of, {"kind": "string", "name": "string"} | CHUNK)

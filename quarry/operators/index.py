@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.conditions import condition
 from quarry.functions.scratch import scratch_dir
 from quarry.operators import snapshots
 
@@ -59,10 +60,10 @@ def by_key(files: DataFrame) -> DataFrame:
     return files.repartitionByRange("index_name", "path").sortWithinPartitions("index_name", "path")
 
 
-def write_index(chunks: DataFrame, root: str, mode: str = "replace", unique: bool = False) -> None:
+def write_index(chunks: DataFrame, root: str, mode: str = "replace", unique: bool = False, sketched: tuple[str, ...] = (), posted: tuple[str, ...] = ()) -> None:
     """``replace``: the index_names of ``chunks`` are replaced, others stay. ``append_new``: chunks with a chunk_id
     that the index doesn't have are added, those whose content differs from it take its place. All or nothing.
-    Of chunks with one index_name and chunk_id one is stored; ``unique`` says that there are no such, and spares a shuffle."""
+    Of chunks with one index_name and chunk_id one is stored; ``unique`` says that there are no such, and spares a shuffle. ``sketched``: columns whose distinct values ``distinct_estimates`` tells; ``posted``: columns whose values get bitmaps, for ``open_index``."""
     if mode not in ("replace", "append_new"):
         raise ValueError("mode is replace or append_new")
     spark, out = chunks.sparkSession, chunks
@@ -73,7 +74,7 @@ def write_index(chunks: DataFrame, root: str, mode: str = "replace", unique: boo
         out = out.withColumn("_part", part).repartition("index_name", "_part").dropDuplicates(["index_name", "_part", "chunk_id"]).drop("_part")
     if mode == "append_new" and before:
         out = new_chunks(out, snapshots.rows(spark, root, before))
-    added = snapshots.add_segment(root, out)
+    added = snapshots.add_segment(root, out, sketched, posted)
     after = before or snapshots.Version(0, schema)
     if mode == "append_new" and before and added:
         # what was there under an added id
@@ -196,10 +197,64 @@ def _known(version: snapshots.Version, name: str) -> str:
     return name
 
 
-def open_index(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
-    """The table, or one index of it; a missing index is an error, never an empty result."""
+KEY = ["seg", "index_name", "file", "bucket"]
+
+
+def matches(spark: SparkSession, root: str, tree: dict, name: str | None = None) -> DataFrame | None:
+    """(seg, index_name, file, bucket, bits): bitmaps of the rows that can meet a filter tree, from the posted columns
+    alone; what concerns other columns may hold for any row. None: any row of any file can meet it. Where all of the tree
+    concerns posted columns and nothing was dropped, the bits are exactly the rows that meet it."""
+    version = _version(spark, root)
+    held = snapshots.postings(spark, root, version, None if name is None else [name])
+    if held is None:
+        return None
+    known = {r[0] for r in held.select("column").distinct().collect()}  # columns, a few
+
+    def rows_of(tree: dict) -> DataFrame | None:
+        parts = []
+        for key, value in tree.items():
+            op = key.removeprefix("$")
+            if op in ("and", "or") and isinstance(value, list | tuple):
+                parts.append(joined([rows_of(t) for t in value], op))
+            elif key in known:
+                own = held.where(F.col("column") == key).withColumn(key, F.col("value").cast(version.schema[key].dataType))
+                parts.append(own.where(condition(own, {key: value})).groupBy(*KEY).agg(F.bitmap_or_agg("bits").alias("bits")))
+            else:
+                parts.append(None)
+        return joined(parts, "and")
+
+    def joined(parts: list[DataFrame | None], op: str) -> DataFrame | None:
+        some = [p for p in parts if p is not None]
+        if not some or (op == "or" and len(some) < len(parts)):
+            return None
+        out = some[0]
+        for p in some[1:]:
+            out = out.unionByName(p)
+        if len(some) == 1:
+            return out
+        if op == "or":
+            return out.groupBy(*KEY).agg(F.bitmap_or_agg("bits").alias("bits"))
+        both = out.groupBy(*KEY).agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n"))
+        return both.where(F.col("n") == len(some)).drop("n")
+
+    found = rows_of(tree)
+    return None if found is None else found.where(F.bitmap_count("bits") > 0)
+
+
+def open_index(spark: SparkSession, root: str, name: str | None = None, where: dict | None = None) -> DataFrame:
+    """The table, or one index of it; a missing index is an error, never an empty result. ``where``: the rows that meet a
+    filter tree; files whose bitmaps have none of them aren't read."""
     version = _version(spark, root)
-    return snapshots.rows(spark, root, version, None if name is None else [_known(version, name)])
+    names = None if name is None else [_known(version, name)]
+    table = snapshots.rows(spark, root, version, names)
+    if not where:
+        return table
+    meets, found = condition(table, where), matches(spark, root, where, name)
+    if found is not None:
+        files = [r[0] for r in found.select("file").distinct().limit(snapshots.MOST_FILES + 1).collect()]
+        if len(files) <= snapshots.MOST_FILES:  # more are left to the scan's own statistics
+            table = snapshots.rows(spark, root, version, names, files=files)
+    return table.where(meets)
 
 
 def drop_index(spark: SparkSession, root: str, name: str, purge: bool = True) -> None:
@@ -260,6 +315,11 @@ def languages(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in out.items() if v], "language string, chunks bigint")
 
 
+def distinct_estimates(spark: SparkSession, root: str, by_index: bool = True) -> DataFrame:
+    """Estimated distinct values of the sketched columns, of each index or of all; see ``snapshots.estimates``."""
+    return snapshots.estimates(spark, root, _version(spark, root), by_index)
+
+
 def page(spark: SparkSession, root: str, n: int = 100, after: tuple[str, int] | None = None) -> DataFrame:
     """The next ``n`` chunks by (path, chunk_no) after a key; see ``snapshots.next_page``."""
     return snapshots.next_page(spark, root, _version(spark, root), n, after)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from quarry.functions.embed import Embedder, embed, hashing_embedder
 from quarry.functions.languages import EXCLUDED_NAMES, language
 from quarry.functions.scratch import scratch_dir
 from quarry.operators import chunking, filters, index, knn_join, quantized, search, stats, vectors
+from quarry.sources import tree
 from quarry.sources.tables import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +122,29 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", "path", "size", "suffix")
 
 
+@query(f"WITH {FILES} SELECT path, size, suffix, md5(text) AS content_md5 FROM named WHERE suffix IN ('.py', '.md') AND size <= {MAX_FILE_BYTES} AND text IS NOT NULL AND NOT list_has_any(parts, ['src3'])")
+def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a real tree in the shared folder, which must be one of a file system, read through the source."""
+    root = scratch_dir(spark, f"tree-{uuid.uuid4().hex}")
+    if "://" in root.removeprefix("file://"):
+        raise ValueError("a source tree is read through the operating system: spark.checkpoint.dir is no folder of it")
+    top = root.removeprefix("file://").removeprefix("file:")
+
+    def put(batches):
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = os.path.join(top, path)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(f"{at}.part{os.getpid()}", "wb") as f:
+                    f.write(text.encode())
+                os.replace(f.name, at)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    files(spark, sf_dir).where("text IS NOT NULL").select("path", "text").mapInArrow(put, "n bigint").agg(F.sum("n")).collect()
+    read = tree.read_tree(spark, top, skip_names=("src3",), where=F.col("suffix").isin(".py", ".md") & (F.col("size") <= MAX_FILE_BYTES))
+    return read.select(F.col("rel_path").alias("path"), "size", "suffix", F.md5("content").alias("content_md5"))
+
+
 @query(f"WITH {FILES} SELECT doc_id, path, size FROM named WHERE NOT list_has_any(parts, ['src3', 'de', 'node_modules', '.git', 'dist', 'build', '.env'])")
 def filter_default_excludes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(filters.default_excludes(files(spark, sf_dir), EXCLUDED))
@@ -290,7 +317,7 @@ def _indexed(docs: DataFrame, *more: str) -> DataFrame:
 
 def _root(spark: SparkSession, sf_dir: str) -> str:
     """The stored index of all documents. It is written once, with its vectors; listings and searches read it."""
-    build = lambda root: index.write_index(_indexed(_index_files(spark, sf_dir)), root, unique=True)
+    build = lambda root: index.write_index(_indexed(_index_files(spark, sf_dir)), root, unique=True, sketched=("path", "content"), posted=("language", "index_name"))
     return index.built_once(spark, f"{sf_dir}/documents.parquet", build, "corpus")
 
 
@@ -388,6 +415,22 @@ def filtered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.where(condition(chunks, CHUNK_FILTER)).select("path", "chunk_no")
 
 
+POSTED_FILTER = {"$or": [{"index_name": {"$in": ["src1", "src4"]}, "language": {"$ne": "sql"}}, {"index_name": "src7", "language": {"$gte": "python"}}]}
+_POSTED = "(index_name IN ('src1', 'src4') AND language <> 'sql') OR (index_name = 'src7' AND language >= 'python')"
+
+
+@query(f"{INDEX} SELECT path, chunk_no FROM idx WHERE {_POSTED}")
+def filtered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the stored index that meet a filter tree; only files that have some are read."""
+    return index.open_index(spark, _root(spark, sf_dir), where=POSTED_FILTER).select("path", "chunk_no")
+
+
+@query(f"{INDEX} SELECT index_name, count(*) AS chunks FROM idx WHERE {_POSTED} GROUP BY ALL")
+def filtered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows meet it, from the bitmaps alone."""
+    return index.matches(spark, _root(spark, sf_dir), POSTED_FILTER).groupBy("index_name").agg(F.sum(F.bitmap_count("bits")).alias("chunks"))
+
+
 @query(f"{INDEX} SELECT language, count(*) AS chunks FROM idx GROUP BY ALL")
 def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.languages(spark, _root(spark, sf_dir))
@@ -400,6 +443,20 @@ def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(rows.hint("merge"), "one").drop("one")
 
 
+@query(f"""{INDEX} SELECT index_name, 'path' AS column, count(DISTINCT path) AS exact, true AS is_near FROM idx GROUP BY ALL
+UNION ALL SELECT index_name, 'content', count(DISTINCT content), true FROM idx GROUP BY ALL
+UNION ALL SELECT 'all', 'path', count(DISTINCT path), true FROM idx UNION ALL SELECT 'all', 'content', count(DISTINCT content), true FROM idx""")
+def distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct paths and contents of each index and of all by merged sketches, within 3 % (of few: 3) of the exact counts."""
+    root = _root(spark, sf_dir)
+    rows = stored_index(spark, sf_dir).select("index_name", "path", F.sha2("content", 256).alias("content"))
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in ("path", "content")])).alias("x")
+    exact = rows.select("index_name", both).unionByName(rows.select(F.lit("all").alias("index_name"), both)).groupBy("index_name", "x.column").agg(F.count_distinct("x.v").alias("exact"))
+    near = index.distinct_estimates(spark, root).unionByName(index.distinct_estimates(spark, root, False).withColumn("index_name", F.lit("all")))
+    joined = exact.join(near.hint("merge"), ["index_name", "column"])
+    return joined.select("index_name", "column", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(3.0), 0.03 * F.col("exact"))).alias("is_near"))
+
+
 @query(f"{INDEX} SELECT path, chunk_no, length(content) AS n_chars, language FROM idx ORDER BY path, chunk_no LIMIT 100")
 def browse_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.page(spark, _root(spark, sf_dir), 100).select("path", "chunk_no", F.length("content").alias("n_chars"), "language")

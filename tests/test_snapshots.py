@@ -158,3 +158,58 @@ def test_a_stream_replaces_changed_files(spark, tmp_path):
 
     assert run([("a.py", "a.py", "one"), ("b.md", "b.md", "three")]) == [("live", "a.py", 0, "one"), ("live", "b.md", 0, "three")]
     assert run([("a.py", "a.py", "edited"), ("c.md", "c.md", "c")]) == [("live", "a.py", 0, "edited"), ("live", "b.md", 0, "three"), ("live", "c.md", 0, "c")]
+
+
+def test_sketches_merge_without_a_rescan(spark, tmp_path):
+    root = str(tmp_path / "t")
+    first = chunks(spark, [("a", f"p{i}", 0, f"{i % 700}") for i in range(3000)] + [("b", "q", 0, "1")])
+    index.write_index(first, root, sketched=("path", "content"))
+    index.write_index(chunks(spark, [("a", f"r{i}", 0, f"{i % 900}") for i in range(1000)]), root, "append_new", sketched=("path", "content"))
+    got = {(r.index_name, r.column): r.estimate for r in index.distinct_estimates(spark, root).collect()}
+    assert got["b", "path"] == got["b", "content"] == 1
+    assert abs(got["a", "path"] - 4000) < 160 and abs(got["a", "content"] - 900) < 36
+    assert abs({r.column: r.estimate for r in index.distinct_estimates(spark, root, False).collect()}["path"] - 4001) < 160
+    segments = {e.segment for e in snapshots.current(spark, root).entries}
+    for s in segments:
+        os.rename(f"{root}/data/seg={s}", f"{root}/data/moved-{s}")
+    assert {(r.index_name, r.column): r.estimate for r in index.distinct_estimates(spark, root).collect()} == got  # no row was read
+    index.drop_index(spark, root, "a", purge=False)
+    assert {r.index_name for r in index.distinct_estimates(spark, root).collect()} == {"b"}
+    plain = str(tmp_path / "plain")
+    index.write_index(chunks(spark, [("a", "x", 0, "1")]), plain)
+    assert index.distinct_estimates(spark, plain).count() == 0
+
+
+def test_bitmaps_tell_the_rows_that_meet_a_filter(spark, tmp_path, monkeypatch):
+    root, seen = str(tmp_path / "t"), []
+    names = ["a", "b"]
+    rows = [(names[i % 2], f"p{i:04}.{'py' if i % 5 == 0 else 'md'}", i % 3, f"{i}") for i in range(400)]
+    table = chunks(spark, rows).withColumn("label", F.when(F.col("chunk_no") > 0, F.col("chunk_no")))
+    dealt = table.repartitionByRange(8, "path").sortWithinPartitions("path")
+    index.write_index(dealt, root, unique=True, posted=("language", "label"))
+    real = snapshots.rows
+    monkeypatch.setattr(snapshots, "rows", lambda *a, **k: (seen.append(k.get("files")), real(*a, **k))[1])
+    trees = [
+        {"language": "python"},
+        {"language": {"ne": "python"}},
+        {"label": {"gte": 1}},
+        {"label": {"ne": 2}},
+        {"and": [{"language": "python"}, {"label": {"in": [1, 2]}}]},
+        {"or": [{"language": "python"}, {"and": [{"label": {"lt": 2}}, {"language": {"nin": ["sql"]}}]}]},
+        {"language": "none"},
+    ]
+    for tree in trees:
+        whole = index.open_index(spark, root)
+        want = whole.where(index.condition(whole, tree)).count()
+        found = index.matches(spark, root, tree)
+        assert found.agg(F.sum(F.bitmap_count("bits"))).first()[0] == (want or None)
+        assert index.open_index(spark, root, where=tree).count() == want
+        assert index.open_index(spark, root, "a", tree).count() == whole.where("index_name = 'a'").where(index.condition(whole, tree)).count()
+    mixed = {"and": [{"language": "python"}, {"path": {"lt": "p0050"}}]}
+    assert index.open_index(spark, root, where=mixed).count() == 10
+    assert index.matches(spark, root, {"or": [{"language": "python"}, {"path": "p0001.md"}]}) is None
+    seen.clear()
+    index.write_index(chunks(spark, [("a", f"q{i}.py", 0, "q") for i in range(5)]).withColumn("label", F.lit(9)), root, "append_new", posted=("language", "label"))
+    assert index.open_index(spark, root, where={"label": 9}).count() == 5 and len(seen[-1]) <= 5
+    index.write_index(chunks(spark, [("c", "x", 0, "1")]).withColumn("label", F.lit(9)), root)  # a segment without bitmaps: all files are read
+    assert index.open_index(spark, root, where={"label": 9}).count() == 6
