@@ -6,8 +6,11 @@ the last untouched leaf with a visible character before it (what stands left of
 the new borders meet an old border again, re-encodes those pre-tokens and updates the sums above them. The
 count is at the root.
 
-Null text counts as empty (0 tokens). Repeated rows are counted each on their own; extra columns are ignored;
-memory follows one text and a bounded table of pre-tokens' counts.
+Trees are kept by their leaves (``count_trees``), and a table of edits by document is applied to what was kept
+(``edit_trees``), so that later edits neither split nor encode the rest of a text again.
+
+Null text counts as empty (0 tokens). Repeated rows are counted each on their own; extra columns are ignored, also those
+named as the results; an empty table gives an empty result; memory follows one text and a bounded table of pre-tokens' counts.
 """
 
 from __future__ import annotations
@@ -17,8 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm.common import stored
 
 CACHE = 500_000
 Edit = tuple[int, int, str]  # start, end, replacement; positions in the text as it then is
@@ -70,13 +77,27 @@ class CountedText:
     """Segment tree over a text's pre-tokens: tokens and characters below each node."""
 
     def __init__(self, text: str, counter: PieceCounter):
+        leaves = counter.split(text)
+        self._build(leaves, counter.counts(leaves), counter)
+
+    @classmethod
+    def restored(cls, text: str, chars: list[int], tokens: list[int], counter: PieceCounter) -> CountedText:
+        """The tree of a text whose leaves (characters and tokens of each) were kept: nothing is split or encoded."""
+        ends = np.cumsum(np.array(chars, np.int64)).tolist()
+        if (ends[-1] if ends else 0) != len(text) or len(tokens) != len(chars):
+            raise ValueError("the leaves aren't those of this text")
+        tree = cls.__new__(cls)
+        tree._build([text[e - n : e] for e, n in zip(ends, chars)], tokens, counter)
+        return tree
+
+    def _build(self, leaves: list[str], counts: list[int], counter: PieceCounter) -> None:
         self.counter = counter
-        self.leaves: list[str] = counter.split(text)  # an edit may put several pre-tokens into one leaf, or none
+        self.leaves = leaves  # an edit may put several pre-tokens into one leaf, or none
         n = len(self.leaves)
         self.size = 1 << max(n - 1, 0).bit_length()
         self.tokens, self.chars = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
         if n:
-            self.tokens[self.size : self.size + n] = counter.counts(self.leaves)
+            self.tokens[self.size : self.size + n] = counts
             self.chars[self.size : self.size + n] = list(map(len, self.leaves))
         for tree in (self.tokens, self.chars):
             lo = self.size
@@ -85,6 +106,11 @@ class CountedText:
                 lo //= 2
         self.reencoded = 0
 
+    def kept(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each leaf, without leaves that edits emptied."""
+        chars, tokens = (x[self.size : self.size + len(self.leaves)] for x in (self.chars, self.tokens))
+        return chars[chars > 0].tolist(), tokens[chars > 0].tolist()
+
     @property
     def n_tokens(self) -> int:
         return int(self.tokens[1])
@@ -219,6 +245,65 @@ def count_tokens(df: DataFrame, ranks_path: str, pattern: str, edits_of=sample_e
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens bigint, n_pretokens bigint, edited_tokens bigint, reencoded bigint")
 
 
+TREE = {"text": pa.string(), "leaf_chars": pa.list_(pa.int32()), "leaf_tokens": pa.list_(pa.int32()), "n_tokens": pa.int64(), "reencoded": pa.int64()}
+_TREE = "text string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens bigint, reencoded bigint"
+FEW_EDITED = 100_000  # documents whose edits are sent to the scan of the trees
+
+
+def _as_batch(ids: pa.Array, trees: list[CountedText], id_col: str) -> pa.RecordBatch:
+    leaves = [t.kept() for t in trees]
+    columns = ([t.text() for t in trees], [c for c, _ in leaves], [n for _, n in leaves], [t.n_tokens for t in trees], [t.reencoded for t in trees])
+    return pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns, TREE.values())]], names=[id_col, *TREE])
+
+
+def count_trees(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, leaf_chars, leaf_tokens, n_tokens, reencoded: all leaves): each document's tree, to be stored. Sums above
+    the leaves are made when a tree is used. Null text counts as empty; repeated rows have trees of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_of(ranks_path, pattern)
+        for b in batches:
+            trees = [CountedText(t.as_py() or "", counter) for t in b.column(1)]
+            for t in trees:
+                t.reencoded = len(t.leaves)
+            yield _as_batch(b.column(0), trees, id_col)
+
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {_TREE}")
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+    """``trees`` (of ``count_trees``, or of an earlier call) after ``edits`` (id, seq, start, end, replacement: positions in
+    the text as it then is). A document's edits are applied in the order of seq, equal ones by place and text; only
+    pre-tokens around them are split and encoded anew, and ``reencoded`` tells how many. Trees without edits stay as they
+    are, with 0. Null replacements count as empty, null places as the text's end; edits of unknown or null ids do nothing;
+    all rows of a repeated id are edited."""
+    own = edits.select(F.col(id_col).alias("_id"), "seq", F.coalesce(F.col("start").cast("long"), F.lit(1 << 40)).alias("start"), F.coalesce(F.col("end").cast("long"), F.lit(1 << 40)).alias("end"), F.coalesce("replacement", F.lit("")).alias("replacement"))
+    listed = own.where("_id IS NOT NULL").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement"))).alias("edits"))
+    listed = stored(listed)
+    few = listed.count() <= FEW_EDITED
+    held = trees.select(id_col, *TREE)
+    joined = held.join(listed.hint("broadcast" if few else "merge"), held[id_col] == listed["_id"], "left").drop("_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_of(ranks_path, pattern)
+        for b in batches:
+            changed, at, out = b.column(6).is_valid(), [], []
+            for i in np.flatnonzero(changed.to_numpy(zero_copy_only=False)).tolist():
+                text, chars, tokens = (b.column(j)[i].as_py() for j in (1, 2, 3))
+                tree = CountedText.restored(text, chars, tokens, counter)
+                for e in b.column(6)[i].as_py():
+                    tree.edit(e["start"], max(e["start"], e["end"]), e["replacement"])
+                at.append(i)
+                out.append(tree)
+            if out:
+                yield _as_batch(b.column(0).take(pa.array(at)), out, id_col)
+            same = b.filter(pc.invert(changed))
+            if same.num_rows:
+                yield pa.RecordBatch.from_arrays([*same.columns[:5], pa.array(np.zeros(same.num_rows, np.int64))], names=[id_col, *TREE])
+
+    return joined.mapInArrow(run, f"`{id_col}` {trees.schema[id_col].dataType.simpleString()}, {_TREE}")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -286,3 +286,48 @@ def test_masking_leaves_a_clashing_n_chars_alone(spark):
     df = spark.createDataFrame([(1, "token = abcdef123456", "many"), (2, None, None)], "doc_id long, text string, n_chars string")
     assert [(r.text, r.n_chars) for r in secret_scans.mask_secrets(df).orderBy("doc_id").collect()] == [("[SECRET]", "many"), (None, None)]
     assert secret_scans.scan_secrets(df.limit(0)).count() == 0 and secret_scans.scan_secrets(df.union(df)).count() == 4
+
+
+def test_kept_trees_follow_a_table_of_edits(spark):
+    import random
+
+    import tiktoken  # noqa: F401
+
+    from quarry.llm import token_counts
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    counter, rng = token_counts.counter_of(ranks, pattern), random.Random(1)
+    words = ["token", "don't", " é", "\n\n", "  ", "12345", "😀x", "the quick", "...", ""]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    docs = [(i, text(200)) for i in range(30)] + [(30, None), (31, ""), (2**53 + 1, text(50)), (None, text(9)), (5, text(7))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_tokens", "edits", "leaf_chars")})
+    trees = token_counts.count_trees(df, ranks, pattern)
+    plain = sorted(((i, t or "") for i, t in docs), key=repr)
+    for _ in range(2):
+        edits = [(i, s, a, a + rng.randrange(9), text(rng.randrange(4))) for i in [*range(0, 34, 3), 2**53 + 1, 5, 777] for s in range(3) for a in [rng.randrange(150)]] + [(31, 9, None, None, "at the end"), (None, 1, 0, 1, "x"), (0, 9, 3, None, None)]
+        table = spark.createDataFrame(edits, "doc_id long, seq int, start int, end int, replacement string")
+        order = sorted(((i, s, 1 << 40 if a is None else a, 1 << 40 if e is None else e, r or "") for i, s, a, e, r in edits if i is not None), key=lambda e: e[1:])
+        plain = [(i, token_counts.edited(t, [e[2:] for e in order if e[0] == i])) for i, t in plain]
+        trees = token_counts.stored(token_counts.edit_trees(trees, table, ranks, pattern))
+        got = trees.collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(plain, key=repr)
+        for r in got:
+            assert r.n_tokens == len(counter.encoding.encode_ordinary(r.text)) == sum(r.leaf_tokens) and sum(r.leaf_chars) == len(r.text)
+            assert (r.reencoded > 0) == (r.doc_id in {e[0] for e in order}) or r.text == "" or r.doc_id == 31
+        assert all(r.reencoded < 150 for r in got)
+    assert token_counts.edit_trees(trees, table.limit(0), ranks, pattern).where("reencoded > 0").count() == 0
+    assert token_counts.edit_trees(trees.limit(0), table, ranks, pattern).count() == 0
+    with pytest.raises(ValueError, match="aren't those of this text"):
+        token_counts.CountedText.restored("abc", [2], [1], counter)
+
+
+def test_token_counts_of_awkward_rows(spark):
+    from quarry.llm import token_counts
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = [(1, "same"), (1, "same"), (None, "no id"), (2, None), (2**53 + 1, "x " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_tokens", "edited_tokens")})
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df, ranks, pattern).collect())
+    encode = token_counts.counter_of(ranks, pattern).encoding.encode_ordinary
+    assert got == Counter((i, len(encode(t or ""))) for i, t in rows)
+    assert token_counts.count_tokens(df.limit(0), ranks, pattern).count() == 0
