@@ -41,12 +41,14 @@ SHINGLE = 5
 PERCENT = 75
 LEAST_BITS = 256
 ENTRY_BITS = 1024  # of the bitmaps that entries of the last round carry
-HOT_SHARE = 0.0001  # of all texts: a shingle in more of them sorts last
+HOT_SHARE, HOT_TEXTS = 0.0001, 10_000  # of all texts, and texts: a shingle in more of them than the lesser sorts last
 MOST_HOT = 1_000_000  # of those, the commonest; any one order of all shingles gives the same links
 TILE_ENTRIES = 250_000
 COLD = -1  # place of entries of keys that aren't hot
 BEFORE = 64  # hot shingles before a key that an entry tells of
 PAIRS_PER_GROUP = 1500
+MOST_HEAVY = 1000  # a key with more than one in so many of all entries is heavy; there are fewer of them
+BLOCK_ENTRIES = 1000  # entries of a heavy key that meet as many others in one task
 BROADCAST_ROWS = 500_000
 
 _WORD = np.ones(256, np.uint8)
@@ -140,8 +142,8 @@ def signatures(texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
 
 
 def hot_shingles(counts: DataFrame, n_texts: int) -> np.ndarray:
-    """Shingles in more than HOT_SHARE of all texts, commonest last: MOST_HOT at most."""
-    rows = counts.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > max(4, HOT_SHARE * n_texts)).orderBy(F.desc("n"), "s").limit(MOST_HOT).toPandas().sort_values(["n", "s"])
+    """Shingles in more than HOT_SHARE of all texts, or HOT_TEXTS of them, commonest last: MOST_HOT at most."""
+    rows = counts.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > max(4, min(HOT_TEXTS, HOT_SHARE * n_texts))).orderBy(F.desc("n"), "s").limit(MOST_HOT).toPandas().sort_values(["n", "s"])
     return rows["s"].to_numpy(np.int64).view(np.uint64)
 
 
@@ -337,10 +339,28 @@ def _possible(percent: int) -> Column:
 
 
 def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries (key, id, n, place, before, c: component) of keys that have sets of several components."""
+    """Entries (key, id, n, place, before, c: component, heavy) of keys that have sets of several components; heavy: how many
+    entries the key has, if it has very many, else null. Heavy keys, fewer than MOST_HEAVY, are told by broadcast, so that
+    no task gets all entries of one."""
     placed = stored(entries.join(found.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").select(*ENTRY, F.coalesce("component", "id").alias("c")))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return stored(placed.join(mixed.hint("shuffle_hash"), "key", "left_semi"))
+    keys = stored(placed.groupBy("key").agg((F.min("c") != F.max("c")).alias("mixed"), F.count("*").alias("held")))
+    share = (keys.agg(F.sum("held")).first()[0] or 0) // MOST_HEAVY
+    heavy = F.col("held") > max(share, BLOCK_ENTRIES)
+    told = placed.join(F.broadcast(keys.where(heavy).select("key", "mixed", F.col("held").alias("heavy"))), "key", "left")
+    others = keys.where(~heavy & F.col("mixed")).select("key")
+    few = told.where("heavy IS NULL").drop("mixed").join(others.hint("shuffle_hash"), "key", "left_semi")
+    return stored(told.where("mixed").drop("mixed").unionByName(few))
+
+
+def _met(left: DataFrame) -> DataFrame:
+    """All pairs (a, b) of entries of a key. Entries of a heavy key are cut into blocks, and each pair of blocks is a key of its own."""
+    few, many = left.where("heavy IS NULL"), left.where("heavy IS NOT NULL")
+    pairs = _side(few, "a", "key").join(_side(few, "b", "key").hint("merge"), "key")
+    blocks = F.ceil(F.col("heavy") / BLOCK_ENTRIES).cast("int")
+    cut = many.withColumns({"own": F.pmod(F.xxhash64("id"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    a = _side(cut, "a", "key", F.col("own").alias("x"), F.col("other").alias("y"))
+    b = _side(cut, "b", "key", F.col("other").alias("x"), F.col("own").alias("y"))
+    return pairs.unionByName(a.join(b.hint("merge"), ["key", "x", "y"]).drop("x", "y"))
 
 
 def _unseen(candidates: DataFrame, before: DataFrame) -> DataFrame:
@@ -365,8 +385,12 @@ def text_classes(df: DataFrame, text_col: str = "text", width: int = SHINGLE, pe
     # second round: under each key and size band a centre by chance, against sets of other components
     left = _mixed(entries, found)
     by = ["key", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).alias("band")]
-    centres = _side(left, "a", *by).groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("a", "key").alias("h"), "a", "n_a", "place_a", "c_a")).alias("x")).select("key", "band", "x.*").drop("h")
-    more = _side(left, "b", *by).join(centres.hint("merge"), ["key", "band"]).where(_possible(percent))
+    least = F.min(F.struct(F.xxhash64("a", "key").alias("h"), "a", "n_a", "place_a", "c_a")).alias("x")
+    with_centre = []
+    for part, send in (("heavy IS NULL", lambda df: df.hint("merge")), ("heavy IS NOT NULL", F.broadcast)):  # bands are logarithms: few for each of the heavy keys
+        centres = _side(left.where(part), "a", *by).groupBy("key", "band").agg(least).select("key", "band", "x.*").drop("h")
+        with_centre.append(_side(left.where(part), "b", *by).join(send(centres), ["key", "band"]))
+    more = with_centre[0].unionByName(with_centre[1]).where(_possible(percent))
     found = _joined(found, verified(_unseen(more, pairs), sigs, texts, width, percent))
     # last round: all that is left under a key between components, where two sets first meet as far as entries tell
     left = _mixed(left.select(*ENTRY), found).join(sigs.select(F.col("rep").alias("id"), F.col("low").alias("bits")).hint("shuffle_hash"), "id")
@@ -375,7 +399,7 @@ def text_classes(df: DataFrame, text_col: str = "text", width: int = SHINGLE, pe
     lags = F.array_compact(F.array(*[F.lag("key", k).over(earlier) for k in (1, 2, 3)]))
     left = left.withColumn("prev", F.when(F.col("place") == COLD, lags).otherwise(F.array().cast("array<bigint>")))
     first = (F.col("before_a").bitwiseAND(F.col("before_b")) == 0) & ~F.arrays_overlap("prev_a", "prev_b")
-    rest = _side(left, "a", "key").join(_side(left, "b", "key").hint("merge"), "key").where((F.col("a") < F.col("b")) & first & _possible(percent) & _bits_allow(percent))
+    rest = _met(left).where((F.col("a") < F.col("b")) & first & _possible(percent) & _bits_allow(percent))
     found = _joined(found, verified(_unseen(rest, pairs), sigs, texts, width, percent))
     own = sigs.select("digest", "size", "rep").join(found.select(F.col("node").alias("rep"), "component").hint("shuffle_hash"), "rep", "left")
     return stored(own.select("digest", "size", F.coalesce("component", "rep").alias("component")))

@@ -313,7 +313,9 @@ def components(texts):
     return {i: (len(s), top(i)) for i, s in sets.items()}
 
 
-def test_jaccard(spark, monkeypatch):
+@pytest.mark.parametrize("block", [3, 1000])
+def test_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", block)
     monkeypatch.setattr(jaccard, "HOT_SHARE", 0.02)  # so that the small fixture has hot shingles
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 300)}" for _ in range(60)]
@@ -338,8 +340,10 @@ def test_jaccard_rows_without_or_with_shared_ids(spark):
     assert kept.columns[-2:] == ["row", "digest"] and jaccard.one_of_each(docs(spark, [])).count() == 0
 
 
-def test_jaccard_around_the_threshold(spark, monkeypatch):
+@pytest.mark.parametrize("block", [4, 1000])
+def test_jaccard_around_the_threshold(spark, monkeypatch, block):
     """One large family, most of whose pairs are just below or just above the threshold."""
+    monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", block)
     monkeypatch.setattr(jaccard, "HOT_SHARE", 0.02)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(160)]
