@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,22 +185,42 @@ def fingerprint(df: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_c
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (bucket, guest, doc_id, text) such that, bucket by bucket in descending id, each row's next
     document is the next row. A bucket's last next is the first row of the following bucket, sent as a
-    guest; after the very last comes the first. Only ids of buckets' first rows reach the driver."""
+    guest; after the very last comes the first. Only ids of buckets' first rows reach the driver; a task finds a row's
+    bucket among their borders by bisection."""
     spark = df.sparkSession
     n = 3 * partitions(spark)
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    cuts = sorted(set(rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)))
-    bucket = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(bucket))
-    firsts = sorted(rows.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect())
-    target = [(firsts[i - 1].bucket, f.first, f.bucket) for i, f in enumerate(firsts)]
-    guest = F.lit(None).cast("int")
-    if target:
-        to = F.create_map(*[F.lit(x) for t in target for x in (t[2], t[0])])
-        first = F.create_map(*[F.lit(x) for t in target for x in (t[2], -1 if t[1] is None else t[1])])
-        guest = F.when(F.coalesce("doc_id", F.lit(-1)) == F.element_at(first, F.col("bucket")), F.element_at(to, F.col("bucket")))
-    both = F.array_compact(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("bucket"), F.lit(True).alias("guest")))))
-    dealt = rows.select(F.explode(both).alias("to"), "doc_id", "text").select("to.bucket", "to.guest", "doc_id", "text")
+    cuts = np.array(sorted({int(c) for c in rows.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}), np.int64)
+
+    def buckets(ids: pa.Array) -> np.ndarray:
+        own = len(cuts) - np.searchsorted(cuts, pc.fill_null(ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False), "right")
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, own)
+
+    @F.arrow_udf("int")
+    def bucket_of(ids: pa.Array) -> pa.Array:
+        return pa.array(buckets(ids).astype(np.int32))
+
+    firsts = sorted(rows.select("doc_id").groupBy(bucket_of("doc_id").alias("bucket")).agg(F.max("doc_id").alias("first")).collect())
+    number, first = np.array([r.bucket for r in firsts], np.int64), [r.first for r in firsts]
+    heads = np.array([-1 if x is None else x for x in first], np.int64)
+    no_id = np.array([x is None for x in first], bool)
+    before = np.roll(number, 1)
+
+    @F.arrow_udf("array<struct<bucket: int, guest: boolean>>")
+    def places(ids: pa.Array) -> pa.Array:
+        own = buckets(ids)
+        at = np.minimum(np.searchsorted(number, own), max(len(number) - 1, 0))
+        value, null = pc.fill_null(ids.cast(pa.int64()), -1).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+        goes = (null == no_id[at]) & (value == heads[at]) if len(number) else np.zeros(len(own), bool)
+        size = 1 + goes
+        start = np.cumsum(size) - size
+        to, guest = np.zeros(int(size.sum()), np.int32), np.zeros(int(size.sum()), bool)
+        to[start] = own
+        to[start[goes] + 1], guest[start[goes] + 1] = before[at[goes]], True
+        rows = pa.StructArray.from_arrays([pa.array(to), pa.array(guest)], names=["bucket", "guest"])
+        return pa.ListArray.from_arrays(pa.array(np.append(start, len(to)).astype(np.int32)), rows)
+
+    dealt = rows.select(F.explode(places("doc_id")).alias("to"), "doc_id", "text").select("to.bucket", "to.guest", "doc_id", "text")
     return dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
 
 
