@@ -314,7 +314,6 @@ def components(texts):
 
 
 def test_jaccard(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", 3)
     monkeypatch.setattr(jaccard, "HOT_SHARE", 0.02)  # so that the small fixture has hot shingles
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 300)}" for _ in range(60)]
