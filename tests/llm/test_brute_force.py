@@ -41,7 +41,7 @@ def learns(doc_id):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = c.sql(registry.ORACLES[name])
     df = registry.QUERIES[name](spark, sf_dir)
