@@ -97,3 +97,26 @@ def test_quantised_lists_of_few_distinct_vectors(spark, tmp_path):
     q = df.limit(3).withColumnRenamed("chunk_id", "query_id")
     got = quantized.nearest_quantized(spark, root, model, q, 3, 40, 2)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in search.nearest(df, q, 3).collect()}
+
+
+def test_join_of_vectors_without_clusters_isnt_dealt_by_cell(spark, monkeypatch):
+    """Where queries can't leave out cells, they go once to each block of rows, not once to each cell."""
+    stored, plain = [], knn_join._stored
+
+    def counted(df):
+        out = plain(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(knn_join, "_stored", counted)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 32))
+    x[:40] = x[0]  # more copies than neighbours
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).round(4)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], VECTORS)
+    hits, _ = knn_join.knn_join(df.withColumnRenamed("chunk_id", "query_id"), df, 5)
+    got = {(r.query_id, r.rank): r.id for r in hits.collect()}
+    far = np.round(sum((x[:, None, j] - x[None, :, j]) ** 2 for j in range(32)), 6)
+    want = {(i, r + 1): int(j) for i in range(3000) for r, j in enumerate(np.lexsort((np.arange(3000), far[i]))[:5])}
+    assert got == want
+    assert max(stored) < 12 * 3000
