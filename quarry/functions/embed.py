@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BATCH = 100
+KNOWN = 100_000  # words whose places a task remembers; the commonest come back at once
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 
@@ -54,7 +55,7 @@ def hashing_embedder(dim: int = 64) -> Embedder:
 
         def place(token: str) -> tuple[int, int]:
             if (found := known.get(token)) is None:
-                if len(known) > 1_000_000:
+                if len(known) >= KNOWN:
                     known.clear()
                 digest = hashlib.md5(token.encode()).hexdigest()
                 found = known[token] = (int(digest[:8], 16) % dim, 1 - 2 * (int(digest[8], 16) % 2))
@@ -75,13 +76,14 @@ def hashing_embedder(dim: int = 64) -> Embedder:
     return Embedder(f"hash{dim}", make, dim)
 
 
-def embed(df: DataFrame, by: Embedder, text_col: str = "content", batch: int = BATCH, precise: bool = False) -> DataFrame:
-    """``df`` with embedding (float, or double if ``precise``) and embed_ok. Null texts count as empty."""
+def embedded(by: Embedder, text_col: str = "content", batch: int = BATCH, precise: bool = False) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """``make()`` of a task: a function that adds embedding and embed_ok to a batch."""
     number = pa.float64() if precise else pa.float32()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         function = by.make()
-        for b in batches:
+
+        def add(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = ["" if t is None else t for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             vectors, ok = np.zeros((len(texts), by.dim)), np.ones(len(texts), bool)
             for lo in range(0, len(texts), batch):
@@ -92,10 +94,26 @@ def embed(df: DataFrame, by: Embedder, text_col: str = "content", batch: int = B
                     vectors[lo : lo + batch] = 0
             offsets = pa.array(np.arange(len(texts) + 1) * by.dim, pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel(), number))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(ok)], names=[*b.schema.names, "embedding", "embed_ok"])
+            return pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(ok)], names=[*b.schema.names, "embedding", "embed_ok"])
+
+        return add
+
+    return make
+
+
+def embedded_fields(precise: bool) -> str:
+    return f"embedding array<{'double' if precise else 'float'}>, embed_ok boolean"
+
+
+def embed(df: DataFrame, by: Embedder, text_col: str = "content", batch: int = BATCH, precise: bool = False) -> DataFrame:
+    """``df`` with embedding (float, or double if ``precise``) and embed_ok. Null texts count as empty."""
+    make = embedded(by, text_col, batch, precise)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(make(), batches)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, embedding array<{'double' if precise else 'float'}>, embed_ok boolean")
+    return df.mapInArrow(run, f"{fields}, {embedded_fields(precise)}")
 
 
 register_embedder("hash64", hashing_embedder(64).make, 64)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.embed import Embedder, embedded, embedded_fields
 from quarry.functions.units import SCANNERS, Unit, line_numbers
 
 MAX_CHARS = 1000
@@ -44,13 +45,16 @@ def line_ranges(lengths: list[int], max_chars: int, overlap: int) -> list[tuple[
         s, done = start, e
 
 
-def _expanded(df: DataFrame, keep: list[str], inputs: list[str], rows_of: Callable[..., Iterator[tuple]], fields: dict[str, str]) -> DataFrame:
+def _expanded(df: DataFrame, keep: list[str], inputs: list[str], rows_of: Callable[..., Iterator[tuple]], fields: dict[str, str], by: Embedder | None = None) -> DataFrame:
     """``keep`` columns with the rows that ``rows_of`` makes of the ``inputs`` of each row, on its executor; the
-    last of ``fields`` (name -> int or string) is the longest. Rows go out every FLUSH_CHARS characters of it."""
+    last of ``fields`` (name -> int or string) is the longest. Rows go out every FLUSH_CHARS characters of it, with
+    their (double) vectors if an embedder is given: a task then has one Python process, not two."""
+    make = embedded(by, list(fields)[-1], precise=True) if by else lambda: lambda b: b
     kept = df.select(*keep, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])
     arrow = {"int": pa.int32(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add = make()
         for b in batches:
 
             def made(owner: list[int], rows: list[tuple]) -> pa.RecordBatch:
@@ -64,13 +68,13 @@ def _expanded(df: DataFrame, keep: list[str], inputs: list[str], rows_of: Callab
                     rows.append(row)
                     size += len(row[-1])
                     if size >= FLUSH_CHARS:
-                        yield made(owner, rows)
+                        yield add(made(owner, rows))
                         owner, rows, size = [], [], 0
             if rows:
-                yield made(owner, rows)
+                yield add(made(owner, rows))
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
-    return kept.mapInArrow(run, ", ".join(filter(None, [own, *(f"{n} {t}" for n, t in fields.items())])))
+    return kept.mapInArrow(run, ", ".join(filter(None, [own, *(f"{n} {t}" for n, t in fields.items()), embedded_fields(True) if by else ""])))
 
 
 CHUNK = {"chunk_no": "int", "start_line": "int", "end_line": "int", "content": "string"}
@@ -81,8 +85,9 @@ def _line_chunks(lines: list[str], first: int, max_chars: int, overlap: int) ->
         yield k, s + first - 1, e + first - 1, "\n".join(lines[s - 1 : e])
 
 
-def chunk_lines(df: DataFrame, keep: list[str], text_col: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP, first_line: str | None = None) -> DataFrame:
-    """``keep`` columns with chunk_no (from 0), start_line, end_line and content of each chunk of each text.
+def chunk_lines(df: DataFrame, keep: list[str], text_col: str = "text", max_chars: int = MAX_CHARS, overlap: int = OVERLAP, first_line: str | None = None, by: Embedder | None = None) -> DataFrame:
+    """``keep`` columns with chunk_no (from 0), start_line, end_line and content of each chunk of each text, and with
+    embedding and embed_ok if it is to be embedded in the same pass (``by``).
 
     A text is folded in one pass on its executor; ``first_line`` names a column with the number of the
     text's first line. Null texts give no chunk.
@@ -91,7 +96,7 @@ def chunk_lines(df: DataFrame, keep: list[str], text_col: str = "text", max_char
     def rows_of(text: str, first: int = 1) -> Iterator[tuple]:
         return _line_chunks(text.split("\n"), first, max_chars, overlap)
 
-    return _expanded(df.where(F.col(text_col).isNotNull()), keep, [text_col, first_line] if first_line else [text_col], rows_of, CHUNK)
+    return _expanded(df.where(F.col(text_col).isNotNull()), keep, [text_col, first_line] if first_line else [text_col], rows_of, CHUNK, by)
 
 
 @dataclass(frozen=True)

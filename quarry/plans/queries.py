@@ -285,8 +285,8 @@ def _index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).withColumns({"language": F.coalesce(language(F.col("name")), F.lit("unknown")), "index_name": F.element_at("parts", 1)})
 
 
-def _chunked(docs: DataFrame, *more: str) -> DataFrame:
-    rows = chunking.chunk_lines(docs, ["index_name", "doc_id", "path", "language", *more])
+def _chunked(docs: DataFrame, *more: str, by: Embedder | None = None) -> DataFrame:
+    rows = chunking.chunk_lines(docs, ["index_name", "doc_id", "path", "language", *more], by=by)
     return rows.withColumns({"chunk_type": F.lit("text"), "chunk_id": index.chunk_id(F.col("index_name"), F.col("path"), F.col("chunk_no"))})
 
 
@@ -312,7 +312,7 @@ CREATED = "2024-01-01 00:00:00"
 
 def _indexed(docs: DataFrame, *more: str) -> DataFrame:
     """Chunks of files with their vectors, as an index stores them."""
-    return index.stamped(embed(_chunked(index.by_key(docs), *more), hashing_embedder(64), precise=True), CREATED)
+    return index.stamped(_chunked(index.by_key(docs), *more, by=hashing_embedder(64)), CREATED)
 
 
 def _root(spark: SparkSession, sf_dir: str) -> str:

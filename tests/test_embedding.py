@@ -100,3 +100,15 @@ def test_stored_vectors_keep_other_columns(spark, tmp_path, column):
     df = spark.createDataFrame([(1, "aa", "x")], "id long, content string, digest string")
     got = vectors.embed_stored(df, failing("bad"), str(tmp_path / "v")).first()
     assert got.digest == "x" and got[column] is not None
+
+
+def test_chunks_are_embedded_in_one_python_pass(spark, sf_dir):
+    from quarry.operators import chunking
+    from quarry.plans import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one = chunking.chunk_lines(docs, ["doc_id"], by=hashing_embedder(64))
+    two = embed(chunking.chunk_lines(docs, ["doc_id"]), hashing_embedder(64), precise=True)
+    assert one.schema == two.schema and one.exceptAll(two).count() == 0 and one.count() == two.count()
+    plan = queries._indexed(queries._index_files(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
