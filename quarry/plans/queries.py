@@ -551,10 +551,11 @@ def embed_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embed_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An embedder fitted on all documents, and every document embedded by it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content"))
-    rarity, projection = fitted.fit(docs, 64)
+    rows = fitted.counted(docs)
+    rarity, projection = fitted.fit(docs, 64, rows=rows)
     vectors_of = embed(docs, fitted.fitted_embedder("fitted64", rarity, projection), precise=True)
     length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    n_texts = fitted.document_counts(docs, "content")[0]
+    n_texts = fitted.document_counts(rows)[0]
     fine = bool(np.allclose(projection.T @ projection, np.eye(64), atol=1e-8))
     return vectors_of.agg(F.count("*").alias("n_rows"), F.lit(n_texts).cast("long").alias("n_texts"), F.lit(fine).alias("directions_are_orthonormal"), F.bool_and((F.abs(length - 1) < 1e-9) | (length == 0)).alias("lengths_are_one_or_zero"))
 

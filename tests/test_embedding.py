@@ -112,3 +112,30 @@ def test_chunks_are_embedded_in_one_python_pass(spark, sf_dir):
     assert one.schema == two.schema and one.exceptAll(two).count() == 0 and one.count() == two.count()
     plan = queries._indexed(queries._index_files(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_fit_reads_texts_once(spark, monkeypatch):
+    """The passes of a fit go over stored counts: texts are taken apart once, whatever the number of passes is."""
+    calls = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, f"word{i % 7} word{i % 11} other" if i % 9 else None) for i in range(60)], "id long, content string").coalesce(1)
+
+    def run(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    rows = df.mapInArrow(run, "id long, content string")
+    many = fitted.fit(rows, dim=4, passes=5)
+    assert calls.value == 60
+    few = fitted.fit(df, dim=4, passes=5, rows=fitted.counted(df))
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(many, few))
+    assert fitted.document_counts(df, "content")[0] == 53
+
+
+def test_dense_slices_equal_sparse_ones(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(400))) for _ in range(40)]
+    thin, rarity = np.random.default_rng(1).normal(size=(fitted.FEATURES, 6)), np.ones(fitted.FEATURES)
+    rows = fitted.Rows(texts, rarity, {})
+    assert rows._dense() is not None
+    assert np.allclose(rows.there_and_back(thin), rows.back(rows.times(thin)), atol=1e-9)
