@@ -25,6 +25,7 @@ from quarry.operators.search import BROADCAST_HITS, DIGITS, MAX_LISTS, _id_type,
 WORDS = 256
 SPREAD = 4  # files of a list
 ROUNDS = 12
+HELD_HITS = 50_000  # that a task holds at once
 
 
 @dataclass(frozen=True)
@@ -118,16 +119,26 @@ def shortlists(spark: SparkSession, root: str, model: Quantizer, queries: DataFr
         probes = probes_of(block, model.centroids, n_probe)
 
         def run(batches: Iterator[pa.RecordBatch], block: list = block, probes: dict = probes) -> Iterator[pa.RecordBatch]:
-            q, best, at = np.array([v for _, _, v in block], np.float64), {}, np.arange(model.parts)
-            for b in batches:
+            q, at, part = np.array([v for _, _, v in block], np.float64), np.arange(model.parts), max(1, HELD_HITS // shortlist)
+            asked: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(0, len(block), part)]
+            for which, places in probes.items():
+                places = np.array(places)
+                for p in np.unique(places // part).tolist():
+                    asked[p].append((which, places[places // part == p]))
+            for b in batches:  # hits of some queries at a time: what a task holds doesn't grow with their number
                 codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, model.parts)
                 ids, lists = b.column(0).to_pylist(), b.column(2).to_numpy()
-                for which in np.unique(lists).tolist():
-                    rows = np.flatnonzero(lists == which)
-                    own, own_ids = codes[rows], [ids[j] for j in rows.tolist()]
-                    for i in probes.get(which, []):
-                        keep_nearest(best, i, model.table(q[i], which)[at, own].sum(1), own_ids, shortlist)
-            yield _own(best, block, id_type)
+                rows_of = {which: np.flatnonzero(lists == which) for which in np.unique(lists).tolist()}
+                for own in asked:
+                    best: dict[int, list[tuple]] = {}
+                    for which, places in own:
+                        if (rows := rows_of.get(which)) is None:
+                            continue
+                        of_list, own_ids = codes[rows], [ids[j] for j in rows.tolist()]
+                        for i in places.tolist():
+                            keep_nearest(best, i, model.table(q[i], which)[at, of_list].sum(1), own_ids, shortlist)
+                    if best:
+                        yield _own(best, block, id_type)
 
         found = listed.where(F.col("list").isin(sorted(probes))).select(id_col, "codes", F.col("list").cast("int")).mapInArrow(run, f"query_id bigint, id {kind}, distance double, k bigint")
         out = ranked(found) if out is None else out.unionByName(ranked(found))

@@ -120,3 +120,23 @@ def test_join_of_vectors_without_clusters_isnt_dealt_by_cell(spark, monkeypatch)
     want = {(i, r + 1): int(j) for i in range(3000) for r, j in enumerate(np.lexsort((np.arange(3000), far[i]))[:5])}
     assert got == want
     assert max(stored) < 12 * 3000
+
+
+def test_shortlists_hold_bounded_hits(spark, tmp_path, monkeypatch):
+    """A task holds the hits of some queries at a time, however many there are; the result is the same."""
+    held, plain = spark.sparkContext.accumulator(0), quantized._own
+
+    def own(best, block, id_type):
+        held.add(int(sum(map(len, best.values())) > 60))
+        return plain(best, block, id_type)
+
+    rows = clustered(300, dim=8, centres=4)
+    df = spark.createDataFrame(rows, VECTORS).coalesce(1)
+    root, model = str(tmp_path / "held"), quantized.train(df, parts=4, n_lists=4)
+    quantized.write_quantized(df, root, model)
+    q = df.where("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
+    want = {tuple(r) for r in quantized.shortlists(spark, root, model, q, 20, 4).collect()}
+    assert len(want) == 40 * 20
+    monkeypatch.setattr(quantized, "_own", own)
+    monkeypatch.setattr(quantized, "HELD_HITS", 60, raising=False)
+    assert {tuple(r) for r in quantized.shortlists(spark, root, model, q, 20, 4).collect()} == want and held.value == 0
