@@ -132,11 +132,11 @@ def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def put(batches):
         for b in batches:
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at = os.path.join(top, path)
+            for path, text in zip(b.column(0), b.column(1)):  # one text at a time, not all of a batch
+                at = os.path.join(top, path.as_py())
                 os.makedirs(os.path.dirname(at), exist_ok=True)
                 with open(f"{at}.part{os.getpid()}", "wb") as f:
-                    f.write(text.encode())
+                    f.write(text.as_buffer())
                 os.replace(f.name, at)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 

@@ -27,7 +27,7 @@ from quarry.functions.languages import BINARY_SUFFIXES, EXCLUDED_NAMES, language
 LISTED = "path string, rel_path string, name string, suffix string, size bigint, mtime timestamp"
 SCHEMA = f"{LISTED}, content binary"
 PLANNED = 64
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 2 << 20
 
 
 class _Folders(InputPartition):

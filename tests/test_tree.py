@@ -91,3 +91,9 @@ def test_escapes_in_ignore_rules(spark, line, path, hit):
     assert spark.range(1).select(F.lit(path).rlike(rule.regex)).first()[0] is hit
     df = spark.createDataFrame([(path,)], "path string").withColumn("parts", F.split("path", "/"))
     assert filters.ignore_rules(df, [line]).count() == (0 if hit else 1)
+
+
+def test_a_task_holds_few_contents():
+    from quarry.sources import tree
+
+    assert 8 * tree.FLUSH_BYTES <= 16 << 20  # a batch, its copies and those of its neighbours in the executor
